@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch_path, table
+from .packing import pack_documents
+from .token_files import read_token_files, write_token_files
 from .url_filters import judge_urls
 
 
@@ -27,6 +31,19 @@ FROM p
 """
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end=1)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=2048, end=0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
