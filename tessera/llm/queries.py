@@ -16,6 +16,7 @@ from .quality import judge_quality, ngram_ratios
 from .token_files import read_token_files, write_token_files
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filters import judge_urls
+from .vector_forest import link_vectors
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=2048, end=0)
 
