@@ -45,7 +45,8 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def subset_keys(items: np.ndarray, percent: int, most: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-    """(smaller size, larger size, subset) for all sizes up to `most` with which this set can link."""
+    """(smaller size, larger size, subset) for all sizes up to `most` with which this set can link. Sets of
+    the smaller and of the larger size that meet in one link; two of the larger size need not."""
     n, values = len(items), items.tolist()
     for other in range(-(-percent * n // 100), min(most, 100 * n // percent) + 1):
         a, b = min(n, other), max(n, other)
@@ -178,15 +179,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, part: int
 
     def subsets(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
-            reps, keys = [], []
+            reps, keys, small, large = [], [], [], []
             for rep, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for x in subset_keys(np.frombuffer(raw, np.uint64), percent, light):
                     reps.append(rep)
                     keys.append(xxhash.xxh128_hexdigest(repr(x)))
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(keys, pa.string())], names=["rep", "key"])
+                    small.append(len(raw) == 8 * x[0])
+                    large.append(len(raw) == 8 * x[1])
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(keys, pa.string()), pa.array(small, pa.bool_()), pa.array(large, pa.bool_())], names=["rep", "key", "small", "large"])
 
-    met = sets.where(F.col("size") <= light).select("rep", "shingles").mapInArrow(subsets, "rep long, key string")
-    least = met.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
+    met = sets.where(F.col("size") <= light).select("rep", "shingles").mapInArrow(subsets, "rep long, key string, small boolean, large boolean")
+    least = met.groupBy("key").agg(F.min("rep").alias("least"), F.max("small").alias("small"), F.max("large").alias("large")).where("small and large").drop("small", "large")
     light_links = met.join(least, "key").select(F.col("rep").alias("src"), F.col("least").alias("dst")).where("src != dst").distinct()
 
     # A list is kept for each shingle and band of sizes; linked sets lie in one band or in two next to

@@ -60,9 +60,9 @@ def _absolute(link: Column, base: Column) -> Column:
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of page keys: canonical links and meta refreshes in the html, and, if given,
     rows (from_url, to_url) of a redirect log."""
-    tag = F.element_at(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1)), 1)
+    tag = F.get(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1)), F.lit(0))
     canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    turn = F.element_at(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1)), 1)
+    turn = F.get(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1)), F.lit(0))
     refresh = F.regexp_extract(turn, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     # a cheap test first: most pages name neither
     marked = F.lower(F.col(html)).rlike("canonical|refresh")

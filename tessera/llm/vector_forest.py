@@ -78,7 +78,7 @@ def grow_tree(sample: np.ndarray, leaf: int, seed: int) -> Tree:
         if parent is not None:
             children[parent][side] = node
     width = sample.shape[1] if sample.ndim == 2 else 0
-    return Tree(np.array(direction).reshape(-1, width), np.array(place), np.array(children, dtype=np.int64).reshape(-1, 2), leaves)
+    return Tree(np.array(direction).reshape(len(direction), width), np.array(place), np.array(children, dtype=np.int64).reshape(-1, 2), leaves)
 
 
 def units(raw: list[bytes]) -> np.ndarray:
