@@ -19,3 +19,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _ALL.items() if s}
+
+
+from . import plans  # noqa: E402, F401  fills the registry

@@ -1,0 +1,3 @@
+"""Queries: each binds operators to the tables and stands beside SQL for the same result."""
+
+from . import frames  # noqa: F401
