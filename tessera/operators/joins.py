@@ -150,3 +150,23 @@ def exact_or_unique_prefix(asked: DataFrame, ask: str, names: DataFrame, name: s
     by = q.withColumn("_p", F.substring(ask, 1, width)).where(F.length(ask) >= width).join(cut, "_p").where(F.col("_name").startswith(F.col(ask)))
     only = by.groupBy(ask).agg(F.count("*").alias("_n"), F.min("_name").alias("_only")).where("_n = 1")
     return exact.join(only, ask, "left").select(ask, F.coalesce("_exact", "_only").alias("found"))
+
+
+def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataFrame:
+    """Each node with the least node that it reaches. Labels travel along the edges and along the labels
+    of labels (pointer jumping); each round is written to the session's checkpoint folder."""
+    spark = nodes.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct().checkpoint()
+    now = nodes.select(F.col(node).alias("u"), F.col(node).alias("m"))
+    for _ in range(most_rounds):
+        heard = both.join(now.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("h"))
+        step = now.join(heard, "u", "left").select("u", "m", F.least("m", F.coalesce("h", "m")).alias("n"))
+        jump = step.join(now.select(F.col("u").alias("n"), F.col("m").alias("j")), "n").select("u", F.col("m").alias("old"), F.least("n", "j").alias("m")).checkpoint()
+        now = jump.select("u", "m")
+        if jump.where("old != m").isEmpty():
+            break
+    return now.select(F.col("u").alias(node), F.col("m").alias("component"))

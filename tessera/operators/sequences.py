@@ -45,7 +45,7 @@ def scoring_set(df: DataFrame, key: list[str], kept: Column) -> DataFrame:
 
 
 def top_one(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    return df.withColumn("_top", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_top = 1").drop("_top")
 
 
 def spoken_names(df: DataFrame, scope: list[str], label: str, colour: str, ident: str) -> DataFrame:
