@@ -1,3 +1,3 @@
 """Queries: each binds operators to the tables and stands beside SQL for the same result."""
 
-from . import frames, relations, rules  # noqa: F401
+from . import frames, measures, relations, rules, stores  # noqa: F401
