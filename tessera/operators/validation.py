@@ -32,13 +32,13 @@ def path_problem(path: Column, most_chars: int = 128, kinds: dict[str, tuple[str
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in checks])
 
 
-def set_problems(df: DataFrame, group: list[str], position: list[str], name: str, size: str, required: str, most_rows: int, most_total: int) -> DataFrame:
+def set_problems(df: DataFrame, group: list[str], name: str, size: str, required: str, most_rows: int, most_total: int) -> DataFrame:
     """The first violation of each group's whole-set rules, in order: too many rows, a repeated name, a
     required name missing, too large a sum. One aggregation; null if none."""
-    named = df.groupBy(*group, name).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-    whole = named.groupBy(*group).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max((F.col(name) == required).cast("int")).alias("has"), F.sum("bytes").alias("bytes"))
-    problem = F.when(F.col("n") > most_rows, "too_many").when(F.col("most") > 1, "repeated").when(F.col("has") == 0, "missing").when(F.col("bytes") > most_total, "too_large")
-    return whole.select(*group, "n", "bytes", problem.alias("problem"))
+    named = df.groupBy(*group, name).agg(F.count("*").alias("_n"), F.sum(size).alias("_b"))
+    whole = named.groupBy(*group).agg(F.sum("_n").alias("_n"), F.max("_n").alias("_most"), F.max((F.col(name) == required).cast("int")).alias("_has"), F.sum("_b").alias("_b"))
+    problem = F.when(F.col("_n") > most_rows, "too_many").when(F.col("_most") > 1, "repeated").when(F.col("_has") == 0, "missing").when(F.col("_b") > most_total, "too_large")
+    return whole.select(*group, F.col("_n").alias("n"), F.col("_b").alias("bytes"), problem.alias("problem"))
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column], most: int | None = None, cap_key: list[str] | None = None) -> DataFrame:

@@ -94,10 +94,10 @@ def instance_map(spark, sf_dir):
 
 @register("lowest_cluster_floor", """
 WITH m AS (SELECT l_orderkey, l_extendedprice AS h, l_quantity AS w, min(l_extendedprice) OVER (PARTITION BY l_orderkey) AS low FROM lineitem)
-SELECT l_orderkey, count(*) AS members, round(sum(h * w) / nullif(sum(w), 0), 6) AS floor FROM m WHERE h <= low + 5000 GROUP BY 1
+SELECT l_orderkey, count(*) AS members, round(sum(h * w) / nullif(sum(w), 0), 8) AS floor FROM m WHERE h <= low + 5000 GROUP BY 1
 """)
 def lowest_cluster_floor(spark, sf_dir):
-    return agg.lowest_cluster(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", "l_quantity", 5000.0).withColumn("floor", F.round("floor", 6))
+    return agg.lowest_cluster(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", "l_quantity", 5000.0).withColumn("floor", F.round("floor", 8))
 
 
 @register("ledger_report", "SELECT o_orderpriority, count(*) AS calls, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS billed, round(sum(o_totalprice), 2) AS priced FROM orders GROUP BY 1")

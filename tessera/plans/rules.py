@@ -57,7 +57,7 @@ SELECT source, CAST(n AS BIGINT) AS n, CAST(b AS BIGINT) AS bytes, CASE WHEN n >
 """)
 def manifest_set_constraints(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.col("n_chars").cast("string"), F.lit(".txt")).alias("name"), F.col("n_chars").alias("size"))
-    return val.set_problems(d, ["source"], ["doc_id"], "name", "size", "416.txt", 60, 90_000)
+    return val.set_problems(d, ["source"], "name", "size", "416.txt", 60, 90_000)
 
 
 @register("keep_first_dedupe_cap", """
