@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import attach, table  # noqa: F401
@@ -50,9 +50,17 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def remainder(column: str, modulus: int):
-    """crc32 of an id as text, mod modulus: the fold of a document."""
-    return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
+def hash_share(df: DataFrame, hashed: Column, about: int) -> DataFrame:
+    """About `about` rows of df (all, if there are no more), those of the smallest hashes; `hashed` is a
+    uniform signed 64-bit column. A filter alone: no sort, no shuffle."""
+    n = df.count()
+    return df.where(hashed < F.lit(int(-(1 << 63) + (1 << 64) * about / n))) if n > about else df
+
+
+def hash_sample(df: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """At most `most` rows, those of the smallest hashes. What is sorted, about twice as many, does not
+    grow with the table, as the first rows of all its partitions would."""
+    return hash_share(df, hashed, 2 * most).orderBy(hashed).limit(most)
 
 
 def fold_of(ids: list, modulus: int) -> np.ndarray:

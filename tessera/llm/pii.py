@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, hash_share
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -299,10 +299,11 @@ def written_forms(n: int, seed: int = 3) -> list[tuple[str, list[tuple[str, int,
     return out
 
 
-def fit_tagger(docs: DataFrame, most_rows: int = 2_000, most_windows: int = 1_500, n_forms: int = 1_200, epochs: int = 5, doc_id: str = "doc_id", text: str = "text") -> Tagger:
-    """Trains on the patterns' spans in at most `most_rows` texts that hold a digit or an at sign (those
-    of the smallest id hashes; at most `most_windows` windows) and on `n_forms` written forms."""
-    rows = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
+def fit_tagger(docs: DataFrame, most_rows: int = 10_000, most_windows: int = 1_500, n_forms: int = 1_200, epochs: int = 5, doc_id: str = "doc_id", text: str = "text") -> Tagger:
+    """Trains on the patterns' spans in those texts with a digit or an at sign that are among the (about)
+    `most_rows` of the smallest id hashes, at most `most_windows` windows, and on `n_forms` written forms."""
+    rows = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"))
+    sample = hash_share(rows, F.col("h"), most_rows).where(F.col("text").rlike("[0-9@]"))
 
     def cut(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
@@ -315,7 +316,7 @@ def fit_tagger(docs: DataFrame, most_rows: int = 2_000, most_windows: int = 1_50
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([v.tolist() for v in xs], kind), pa.array([v.tolist() for v in ys], kind)], names=["h", "x", "y"])
 
-    sample = rows.orderBy("h").limit(most_rows).mapInArrow(cut, "h long, x array<long>, y array<long>").orderBy("h").limit(most_windows).collect()
+    sample = sample.mapInArrow(cut, "h long, x array<long>, y array<long>").orderBy("h", "x").limit(most_windows).collect()
     xs, ys = [np.array(r["x"]) for r in sample], [np.array(r["y"]) for r in sample]
     for s, spans in written_forms(n_forms):
         x, y = tag_windows(s, spans, [(0, len(s))])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, shingle_hashes
+from .common import WordHashes, batches, hash_sample, shingle_hashes
 
 SYMBOLS = b"#*$%&|<>"
 _KEEP_SYMBOLS = bytes(c for c in range(256) if c not in SYMBOLS)
@@ -62,7 +62,8 @@ def ngram_ratios(docs: DataFrame, trusted: DataFrame, bits: int = 16, most_trust
     """The log ratio of each bucket. The raw counts are of all documents, the target's of at most
     `most_trusted` trusted ids (those of the smallest hashes); both are smoothed by one. Null without
     trusted texts."""
-    ids = trusted.select(F.col(doc_id).cast("long").alias("id")).dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(most_trusted)
+    ids = trusted.select(F.col(doc_id).cast("long").alias("id")).dropna().distinct()
+    ids = hash_sample(ids, F.xxhash64("id"), most_trusted)
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.collect()], dtype=np.int64)))  # at most most_trusted ids
     if not len(wanted.value):
         return None

@@ -15,7 +15,7 @@ class WordEncoder:
 
     LONG = 64
 
-    def __init__(self, path: str, most_words: int = 400_000, chunk: int = 4096):
+    def __init__(self, path: str, most_words: int = 700_000, chunk: int = 4096):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
 
@@ -31,17 +31,40 @@ class WordEncoder:
         for k, w in enumerate(words):
             into[w] = ids[4 * cut[k] : 4 * cut[k + 1]]
 
+    @staticmethod
+    def _bare(word: bytes) -> bytes:
+        """The word that gives the same ids but for a last comma or stop: the tokenizer lower-cases, and
+        parts punctuation from the letters and digits before it."""
+        if word.isascii() and b"<" not in word:
+            word = word.lower()
+            if word[-1:] in b",." and word[-2:-1].isalnum():
+                return word[:-1]
+        return word
+
+    def _mark(self, mark: bytes) -> bytes:
+        if mark not in self.known:
+            self._learn([mark], self.known)
+        return self.known[mark]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
         if len(self.known) + len(new) > self.most_words:
             self.known = {}
             new = set().union(*split)
-        rare = {}
-        short, long = [w for w in new if len(w) <= self.LONG], [w for w in new if len(w) > self.LONG]
-        for k in range(0, len(short), self.chunk):
-            self._learn(short[k : k + self.chunk], self.known)
-        for w in long:  # not kept
+        rare, bare, plain = {}, {}, set()
+        for w in new:
+            if len(w) <= self.LONG:
+                bare[w] = b = self._bare(w)
+                if b not in self.known:
+                    plain.add(b)
+        words = list(plain)
+        for k in range(0, len(words), self.chunk):
+            self._learn(words[k : k + self.chunk], self.known)
+        for w, b in bare.items():
+            if w not in self.known:
+                self.known[w] = self.known[b] + self._mark(w[-1:]) if len(w) > len(b) else self.known[b]
+        for w in new.difference(bare):  # very long words are not kept
             self._learn([w], rare)
         if not rare:
             return [b"".join(map(self.known.__getitem__, words)) for words in split]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_sample, written
 
 #: Groups of terms; a term is swapped for another of its group.
 IDENTITY = (
@@ -97,7 +97,7 @@ def fit_toxicity(
     rows = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     if held_out:
         rows = rows.where(F.crc32(F.col("id").cast("string")) % held_out[0] != held_out[1])
-    rows = rows.orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    rows = hash_sample(rows, F.xxhash64("id"), most_rows)
     sample = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(rows), "id")  # at most most_rows rows
 
     def held(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

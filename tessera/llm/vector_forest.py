@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_sample, written
 from .components import connected_components
 
 
@@ -91,32 +91,33 @@ def leaf_links(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, leaves: list,
     row links with, not counting pairs that share an earlier leaf, and a spanning forest of the links."""
     links = x @ x.T >= cosine
     np.fill_diagonal(links, False)
-    n = len(ids)
-    counted = links.copy()
+    i, j = np.nonzero(links)
+    counted = own[i] != own[j] if own.min() != own.max() else np.ones(len(i), dtype=bool)  # else another task's
     earlier = [[c for c in cs if c < leaf] for cs in leaves]
-    names = sorted({c for cs in earlier for c in cs})
+    names = sorted({c for k in np.unique(i) for c in earlier[k]})
     if names:
-        place, held = {c: k for k, c in enumerate(names)}, np.zeros((n, len(names)), dtype=np.float32)
-        for k, cs in enumerate(earlier):
-            held[k, [place[c] for c in cs]] = 1
-        counted &= ~((held @ held.T) > 0)
-    if own.min() != own.max():  # pairs within a part are another task's
-        counted &= own[:, None] != own[None, :]
-    degree = counted @ weight
-    edges, new = [], np.ones(n, dtype=bool)
-    for k in range(n):
+        place, held = {c: k for k, c in enumerate(names)}, np.zeros((len(ids), len(names)), dtype=bool)
+        for k in np.unique(i):
+            held[k, [place[c] for c in earlier[k]]] = True
+        step = max(1, (32 << 20) // len(names))
+        for at in range(0, len(i), step):
+            pairs = slice(at, at + step)
+            counted[pairs] &= ~(held[i[pairs]] & held[j[pairs]]).any(1)
+    degree = np.bincount(i[counted], weight[j[counted]], len(ids))
+    edges, new = [], links.any(1)
+    for k in np.flatnonzero(new).tolist():
         if new[k]:
             new[k], edge = False, [k]
             while edge:
                 reached = np.flatnonzero(links[edge.pop()] & new)
                 new[reached] = False
-                edges += [(int(ids[k]), int(ids[j])) for j in reached]
+                edges += [(int(ids[k]), int(ids[q])) for q in reached]
                 edge += reached.tolist()
     return degree, edges
 
 
 def link_vectors(
-    vectors: DataFrame, cosine: float = 0.95, trees: int = 6, leaf: int = 400, spill: float = 0.03, most_sample: int = 20_000, part: int = 1024,
+    vectors: DataFrame, cosine: float = 0.95, trees: int = 6, leaf: int = 400, spill: float = 0.015, most_sample: int = 20_000, part: int = 1024,
     vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """Links vectors with a cosine (in double precision) of at least `cosine`, among those that share a
@@ -154,7 +155,7 @@ def link_vectors(
     n_reps = reps.count()
     # A class without an id is numbered by its hash, below all ids of interest
     numbered = reps.withColumn("node", F.coalesce("rep", -F.abs(F.col("high"))))
-    sample = [bytes(r[0]) for r in numbered.orderBy("high", "low").limit(most_sample).select("raw").collect()]  # at most most_sample vectors
+    sample = [bytes(r[0]) for r in hash_sample(numbered, F.col("high"), most_sample).select("raw").collect()]  # at most most_sample vectors
     points = units(sample) if sample else np.zeros((0, width))
     # as many in a sampled leaf as make about `leaf` of all
     small = max(8, round(leaf * len(points) / max(n_reps, 1)))
