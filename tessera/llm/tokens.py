@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+#: ASCII marks but `<`, with which the special tokens begin.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "<")
+#: Words of these letters alone are one pre-token each and their own normal form.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def byte_letters() -> str:
+    """The characters by which byte-level tokenizers name the bytes: printable ones by themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
+_BYTES = byte_letters()
+
 
 class WordEncoder:
     """Encodes texts with a `tokenizers` file whose pre-tokenizer drops white space, so that the
@@ -15,11 +31,13 @@ class WordEncoder:
 
     LONG = 64
 
-    def __init__(self, path: str, most_words: int = 700_000, chunk: int = 4096):
+    def __init__(self, path: str, most_words: int = 700_000, chunk: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most_words, self.chunk = Tokenizer.from_file(path), {}, most_words, chunk
+        self.tokenizer, self.most_words, self.chunk = Tokenizer.from_file(path), most_words, chunk
+        self.known: dict[bytes, bytes] = {}  # words, their stems and marks
+        self.as_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -32,42 +50,56 @@ class WordEncoder:
             into[w] = ids[4 * cut[k] : 4 * cut[k + 1]]
 
     @staticmethod
-    def _bare(word: bytes) -> bytes:
-        """The word that gives the same ids but for a last comma or stop: the tokenizer lower-cases, and
-        parts punctuation from the letters and digits before it."""
-        if word.isascii() and b"<" not in word:
-            word = word.lower()
-            if word[-1:] in b",." and word[-2:-1].isalnum():
-                return word[:-1]
-        return word
-
-    def _mark(self, mark: bytes) -> bytes:
-        if mark not in self.known:
-            self._learn([mark], self.known)
-        return self.known[mark]
+    def _halves(word: bytes) -> tuple[bytes, bytes]:
+        """The stem and the marks that give the word's ids one after the other: the tokenizer lower-cases, and
+        parts a run of marks from the letters and digits before it. Its special tokens begin with `<`."""
+        stem = word.rstrip(_MARKS)
+        if not (stem[-1:].isalnum() or stem[-2:-1] == b"\xc3" and stem[-1] not in b"\x97\xb7") or b"<" in word:
+            return word, b""
+        return stem.lower() if stem.isascii() else stem, word[len(stem) :]
+
+    def _learn_words(self, words: set[bytes]) -> None:
+        """Letters alone go to the model as the one pre-token that they are, other words through the whole tokenizer."""
+        known, as_bytes, one = self.known, self.as_bytes, self.tokenizer.model.tokenize
+        mixed, halves = [], []
+        for w in words:
+            if w.isalpha():  # of ASCII letters
+                stem, marks = w.lower(), b""
+            else:
+                stem, marks = self._halves(w)
+                if marks and marks not in known:
+                    self._learn([marks], known)
+            if stem not in known:
+                if stem.isalpha():
+                    letters = stem.decode()
+                else:
+                    letters = stem.decode("utf-8", "replace").lower()
+                    letters = "".join(map(_BYTES.__getitem__, letters.encode())) if _LETTERS.fullmatch(letters) else None
+                if letters is None:
+                    mixed.append(stem)
+                    halves.append((w, stem, marks))
+                    continue
+                known[stem] = b"".join([as_bytes[t.id] for t in one(letters)])
+            if stem is not w:
+                known[w] = known[stem] + known[marks] if marks else known[stem]
+        for k in range(0, len(mixed), self.chunk):
+            self._learn(mixed[k : k + self.chunk], known)
+        for w, stem, marks in halves:
+            known[w] = known[stem] + known[marks] if marks else known[stem]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
+        held = set().union(*split)
+        new = held.difference(self.known)
         if len(self.known) + len(new) > self.most_words:
-            self.known = {}
-            new = set().union(*split)
-        rare, bare, plain = {}, {}, set()
-        for w in new:
-            if len(w) <= self.LONG:
-                bare[w] = b = self._bare(w)
-                if b not in self.known:
-                    plain.add(b)
-        words = list(plain)
-        for k in range(0, len(words), self.chunk):
-            self._learn(words[k : k + self.chunk], self.known)
-        for w, b in bare.items():
-            if w not in self.known:
-                self.known[w] = self.known[b] + self._mark(w[-1:]) if len(w) > len(b) else self.known[b]
-        for w in new.difference(bare):  # very long words are not kept
-            self._learn([w], rare)
-        if not rare:
+            self.known = {w: self.known[w] for w in held.difference(new)}
+        long = {w for w in new if len(w) > self.LONG}  # not kept
+        self._learn_words(new - long)
+        if not long:
             return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        rare: dict[bytes, bytes] = {}
+        for w in long:
+            self._learn([w], rare)
         return [b"".join(rare[w] if w in rare else self.known[w] for w in words) for words in split]
 
 
