@@ -152,6 +152,25 @@ def exact_or_unique_prefix(asked: DataFrame, ask: str, names: DataFrame, name: s
     return exact.join(only, ask, "left").select(ask, F.coalesce("_exact", "_only").alias("found"))
 
 
+def nested_sets(members: DataFrame, key: str, item: str, share: int, of: int) -> DataFrame:
+    """Edges (a, b) that join all keys of which one holds at least share/of of the other's items; members:
+    distinct (key, item). Keys of equal sets are joined to their least key, which alone meets the others.
+    A set that shares enough with a larger one has one of its own n - need + 1 rarest items in common with
+    it: only these meet the lists of items, and the pairs found are counted in full."""
+    often = members.groupBy(item).agg(F.count("*").alias("_n"))
+    ranked = F.struct(F.col("_n").alias("n"), F.col(item).alias("item"))
+    sets = members.join(often, item).groupBy(key).agg(F.sort_array(F.collect_list(ranked)).alias("_s"))
+    least = sets.groupBy("_s").agg(F.min(key).alias("u"))
+    equal = sets.join(least, "_s").select(F.col(key).alias("a"), F.col("u").alias("b")).where("a != b")
+    size = F.size("_s")
+    need = F.ceil(size * share / of).cast("int")
+    short = least.select(F.col("u").alias("a"), size.alias("na"), need.alias("need"), F.explode(F.slice("_s", F.lit(1), size - need + 1)).alias("_i"))
+    long = least.select(F.col("u").alias("b"), size.alias("nb"), F.explode("_s").alias("_i"))
+    meet = short.join(long, "_i").where("nb > na or (nb = na and b > a)").select("a", "b", "need").distinct()
+    full = meet.join(least.select(F.col("u").alias("a"), F.col("_s").alias("_a")), "a").join(least.select(F.col("u").alias("b"), F.col("_s").alias("_b")), "b")
+    return full.where(F.size(F.array_intersect("_a.item", "_b.item")) >= F.col("need")).select("a", "b").unionByName(equal)
+
+
 def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataFrame:
     """Each node with the least node that it reaches. Labels travel along the edges and along the labels
     of labels (pointer jumping); each round is written to the session's checkpoint folder."""

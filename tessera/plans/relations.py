@@ -52,8 +52,17 @@ c AS (SELECT event_id, p_partkey, 1 - abs(value - want) / 400 AS overlap FROM o
 SELECT event_id, p_partkey, round(overlap, 6) AS overlap FROM c WHERE overlap >= 0.5 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(overlap, 9) DESC, p_partkey) = 1
 """)
 def greedy_best_match(spark, sf_dir):
-    o = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", (F.floor("value") % 50).alias("slot"), "value")
-    b = table(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", (F.col("p_size") % 50).cast("long").alias("slot"), (F.col("p_retailprice") % 100).alias("want"))
+    return best_match(table(spark, sf_dir, "events"), table(spark, sf_dir, "part").where("p_partkey < 400"))
+
+
+@register("greedy_best_match_whole")
+def greedy_best_match_whole(spark, sf_dir):
+    return best_match(table(spark, sf_dir, "events"), table(spark, sf_dir, "part"))
+
+
+def best_match(events, parts):
+    o = events.where("event_type = 'view'").select("event_id", (F.floor("value") % 50).alias("slot"), "value")
+    b = parts.select("p_partkey", (F.col("p_size") % 50).cast("long").alias("slot"), (F.col("p_retailprice") % 100).alias("want"))
     c = o.join(b, "slot").withColumn("overlap", 1 - F.abs(F.col("value") - F.col("want")) / 400).where("overlap >= 0.5")
     return joins.greedy_claims(c, ["event_id"], [F.desc(F.round("overlap", 9)), F.asc("p_partkey")]).select("event_id", "p_partkey", F.round("overlap", 6).alias("overlap"))
 
@@ -63,8 +72,17 @@ WITH i AS (SELECT event_type, user_id, min(epoch_us(ts)) // 1000000 AS a, max(ep
 SELECT x.event_type, x.user_id AS a, y.user_id AS b, y.a - x.z AS gap FROM i x JOIN i y ON x.event_type = y.event_type AND x.user_id <> y.user_id AND y.a - x.z > 0 AND y.a - x.z <= 7200
 """)
 def interval_handoffs(spark, sf_dir):
+    return handoffs(table(spark, sf_dir, "events").where("event_id < 600"))
+
+
+@register("interval_handoffs_whole")
+def interval_handoffs_whole(spark, sf_dir):
+    return handoffs(table(spark, sf_dir, "events"))
+
+
+def handoffs(events):
     s = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1_000_000)
-    i = table(spark, sf_dir, "events").where("event_id < 600").groupBy("event_type", "user_id").agg(F.min(s).alias("first"), F.max(s).alias("last"))
+    i = events.groupBy("event_type", "user_id").agg(F.min(s).alias("first"), F.max(s).alias("last"))
     return joins.hand_overs(i, "event_type", "user_id", "first", "last", 7200)
 
 
@@ -138,10 +156,19 @@ h AS (SELECT ask, tier, count(DISTINCT target) AS hits, min(target) AS target FR
 SELECT q.ask, f.tier, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN target END AS target FROM q LEFT JOIN f USING (ask)
 """)
 def tiered_lookup_ambiguity(spark, sf_dir):
+    return ambiguity(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey < 300"))
+
+
+@register("tiered_lookup_ambiguity_whole")
+def tiered_lookup_ambiguity_whole(spark, sf_dir):
+    return ambiguity(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def ambiguity(spark, sf_dir, asking):
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     ask = F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") % 30).cast("string")).when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).otherwise(F.upper(F.substring("c_name", 1, 8)))
     tiers = [n.select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_nationkey").alias("target")), n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("target")), c.select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("target")).distinct()]
-    return joins.tiered_lookup(c.where("c_custkey < 300").select(ask.alias("ask")), "ask", tiers)
+    return joins.tiered_lookup(asking.select(ask.alias("ask")), "ask", tiers)
 
 
 @register("exact_or_unique_prefix", """
@@ -200,11 +227,18 @@ SELECT n AS user_id, min(m) AS component FROM r GROUP BY n
 """)
 def nested_groups_components(spark, sf_dir):
     """Keys whose cells are nested to nine tenths are one group, named by its least key."""
-    k = table(spark, sf_dir, "events").where("event_id < 400").select("user_id", F.date_trunc("day", "ts").alias("d"), "event_type").distinct()
-    n = k.groupBy("user_id").agg(F.count("*").alias("n"))
-    p = k.toDF("a", "d", "t").join(k.toDF("b", "d", "t"), ["d", "t"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
-    p = p.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(F.col("i") >= 0.9 * F.least("na", "nb"))
-    return joins.components(n.select("user_id"), "user_id", p.select("a", "b"), "a", "b")
+    return nested_groups(table(spark, sf_dir, "events").where("event_id < 400"))
+
+
+@register("nested_groups_components_whole")
+def nested_groups_components_whole(spark, sf_dir):
+    return nested_groups(table(spark, sf_dir, "events"))
+
+
+def nested_groups(events):
+    k = events.select("user_id", F.date_trunc("day", "ts").alias("d"), "event_type").distinct()
+    p = joins.nested_sets(k.select("user_id", F.concat_ws(" ", "d", "event_type").alias("cell")), "user_id", "cell", 9, 10)
+    return joins.components(k.select("user_id").distinct(), "user_id", p, "a", "b")
 
 
 @register("plane_merge_components", """
