@@ -2,13 +2,15 @@
 
 A configuration is a multiset of lengths that fit one sequence. The program (as few sequences as
 cover all pieces) is solved by multiplicative weights: a price for each length, an unbounded
-knapsack by dynamic programming that finds the dearest configuration, prices that fall with
-coverage. It is then rounded down, and what remains is filled best-fit, a configuration at a time.
+knapsack by dynamic programming that finds the dearest configurations, prices that fall with
+coverage, until every length is covered. It is then rounded, and what the rounding leaves is filled
+best-fit, a configuration at a time.
 All of this sees only the histogram, of at most `size` numbers, however many pieces there are.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -22,8 +24,9 @@ from .common import batches, written
 from .tokens import encoder
 
 
-def dearest(prices: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
-    """The configuration {length: count} of the highest price: an unbounded knapsack."""
+def knapsack(prices: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each room up to `size`: the highest price, the largest room no larger where a length is taken
+    last, and that length; unbounded."""
     value = np.full(size + 1, -1.0)
     value[lengths] = prices
     best, take = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
@@ -34,34 +37,68 @@ def dearest(prices: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int
             best[c], take[c] = with_last[k], k + 1
         else:
             best[c] = best[c - 1]
-    out, c = {}, size
-    while c > 0:
-        if take[c]:
-            out[int(take[c])] = out.get(int(take[c]), 0) + 1
-            c -= int(take[c])
-        else:
-            c -= 1
+    return best, np.maximum.accumulate(np.where(take > 0, np.arange(size + 1), 0)), take
+
+
+def filled(first: int, room: int, down: list[int], take: list[int]) -> dict[int, int]:
+    """The dearest configuration {length: count} that holds `first`."""
+    out, c = {first: 1}, room - first
+    while (c := down[c]) > 0:
+        out[take[c]] = out.get(take[c], 0) + 1
+        c -= take[c]
     return out
 
 
-def configurations(histogram: dict[int, int], size: int, rounds: int = 300, step: float = 0.25) -> list[tuple[dict[int, int], int]]:
+def covering(lengths: np.ndarray, count: np.ndarray, size: int, rounds: int | None, step: float, slack: float = 0.02) -> tuple[dict[tuple, float], np.ndarray]:
+    """Amounts of configurations that cover each length at least once, and the coverage.
+
+    A round solves one knapsack and takes, for each length still short of coverage, the dearest
+    configuration with it, as long as its price by now is within `slack` of the dearest of all; prices
+    only fall, so the knapsack stays an upper bound. Each one taken covers some length by `step` more,
+    and a length covered well above the least is worth next to nothing: so rounds end by the number
+    of lengths and the step. `rounds` is for callers who want a coarser program sooner.
+    """
+    place = {int(k): j for j, k in enumerate(lengths)}
+    covered, used, done = np.zeros(len(lengths)), {}, 0
+    while covered.min() < 1 - 1e-9 and (rounds is None or done < rounds):
+        done += 1
+        # the least covered lengths cost most; a length's own size is its fair price
+        base = covered.min()
+        prices = lengths / size * np.exp(-(covered - base) / step)
+        best, down, take = knapsack(prices, lengths, size)
+        with_each = prices + best[size - lengths]
+        down, take, prices = down.tolist(), take.tolist(), prices.tolist()
+        least = (1 - slack) * float(best[size])
+        for j in np.lexsort((-lengths, covered)).tolist():
+            if with_each[j] < least or (covered[j] >= 1 and with_each[j] < best[size] - 1e-12):
+                continue
+            found = filled(int(lengths[j]), size, down, take)
+            at = [place[k] for k in found]
+            if sum(a * prices[q] for a, q in zip(found.values(), at, strict=True)) < least:
+                continue
+            amount = step * min(count[q] / a for a, q in zip(found.values(), at, strict=True))
+            key = tuple(sorted(found.items()))
+            used[key] = used.get(key, 0.0) + amount
+            for (k, a), q in zip(found.items(), at, strict=True):
+                covered[q] += amount * a / count[q]
+                prices[q] = k / size * math.exp(-(covered[q] - base) / step)
+    return used, covered
+
+
+def configurations(histogram: dict[int, int], size: int, rounds: int | None = None, step: float = 0.25) -> list[tuple[dict[int, int], int]]:
     """[(configuration, copies)] that hold each piece of the histogram exactly once."""
+    return program(histogram, size, rounds, step)[0]
+
+
+def program(histogram: dict[int, int], size: int, rounds: int | None = None, step: float = 0.25) -> tuple[list[tuple[dict[int, int], int]], dict[str, float]]:
+    """The configurations, and of the covering program: the least coverage, and the shares of pieces and
+    of ids that its rounded amounts place."""
     left = {int(k): int(n) for k, n in sorted(histogram.items()) if n > 0}
     if not left:
-        return []
+        return [], {"coverage": 1.0, "pieces": 1.0, "ids": 1.0}
     lengths = np.array(list(left), dtype=np.int64)
     count = np.array([left[k] for k in left], dtype=np.float64)
-    place = {k: j for j, k in enumerate(left)}
-    covered, used = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        # the least covered lengths cost most; a length's own size is its fair price
-        prices = lengths / size * np.exp(-(covered - covered.min()) / step)
-        found = dearest(prices, lengths, size)
-        amount = step * min(count[place[k]] / a for k, a in found.items())
-        used.setdefault(tuple(sorted(found.items())), [0.0])[0] += amount
-        for k, a in found.items():
-            covered[place[k]] += amount * a / count[place[k]]
-    full = max(1.0, float(covered.max()))
+    used, covered = covering(lengths, count, size, rounds, step)
     plan: dict[tuple, int] = {}
 
     def put(found: tuple, most: float) -> None:
@@ -71,8 +108,14 @@ def configurations(histogram: dict[int, int], size: int, rounds: int = 300, step
             for k, a in found:
                 left[k] -= a * n
 
-    for found, (amount,) in sorted(used.items(), key=lambda x: (-x[1][0], x[0])):
-        put(found, amount / full)
+    # rounded up as far as pieces are left; what fills a sequence worse than the program does on the whole is left to best-fit
+    fill = {found: sum(k * a for k, a in found) for found in used}
+    mean = sum(fill[found] * amount for found, amount in used.items()) / sum(used.values()) if used else 0
+    for found, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        if fill[found] >= mean - 1e-6:
+            put(found, math.ceil(amount))
+    over = np.array([left[k] for k in left], dtype=np.float64)
+    report = {"coverage": float(covered.min()), "pieces": float(1 - over.sum() / count.sum()), "ids": float(1 - (over @ lengths) / (count @ lengths))}
     # what remains: the longest first, then always the longest that still fits; each turn uses up a length
     while remaining := [k for k in sorted(left, reverse=True) if left[k]]:
         room, found = size, {}
@@ -82,7 +125,7 @@ def configurations(histogram: dict[int, int], size: int, rounds: int = 300, step
                 found[k] = n
                 room -= n * k
         put(tuple(sorted(found.items())), float("inf"))
-    return [(dict(k), n) for k, n in plan.items()]
+    return [(dict(k), n) for k, n in plan.items()], report
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -125,7 +168,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, end: int | None, do
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end: int | None = 0, doc_id: str = "doc_id", text: str = "text", rounds: int = 300) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end: int | None = 0, doc_id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """Packs every whole text; returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents of more than `size` ids are cut, into pieces of `size` ids and a last shorter one.
@@ -140,7 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end: int |
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    table = docs.sparkSession.sparkContext.broadcast((keys, where))  # bounded by rounds and size
+    table = docs.sparkSession.sparkContext.broadcast((keys, where))  # bounded by the number of lengths
 
     def place(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, where = table.value

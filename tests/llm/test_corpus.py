@@ -22,7 +22,7 @@ from tessera.llm.components import connected_components
 from tessera.llm.jaccard_join import jaccard_components, light_boundary, subset_keys
 from tessera.llm.language_model import score_texts
 from tessera.llm.mixing import mix_sources, probabilities, rake
-from tessera.llm.packing import configurations, pack_documents, slots
+from tessera.llm.packing import configurations, pack_documents, program, slots
 from tessera.llm.quality import judge_quality, ngram_ratios
 from tessera.llm.token_files import FrameReader, FrameWriter, read_token_files, write_token_files
 from tessera.llm.tokens import WordEncoder
@@ -442,6 +442,15 @@ def test_configurations_hold_each_piece_once():
     assert configurations({}, 10) == [] and len(slots([])["length"]) == 0
 
 
+@pytest.mark.parametrize(("lengths", "ids"), [("many", 0.7), ("one", 1.0)])
+def test_the_program_covers_all_lengths_and_places_most(lengths, ids):
+    r = random.Random(2)
+    h = collections.Counter(min(2048, max(1, int(r.lognormvariate(6.6, 1.0)))) for _ in range(50_000)) if lengths == "many" else {1500: 77}
+    plan, report = program(h, 2048)
+    assert report["coverage"] > 0.999 and report["ids"] >= ids
+    assert sum(n for _, n in plan) <= (1.003 * -(-sum(k * n for k, n in h.items()) // 2048) if lengths == "many" else 77)
+
+
 def test_packing(spark):
     r = random.Random(9)
     rows = odd_rows() + [(100 + k, "tok " * r.randrange(1, 60), None, None, None) for k in range(200)]
