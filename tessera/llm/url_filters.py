@@ -46,28 +46,49 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path (from `/` on) without its segments `.` and `..`."""
+    parts = F.split(path, "/")
+    walk = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    plain = F.concat(F.lit("/"), F.array_join(walk, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(walk) > 0), "/").otherwise(""))
+    return F.when(path.contains("/."), plain).otherwise(path)
+
+
 def _absolute(link: Column, base: Column) -> Column:
-    """A link as an absolute url: scheme-relative and root-relative links take the page's parts."""
+    """A link as an absolute url: a relative one takes the page's scheme, host, directory or path. Null for
+    links of other kinds (mailto:, javascript:)."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"(?s)^(.*?://[^?#]*)", 1)
+    folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
+    path, tail = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)", 1)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^([A-Za-z][A-Za-z0-9+.\-]*)?://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("/"), F.concat(origin, _without_dots(path), tail))
+        .when(path == "", F.concat(page, link))
+        .otherwise(F.concat(origin, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), tail))
     )
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) of page keys: canonical links and meta refreshes in the html, and, if given,
-    rows (from_url, to_url) of a redirect log."""
-    tag = F.get(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1)), F.lit(0))
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    turn = F.get(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1)), F.lit(0))
-    refresh = F.regexp_extract(turn, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    """Edges (a, b) of page keys: all canonical links and meta refreshes in the html, and, if given,
+    rows (from_url, to_url) of a redirect log. Relative links go from the page's directory, or from its
+    first `<base href>`; of the entities in a link the ampersand is decoded."""
+    link = lambda tag, name: F.regexp_replace(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1), "(?i)&(amp|#38|#x26);", "&")
+    tags = lambda pattern: F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
+    canonical = F.transform(tags(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), lambda t: link(t, "href"))
+    refresh = F.transform(tags(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), lambda t: link(t, "url"))
+    root = link(F.regexp_extract(F.col(html), r"(?is)(<base\b[^>]*\bhref\s*=[^>]*>)", 1), "href")
     # a cheap test first: most pages name neither
     marked = F.lower(F.col(html)).rlike("canonical|refresh")
-    links = pages.where(marked).select(F.col(url).alias("a"), F.explode(F.array(canonical, refresh)).alias("to"))
-    links = links.where(F.col("to") != "").select("a", _absolute(F.col("to"), F.col("a")).alias("b"))
+    links = pages.where(marked).select(F.col(url).alias("a"), root.alias("root"), F.explode(F.concat(canonical, refresh)).alias("to")).where(F.col("to") != "")
+    base = F.coalesce(F.when(F.col("root") != "", _absolute(F.col("root"), F.col("a"))), F.col("a"))
+    links = links.withColumn("base", base).select("a", _absolute(F.col("to"), F.col("base")).alias("b"))
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("from_url").alias("a"), F.col("to_url").alias("b")))
     return links.select(page_key(F.col("a")).alias("a"), page_key(F.col("b")).alias("b")).dropna().where("a != b").distinct()

@@ -163,6 +163,21 @@ def test_urls(spark):
 # --- 3 mixing -------------------------------------------------------------------------------------
 
 
+def test_aliases_by_relative_and_repeated_links(spark):
+    rel, turn = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    told = {  # each page's html; the blocked page it stands for
+        "http://c.com/d/e": (rel % "page.html", "c.com/d/page.html"), "http://d.com/d/e/f?x=/y/z": (rel % "../x", "d.com/d/x"), "http://e.com/d/e?q=2": (rel % "?p=1", "e.com/d/e?p=1"),
+        "http://f.com": (rel % "./x", "f.com/x"), "http://g.com/a": ('<link rel="canonical">' + rel % "http://g.com/b", "g.com/b"), "http://h.com/a": (turn % "/ok" + turn % "/b/../c", "h.com/c"),
+        "http://i.com/a": (rel % "/b?x=1&amp;y=2", "i.com/b?x=1&y=2"), "http://j.com/a": (rel % "b?to=http://z.com/", "j.com/b?to=http://z.com/"), "http://k.com/a/": ('<base href="/r/s"><title>x</title>' + rel % "t", "k.com/r/t"),
+        "http://l.com/a": (rel % "../../../b/.", "l.com/b"), "http://m.com/a": (rel % "mailto:m.com/b", None),
+    }
+    # of each pair the second is blocked through a page of its own in net/
+    rows = [(u, h) for u, (h, _) in told.items()] + [(f"http://{to}", rel % "http://a.net/z") for _, to in told.values() if to] + [("http://a.net/z", None)]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {rows[x["page_id"]][0]: x["verdict"] for x in judge_urls(pages).collect()}
+    assert {u for u in told if got[u] != "block"} == {"http://m.com/a"}
+
+
 def test_rake_meets_its_targets():
     r = np.random.default_rng(1)
     cells = [(f"s{a}", f"l{b}") for a in range(4) for b in range(3)]
