@@ -1,9 +1,11 @@
-"""Greedy and top-k selection with explicit ties. The greedy ones see one group at a time, whose size the
-caller bounds before (frames of a capture); each group is its own unit of work."""
+"""Greedy and top-k selection with explicit ties. The set cover sees one group at a time, whose size the
+caller bounds before (frames of a capture); farthest points and diverse picks hold no group as a whole."""
 
 from __future__ import annotations
 
 import math
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,7 @@ def winner_by_margin(df: DataFrame, key: list[str], option: str, score: str, def
 
 def pose_distance(p: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Distance of positions plus half the angle between directions (of no length: 0, 0, -1)."""
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    v = np.where(n < 1e-6, np.array([0.0, 0.0, -1.0]), v / np.maximum(n, 1e-6))
+    v = unit(v)
     return np.linalg.norm(p[:, None] - p[None], axis=2) + 0.5 * np.arccos(np.clip(v @ v.T, -1, 1))
 
 
@@ -61,15 +62,58 @@ def farthest_points(distance: np.ndarray, k: int, chosen: list[int] | None = Non
     return sorted(out[:k])
 
 
-def sample_poses(df: DataFrame, key: list[str], order: str, position: list[str], direction: list[str], k: int = 12) -> DataFrame:
-    """The k rows of each key whose poses lie furthest apart."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        at = farthest_points(pose_distance(rows[position].to_numpy(float), rows[direction].to_numpy(float)), k)
-        return rows.iloc[at]
-
-    return df.groupBy(*key).applyInPandas(pick, df.schema)
+def unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.where(n < 1e-6, np.array([0.0, 0.0, -1.0]), v / np.maximum(n, 1e-6))
+
+
+def sample_poses(df: DataFrame, key: list[str], order: str, position: list[str], direction: list[str], k: int = 12, block: int = 1024) -> DataFrame:
+    """The k rows of each key whose poses lie furthest apart. A key's first row is that of the largest sum of
+    distances, by pairs of blocks of about `block` rows; each of the k rounds after it measures every row
+    against the last one taken. Each round is written to the session's checkpoint folder."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    doubles = lambda names: F.array(*[F.col(c).cast("double") for c in names])
+
+    def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield f.assign(_v=list(unit(np.stack(f["_v"]).astype(float))))
+
+    # a struct, so that null keys are a key too
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.struct(*key).alias("_k"), F.col(order).alias("_o"), doubles(position).alias("_p"), doubles(direction).alias("_v"))
+    rows = rows.withColumn("_r", F.monotonically_increasing_id()).checkpoint()
+    poses = rows.select("_k", "_r", "_p", "_v")
+    poses = poses.mapInPandas(units, poses.schema).checkpoint()
+    blocks = poses.groupBy("_k").agg(F.ceil(F.count("*") / block).cast("int").alias("_m"))
+    own = poses.join(blocks, "_k").withColumn("_b", F.pmod(F.xxhash64("_r"), F.col("_m")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    left = own.withColumn("_c", other).select("_k", "_b", "_c", "_r", "_p", "_v")
+    right = own.withColumnRenamed("_b", "_c").withColumn("_b", other).select("_k", "_b", "_c", "_r", "_p", "_v").toDF("k", "b", "c", "r", "p", "v")
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"_r": [], "_c": [], "_s": []}).astype({"_r": "int64", "_c": "int32", "_s": "float64"})
+        y = y.sort_values("r")
+        p, v, q, w = (np.stack(c).astype(float) for c in (x["_p"], x["_v"], y["p"], y["v"]))
+        far = np.sqrt(sum((p[:, i, None] - q[None, :, i]) ** 2 for i in range(p.shape[1])))
+        return pd.DataFrame({"_r": x["_r"], "_c": int(y["c"].iloc[0]), "_s": (far + 0.5 * np.arccos(np.clip(v @ w.T, -1, 1))).sum(1)})
+
+    parts = left.groupBy("_k", "_b", "_c").cogroup(right.groupBy("k", "b", "c")).applyInPandas(sums, "_r long, _c int, _s double")
+    # added in the order of the blocks, so that a run gives the same sums again
+    total = F.aggregate(F.sort_array(F.collect_list(F.struct("_c", "_s"))), F.lit(0.0), lambda t, x: t + x["_s"])
+    now = poses.join(parts.groupBy("_r").agg(total.alias("_least")), "_r").join(rows.select("_r", "_o"), "_r").withColumn("_taken", F.lit(False)).checkpoint()
+    for n in range(k):
+        free = now.where(~F.col("_taken"))
+        last = free.groupBy("_k").agg(F.min_by(F.struct(F.col("_r").alias("r"), F.col("_p").alias("p"), F.col("_v").alias("v")), F.struct(-F.col("_least"), "_o", "_r")).alias("_l"))
+        along = lambda a, b, f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda t, x: t + x)
+        apart = F.sqrt(along(F.col("_p"), F.col("_l.p"), lambda x, y: (x - y) * (x - y))) + 0.5 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along(F.col("_v"), F.col("_l.v"), lambda x, y: x * y))))
+        # a key without a row left has no last one
+        now = now.join(last, "_k", "left").select(
+            "_k", "_r", "_o", "_p", "_v", F.coalesce(apart if n == 0 else F.least("_least", apart), "_least").alias("_least"), (F.col("_taken") | F.coalesce(F.col("_r") == F.col("_l.r"), F.lit(False))).alias("_taken")
+        ).checkpoint()
+    return rows.join(now.where("_taken").select("_r"), "_r").select("_row.*")
 
 
 def cover(rows: pd.DataFrame, frame: str, item: str, value: str, k: int) -> list:
@@ -99,17 +143,24 @@ def set_cover(df: DataFrame, key: str, frame: str, item: str, value: str, k: int
 
 
 def diverse(df: DataFrame, key: str, ident: str, score: str, angle: str, k: int, apart: float) -> DataFrame:
-    """By falling score, the rows whose angle (degrees) is at least `apart` from all taken before, up to k."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        rows = rows.sort_values([score, ident], ascending=[False, True]).reset_index(drop=True)
-        for n, a in enumerate(rows[angle]):
-            if len(taken) < k and all(abs((a - rows[angle][t] + 180) % 360 - 180) >= apart for t in taken):
-                taken.append(n)
-        return rows.iloc[taken]
-
-    return df.groupBy(key).applyInPandas(pick, df.schema)
+    """By falling score, the rows whose angle (degrees) is at least `apart` from all taken before, up to k.
+    A key's rows stream through a task in sorted order; the fold carries at most k angles."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, taken = object(), []
+        for f in frames:
+            good = []
+            for x, missing, a in zip(f[key], f[key].isna(), f[angle], strict=True):
+                x = None if missing else x
+                if x != now:
+                    now, taken = x, []
+                good.append(len(taken) < k and all(abs((a - t + 180) % 360 - 180) >= apart for t in taken))
+                if good[-1]:
+                    taken.append(a)
+            yield f[good]
+
+    by = [F.asc(key), F.isnan(F.col(score).cast("double")).asc(), F.desc_nulls_last(score), F.asc_nulls_last(ident)]
+    return df.repartition(key).sortWithinPartitions(*by).mapInPandas(fold, df.schema)
 
 
 def round_robin(df: DataFrame, key: str, ident: str, slots: int) -> DataFrame:

@@ -135,6 +135,32 @@ def test_farthest_points_and_cover():
     assert selection.cover(f, "f", "i", "v", 5) == [3, 2, 1]
 
 
+def test_poses_by_blocks_equal_the_whole_matrix(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(140, 6))
+    x[5, 3:] = 0
+    keys = ["hot"] * 100 + [None] * 35 + ["few"] * 5
+    df = spark.createDataFrame([(k, i, *map(float, v)) for i, (k, v) in enumerate(zip(keys, x, strict=True))], "k string, i int, x double, y double, z double, u double, v double, w double")
+    got = selection.sample_poses(df.repartition(3), ["k"], "i", ["x", "y", "z"], ["u", "v", "w"], 7, block=16)
+    want = [at + j for at, n in ((0, 100), (100, 35), (135, 5)) for j in selection.farthest_points(selection.pose_distance(x[at : at + n, :3], x[at : at + n, 3:]), 7)]
+    assert got.columns == df.columns and rows(got, "i") == [(j,) for j in want]
+
+
+def test_diverse_picks_stream(spark):
+    r = np.random.default_rng(6)
+    data = [(None if i % 9 == 0 else f"k{i % 3}", i, float(r.integers(0, 40)), float(r.uniform(0, 360))) for i in range(400)]
+    got = selection.diverse(spark.createDataFrame(data, "k string, i int, s double, a double"), "k", "i", "s", "a", 6, 30.0)
+    want = []
+    for key in {d[0] for d in data}:
+        taken = []
+        for d in sorted((d for d in data if d[0] == key), key=lambda d: (-d[2], d[1])):
+            if len(taken) < 6 and all(abs((d[3] - t[3] + 180) % 360 - 180) >= 30 for t in taken):
+                taken.append(d)
+        want += [(d[1],) for d in taken]
+    assert rows(got, "i") == sorted(want)
+    assert "InPandas" in (plan := got._jdf.queryExecution().toString()) and "FlatMapGroupsInPandas" not in plan
+
+
 def test_limits_are_errors(spark):
     with pytest.raises(ValueError):
         selection.newest_first(spark.range(3), "id", "id", 101)
