@@ -121,12 +121,14 @@ def link_vectors(
     vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """Links vectors with a cosine (in double precision) of at least `cosine`, among those that share a
-    leaf of a tree; returns vec_id, n_links, component_id (least id reachable by links) and kept.
+    leaf of a tree; returns vec_id, n_links, component_id (least id reachable by links) and kept (the row
+    whose id that is).
 
     The trees are fitted on at most `most_sample` distinct vectors (those of the smallest hashes); all
     vectors are indexed. Vectors that are null, empty, zero, hold nulls or values that are not finite,
     or have another length than most vectors, link with nothing and are components of their own. A
-    null id takes part in links but names no component. Repeated rows are rows of their own: equal
+    null id takes part in links but names no component: component_id is the least id that is not null, and
+    null where links reach none; rows without an id are never kept. Repeated rows are rows of their own: equal
     vectors link. Other columns are not read; no rows give no rows.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
@@ -153,8 +155,8 @@ def link_vectors(
     every = written(rows.mapInArrow(classed, "vec_id long, high long, low long, raw binary"), "vectors")
     reps = written(every.where("high is not null").groupBy("high", "low").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw")), "vector-classes")
     n_reps = reps.count()
-    # A class without an id is numbered by its hash, below all ids of interest
-    numbered = reps.withColumn("node", F.coalesce("rep", -F.abs(F.col("high"))))
+    # Nodes have numbers of their own: ids may be null, or the same for unequal vectors
+    numbered = written(reps.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     sample = [bytes(r[0]) for r in hash_sample(numbered, F.col("high"), most_sample).select("raw").collect()]  # at most most_sample vectors
     points = units(sample) if sample else np.zeros((0, width))
     # as many in a sampled leaf as make about `leaf` of all
@@ -193,9 +195,12 @@ def link_vectors(
 
     found = written(spread.groupBy("leaf", "a", "b").applyInPandas(compare, "src long, dst long, degree long"), "links")
     joined = connected_components(found.where("dst is not null").select("src", "dst"))
+    # a component is named by the least id of its classes
+    named = joined.join(numbered.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("name"))
+    joined = joined.join(named, "component").select("node", "name")
     degrees = found.where("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("degree").alias("degree"))
-    of_class = numbered.select("high", "low", "n", "node").join(joined, "node", "left").join(degrees, "node", "left")
-    of_class = written(of_class.select("high", "low", (F.col("n") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "class-links")
+    of_class = numbered.select("high", "low", "n", "node", "rep").join(joined, "node", "left").join(degrees, "node", "left")
+    of_class = written(of_class.select("high", "low", (F.col("n") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("name", "rep").alias("component")), "class-links")
     out = every.select("vec_id", "high", "low").join(of_class, ["high", "low"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -438,6 +438,15 @@ def test_vectors(spark, part):
     assert link_vectors(df.where("false")).count() == 0
 
 
+def test_null_ids_take_no_group_along(spark):
+    near = [[1.0, 0.01 * k, 0.0] for k in range(4)]
+    rows = [(None, near[0]), (-7, near[1]), (5, near[2]), (None, near[2]), (8, [0.0, 0.0, 1.0]), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.01]), (9, [0.0, -1.0, 0.0]), (9, [0.0, -1.0, -1.0])]
+    got = link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(g["vec_id"]), g["n_links"], str(g["component_id"]), g["kept"]) for g in got) == sorted(
+        [("None", 3, "-7", False), ("-7", 3, "-7", True), ("5", 3, "-7", False), ("None", 3, "-7", False), ("8", 0, "8", True), ("None", 1, "None", False), ("None", 1, "None", False), ("9", 0, "9", True), ("9", 0, "9", True)]
+    )
+
+
 # --- 9 packing ------------------------------------------------------------------------------------
 
 
