@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -16,11 +17,12 @@ from ..session import attach, table  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("tessera.scratch.dir", None)
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a single-machine session (local[..])
+    takes a temporary folder; any other session is refused, since its executors would not see the driver's disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.scratch.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.scratch.dir", found)
     return found.rstrip("/")
@@ -67,28 +69,6 @@ def fold_of(ids: list, modulus: int) -> np.ndarray:
     return np.array([-1 if i is None else zlib.crc32(str(i).encode()) % modulus for i in ids], dtype=np.int64)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; forgets everything when it has grown over `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased: bytes.lower and bytes.split know ASCII only."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -101,6 +81,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased, if asked) of all texts, and where
+    each text's words begin (and the last text's end). Eight bytes of all words are taken at a time, and no
+    word becomes an object."""
+    raw = b"\n".join(texts) + b" " * 9
+    raw = raw.lower() if lower else raw  # bytes.lower knows ASCII only
+    a = np.frombuffer(raw, dtype=np.uint8)
+    space = (a == 32) | ((a - np.uint8(9)) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    begins, size = edges[::2], edges[1::2] - edges[::2]
+    starts = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    on = np.flatnonzero(size <= LONG_WORD)
+    with np.errstate(over="ignore"):
+        for k in range(0, LONG_WORD, 8):
+            if not len(on):
+                break
+            left = size[on] - k
+            out[on] = mix((out[on] ^ (eights[begins[on] + k] & _MASKS[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93))
+            on = on[left > 8]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[begins[k] : begins[k] + size[k]])
+    return out, starts
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of all n-word windows, in order; the whole sequence as one if it is shorter."""
     if not len(words):

@@ -25,13 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shingle_hashes, written
+from .common import shingle_hashes, word_hashes, written
 from .components import connected_components
 from .exchange import count_keys, for_each_block, make_blocks
 
 #: Sizes above this are never light: their subsets cost more than any list.
 MOST_LIGHT = 16
-_HASHES = WordHashes()
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -117,7 +116,8 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, doc_id: str, text: str)
     blocks = make_blocks(docs, doc_id, text)
 
     def sets_of(texts: list[bytes]) -> list[np.ndarray]:
-        return [np.unique(shingle_hashes(_HASHES.of(t.lower().split()), n)) for t in texts]
+        words, at = word_hashes(texts)
+        return [np.unique(shingle_hashes(words[a:b], n)) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def distinct(sets: list[np.ndarray]) -> dict[bytes, int]:
         out: dict[bytes, int] = {}
@@ -131,7 +131,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, doc_id: str, text: str)
         once = [sets[k] for k in distinct(sets).values()]
         return {0: np.unique(np.concatenate(once), return_counts=True)} if once else {}
 
-    def sets_to_link(ids: list, texts: list[bytes], counts: dict[int, np.ndarray]) -> pd.DataFrame:
+    def sets_to_link(ids: list, texts: list[bytes], told) -> pd.DataFrame:
         sets = sets_of(texts)
         classes = distinct(sets)
         rows = []
@@ -140,9 +140,10 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, doc_id: str, text: str)
             rows.append(("doc", i, len(s), high, low, None, None))
         if classes:
             keys = np.unique(np.concatenate([sets[k] for k in classes.values()]))
+            counts = told(0, keys)
             for digest, k in classes.items():
                 s = sets[k]
-                held = counts[0][np.searchsorted(keys, s)]
+                held = counts[np.searchsorted(keys, s)]
                 rare = np.lexsort((s, held))[: prefix_length(len(s), percent)]
                 rare = rare[held[rare] > 1]
                 if len(rare) or len(s) <= MOST_LIGHT:
@@ -154,8 +155,8 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, doc_id: str, text: str)
             out[c] = pd.array(out[c].to_list(), dtype="Int64")
         return out
 
-    answers = count_keys(blocks, keys_of)
-    return written(for_each_block(blocks, answers, sets_to_link, SETS), "sets")
+    counts = count_keys(blocks, keys_of, {0: 40})  # a count that is too high only gives more to verify
+    return written(for_each_block(blocks, counts, sets_to_link, SETS), "sets")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, part: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, hash_sample, shingle_hashes
+from .common import batches, hash_sample, shingle_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 _KEEP_SYMBOLS = bytes(c for c in range(256) if c not in SYMBOLS)
@@ -35,7 +35,7 @@ def hashed_ngrams(text: str | None, bits: int, n: int = 4) -> np.ndarray:
     return h >> np.uint32(32 - bits)
 
 
-def base_measures(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int, int]:
+def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     if not text:
         return 0, 0, 0, 0, 0
@@ -47,7 +47,7 @@ def base_measures(text: str | None, hashes: WordHashes) -> tuple[int, int, int,
     lines = [x for x in raw.split(b"\n") if x.strip()]
     repeated = 0
     if len(words) >= 4:
-        h = shingle_hashes(hashes.of(words), 3)
+        h = shingle_hashes(word_hashes([raw], lower=False)[0], 3)
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         often = count[back] > 1
         if often.any():
@@ -60,8 +60,9 @@ def base_measures(text: str | None, hashes: WordHashes) -> tuple[int, int, int,
 
 def ngram_ratios(docs: DataFrame, trusted: DataFrame, bits: int = 16, most_trusted: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray | None:
     """The log ratio of each bucket. The raw counts are of all documents, the target's of at most
-    `most_trusted` trusted ids (those of the smallest hashes); both are smoothed by one. Null without
-    trusted texts."""
+    `most_trusted` trusted ids (those of the smallest hashes); both are smoothed by one. None without
+    trusted texts. Null and empty texts have no n-grams; null ids are in the raw counts alone, and a
+    repeated id's rows are all trusted; other columns are not read."""
     ids = trusted.select(F.col(doc_id).cast("long").alias("id")).dropna().distinct()
     ids = hash_sample(ids, F.xxhash64("id"), most_trusted)
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.collect()], dtype=np.int64)))  # at most most_trusted ids
@@ -107,12 +108,12 @@ def judge_quality(
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def judge(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), shared.value
+        table = shared.value
         bits = 0 if table is None else int(math.log2(len(table)))
         for b in batches(tables, 2 << 20):
             out = []
             for s in b.column(1).to_pylist():
-                m = base_measures(s, hashes)
+                m = base_measures(s)
                 failed = m[0] < least_words or 100 * m[4] > most_repeated * m[0]
                 llr = 0.0 if table is None or not s else float(table[hashed_ngrams(s, bits)].mean())
                 out.append((*m, failed, llr, not failed and llr >= threshold))

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import pii
+from tessera.llm.common import word_hashes
 from tessera.llm.components import connected_components
 from tessera.llm.jaccard_join import jaccard_components, light_boundary, subset_keys
-from tessera.llm.language_model import score_texts
+from tessera.llm.exchange import pack, pack_keys, unpack, unpack_keys
+from tessera.llm.language_model import BEGIN, Automaton, longer, score_texts
 from tessera.llm.mixing import mix_sources, probabilities, rake
 from tessera.llm.packing import configurations, pack_documents, program, slots
 from tessera.llm.quality import judge_quality, ngram_ratios
@@ -325,41 +327,72 @@ def test_token_files(spark, tmp_path):
 # --- 6 language model -----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 4])
 def test_language_model(spark, order):
     r = random.Random(3)
     rows = odd_rows() + [(100 + k, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(40))), None, None, None) for k in range(40)]
+    rows.append((777, " ".join(r.choice("abcdefgh") for _ in range(900)), None, None, None))  # longer than a lane
     got = score_texts(docs_of(spark, rows), order=order).collect()
-    counts, texts = collections.Counter(), []
+    counts, texts, mu = collections.Counter(), [], (16.0, 4.0, 1.0)
     for i, t, *_ in rows:
-        w = [*WORD.findall(lower(t or "")), "\n"]
+        w = ["\r", *WORD.findall(lower(t or "")), "\n"]
         held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
         texts.append((i, w, held))
         if not held:
             for n in range(1, order + 1):
-                padded = ["\r"] * (n - 1) + w
-                counts.update(tuple(padded[k : k + n]) for k in range(len(w)))
-    begins = sum(not h for *_, h in texts)
-    N = sum(v for k, v in counts.items() if len(k) == 1)
-    V = sum(len(k) == 1 for k in counts)
+                counts.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    N = sum(v for k, v in counts.items() if len(k) == 1 and k != ("\r",))
+    V = sum(len(k) == 1 and k != ("\r",) for k in counts)
 
     def p(gram):
         if len(gram) == 1:
             return (counts[gram] + 1) / (N + V + 1)
-        h = gram[:-1]
-        c = begins if set(h) == {"\r"} else counts[h]
-        return (counts[gram] + 16 * p(gram[1:])) / (c + 16)
+        m = mu[len(gram) - 2]
+        return (counts[gram] + m * p(gram[1:])) / (counts[gram[:-1]] + m)
 
     want = []
     for i, w, held in texts:
-        padded = ["\r"] * (order - 1) + w
-        want.append((str(i), held, len(w), sum(counts[(x,)] > 0 for x in w), N, sum(math.log10(p((x,))) for x in w), sum(math.log10(p(tuple(padded[k : k + order]))) for k in range(len(w)))))
+        score = sum(math.log10(p(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(1, len(w)))
+        want.append((str(i), held, len(w) - 1, sum(counts[(x,)] > 0 for x in w[1:]), N, sum(math.log10(p((x,))) for x in w[1:]), score))
     assert len(got) == len(want)
     for a, b in zip(sorted((str(x[0]), *x[1:]) for x in got), sorted(want), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
     assert score_texts(empty_of(spark)).count() == 0
 
 
+def test_the_automaton_walks_arcs_and_failure_arcs():
+    """A hand-made machine over the words a, b: the states are the root, a and b; the 2-grams are ab and ba."""
+    a, b, x = (np.array([k], dtype=np.uint64) for k in (11, 22, 33))
+    one = np.concatenate([longer(w, w, 1) for w in (a, b)])
+    two = np.concatenate([longer(one[:1], b, 2), longer(one[1:], a, 2)])
+    o1, o2 = np.argsort(one), np.argsort(two)
+    at = np.argsort(o1)  # where a and b are
+    machine = Automaton([np.zeros(0, np.uint64), one[o1], two[o2]], [np.zeros(0), np.array([-1.0, -2.0])[o1], np.array([-0.25, -0.5])[o2]], [np.zeros(0), np.array([-0.125, -4.0])[o1]], [np.zeros(0, np.int64), np.zeros(2, np.int64), np.array([at[1], at[0]])[o2]], -9.0)
+    # a b | a b b: b has no arc to b, so its failure arc and the root's arc; then an unknown word by both ways
+    tokens, starts = np.concatenate([[BEGIN], a, b, [BEGIN], a, b, b, x]), np.array([0, 3, 8])
+    want = [-1 - 0.25, -1 - 0.25 + (-4 - 2) + (-4 - 9)]
+    assert machine.read(tokens, starts).tolist() == want == machine.read(tokens, starts, lane=1).tolist()
+    machine.failure[1][:] = 0
+    assert machine.read(tokens, starts).tolist() == [want[0], want[1] + 8]
+
+
+def test_keys_come_back_as_they_were_packed():
+    r = np.random.default_rng(2)
+    for keys in (np.sort(r.integers(0, 1 << 40, 5000, dtype=np.uint64)), np.array([0, 3], np.uint64), np.array([(1 << 48) - 1], np.uint64)):
+        assert (unpack_keys(pack_keys(keys)) == keys).all()
+    for counts in (np.array([0, 1, 255]), np.array([70_000, 1]), np.array([1 << 40])):
+        assert (unpack(pack(counts)) == counts).all()
+
+
+def test_words_are_hashed_as_they_are_split():
+    texts = ["", " \t a b\x0bA  b", "x" * 100 + " c" + "x" * 100, "ÀÉ É é 日本", "x" * 64, "x" * 65, "xxxxxxxx xxxxxxxxx"]
+    h, starts = word_hashes([t.encode() for t in texts])
+    words = [WORD.findall(lower(t)) for t in texts]
+    assert np.diff(starts).tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert len({*zip(flat, h.tolist(), strict=True)}) == len(set(flat)) == len(set(h.tolist()))
+
+
 # --- 7 Jaccard join -------------------------------------------------------------------------------
 
 
