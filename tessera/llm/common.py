@@ -86,8 +86,8 @@ LONG_WORD = 64
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased, if asked) of all texts, and where
+def sized_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes and sizes in bytes of the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased, if asked) of all texts, and where
     each text's words begin (and the last text's end). Eight bytes of all words are taken at a time, and no
     word becomes an object."""
     raw = b"\n".join(texts) + b" " * 9
@@ -111,9 +111,22 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
             on = on[left > 8]
     for k in np.flatnonzero(size > LONG_WORD).tolist():
         out[k] = xxhash.xxh64_intdigest(raw[begins[k] : begins[k] + size[k]])
+    return out, size, starts
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    out, _, starts = sized_words(texts, lower)
     return out, starts
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as set it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of all n-word windows, in order; the whole sequence as one if it is shorter."""
     if not len(words):

@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network, in numpy, is trained from labelled spans: those of the patterns in a bounded sample
-of the corpus, and written-out forms that the patterns do not know. It reads the characters around
-digits and at signs (without one there, no span can begin) in overlapping windows; their emissions
-are averaged where they overlap and one Viterbi pass over the whole region decides.
+The network, in numpy, is trained from labelled spans: those of the patterns in a bounded sample of the
+corpus, and forms that the patterns do not know (spelled-out addresses, national and odd groupings, secrets)
+planted in cuts of the corpus's own texts. It reads every character of every text in overlapping windows; where
+two windows overlap, their emissions are blended; one Viterbi pass runs over each stretch in which any
+tag but O is possible, across the borders of windows, so that a span is decided once and as a whole.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, hash_share
 
 KINDS = ("email", "ip", "card", "phone")
+#: The network also knows secrets (keys, tokens, passwords), for which there is no fixed pattern.
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits is tried from its start alone: what fails there fails inside it.
@@ -67,11 +70,16 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 # --- the network ---------------------------------------------------------------------------
 
-TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-WINDOW, STRIDE, MARGIN = 96, 48, 32
+TAGS = ["O"] + [f"{p}-{k}" for k in ALL_KINDS for p in "BI"]
+#: Characters of a window and of its overlap with the next one; of a window in training.
+WINDOW, OVERLAP, TRAINED = 256, 32, 96
+#: The weight of the single places in the loss.
+ALONE = 0.5
+#: Where every other tag, with the best transition into it, is so much worse (in log units) than staying outside, no
+#: Viterbi path is looked for: a span that pays has no such place.
+CERTAIN = 2.0
 _ALLOWED = np.array([[b[0] != "I" or a[2:] == b[2:] and a != "O" for b in TAGS] for a in TAGS])
 _STARTS = np.array([t[0] != "I" for t in TAGS])
-_SEED = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
 
 
 def codes(text: str) -> np.ndarray:
@@ -83,18 +91,6 @@ def codes(text: str) -> np.ndarray:
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within MARGIN characters of a digit, an at sign or a bracketed `at`."""
-    out: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -106,7 +102,7 @@ class Tagger:
     p: dict[str, np.ndarray]
 
     @staticmethod
-    def new(embed: int = 12, hidden: int = 20, seed: int = 5) -> Tagger:
+    def new(embed: int = 16, hidden: int = 12, seed: int = 5) -> Tagger:
         r = np.random.default_rng(seed)
         p = {"E": r.normal(0, 0.3, (102, embed)), "V": r.normal(0, 0.2, (2 * hidden, len(TAGS))), "c": np.zeros(len(TAGS)), "T": np.zeros((len(TAGS), len(TAGS)))}
         for d in "fb":
@@ -157,30 +153,31 @@ class Tagger:
         return da @ self.p[f"W{d}"].T
 
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of the tag sequences under the CRF; pads are tagged O."""
+        """Mean negative log-likelihood of the tag sequences under the CRF, and ALONE times that of each tag by its
+        emissions; pads are tagged O."""
         keep: dict = {}
-        em, T = self.emissions(x, keep).astype(np.float64), self.p["T"].astype(np.float64)
-        B, L, K = em.shape
-        allowed = np.where(_ALLOWED, T, -1e4)
-        alpha, beta = np.empty((L, B, K)), np.zeros((L, B, K))
-        alpha[0] = em[:, 0] + np.where(_STARTS, 0, -1e4)
-        for t in range(1, L):
-            v = alpha[t - 1][:, :, None] + allowed
-            m = v.max(1)
-            alpha[t] = em[:, t] + m + np.log(np.exp(v - m[:, None]).sum(1))
+        em, T = self.emissions(x, keep).astype(np.float64).transpose(1, 0, 2), self.p["T"].astype(np.float64)
+        L, B, K = em.shape
+        top = em.max(2, keepdims=True)
+        E, M = np.exp(em - top), np.where(_ALLOWED, np.exp(T), 0)
+        # forward and backward sums, each step scaled to 1
+        alpha, beta, scale = np.empty((L, B, K)), np.ones((L, B, K)), np.empty((L, B, 1))
+        for t in range(L):
+            alpha[t] = E[t] * (alpha[t - 1] @ M if t else _STARTS)
+            scale[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= scale[t]
         for t in range(L - 2, -1, -1):
-            v = allowed + (em[:, t + 1] + beta[t + 1])[:, None]
-            m = v.max(2)
-            beta[t] = m + np.log(np.exp(v - m[:, :, None]).sum(2))
-        m = alpha[-1].max(1)
-        total = m + np.log(np.exp(alpha[-1] - m[:, None]).sum(1))
-        rows = np.arange(B)
-        gold = em[rows[:, None], np.arange(L), y].sum(1) + T[y[:, :-1], y[:, 1:]].sum(1)
-        d = np.exp(alpha + beta - total[None, :, None]).transpose(1, 0, 2)
-        d[rows[:, None], np.arange(L), y] -= 1
-        dT = np.zeros((K, K))
-        for t in range(1, L):
-            dT += np.exp(alpha[t - 1][:, :, None] + allowed + (em[:, t] + beta[t])[:, None] - total[:, None, None]).sum(0)
+            beta[t] = (E[t + 1] * beta[t + 1] / scale[t + 1]) @ M.T
+        total = (np.log(scale) + top).sum((0, 2))
+        rows, steps = np.arange(B), np.arange(L)[:, None]
+        gold = em[steps, rows, y.T].sum(0) + T[y[:, :-1], y[:, 1:]].sum(1)
+        # beside the CRF's, the loss of each place by its emissions alone, so that they tell clean places by themselves
+        alone = E / E.sum(2, keepdims=True)
+        picked = np.log(alone[steps, rows, y.T]).sum(0)
+        d = alpha * beta + ALONE * alone
+        d[steps, rows, y.T] -= 1 + ALONE
+        d = d.transpose(1, 0, 2)
+        dT = M * (alpha[:-1].reshape(-1, K).T @ (E[1:] * beta[1:] / scale[1:]).reshape(-1, K))
         np.add.at(dT, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
         d = (d / B).astype(np.float32).transpose(1, 0, 2)
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -191,9 +188,9 @@ class Tagger:
         dh = d @ self.p["V"].T
         de = self._back("f", keep["e"], dh[:, :, :n], keep["f"], grad) + self._back("b", keep["e"][::-1], dh[::-1, :, n:], keep["b"], grad)[::-1]
         np.add.at(grad["E"], x.T, de)
-        return float((total - gold).mean()), grad
+        return float((total - gold - ALONE * picked).mean()), grad
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 9) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.015, seed: int = 9) -> Tagger:
         r, first, second, t = np.random.default_rng(seed), {}, {}, 0
         for epoch in range(epochs):
             order = r.permutation(len(x))
@@ -205,178 +202,316 @@ class Tagger:
                     g *= min(1.0, 5.0 / max(size, 1e-9))
                     first[name] = 0.9 * first.get(name, 0) + 0.1 * g
                     second[name] = 0.999 * second.get(name, 0) + 0.001 * g * g
-                    step = rate * 0.7**epoch * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.999**t)) + 1e-8)
+                    step = rate * 0.75**epoch * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.999**t)) + 1e-8)
                     self.p[name] -= step.astype(np.float32)
         return self
 
     def viterbi(self, em: np.ndarray) -> np.ndarray:
-        T = np.where(_ALLOWED, self.p["T"], -1e4)
-        score, back = em[0] + np.where(_STARTS, 0, -1e4), np.zeros(em.shape, dtype=np.int8)
-        for t in range(1, len(em)):
+        """em: (tags, time, stretches) -> tags (time, stretches); a stretch begins after an O."""
+        T = np.where(_ALLOWED, self.p["T"], -1e4).astype(np.float32)[:, :, None]
+        score, back = em[:, 0] + np.where(_STARTS, 0, -1e4).astype(np.float32)[:, None], np.zeros(em.shape, dtype=np.int8)
+        for t in range(1, em.shape[1]):
             v = score[:, None] + T
-            back[t] = v.argmax(0)
-            score = v.max(0) + em[t]
-        tags = np.empty(len(em), dtype=np.int8)
-        tags[-1] = score.argmax()
-        for t in range(len(em) - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
+            back[:, t] = v.argmax(0)
+            score = v.max(0) + em[:, t]
+        tags, rows = np.empty(em.shape[1:], dtype=np.int8), np.arange(em.shape[2])
+        tags[-1] = score.argmax(0)
+        for t in range(em.shape[1] - 1, 0, -1):
+            tags[t - 1] = back[tags[t], t, rows]
         return tags
 
-    def decode(self, stretches: list[np.ndarray], most_windows: int = 1024) -> list[np.ndarray]:
-        """Tags of each stretch of codes: all their windows are read in batches, the emissions of
-        overlapping windows averaged (a window's middle counts most), then one Viterbi pass each."""
-        places = [(k, a) for k, s in enumerate(stretches) for a in range(0, max(1, len(s) - WINDOW + STRIDE), STRIDE)]
-        sums = [np.zeros((len(s), len(TAGS)), dtype=np.float32) for s in stretches]
-        total = [np.zeros(len(s), dtype=np.float32) for s in stretches]
-        middle = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
-        for at in range(0, len(places), most_windows):
-            part = places[at : at + most_windows]
-            x = np.zeros((len(part), WINDOW), dtype=np.int64)
-            for row, (k, a) in enumerate(part):
-                piece = stretches[k][a : a + WINDOW]
-                x[row, : len(piece)] = piece
-            em = self.emissions(x)
-            for row, (k, a) in enumerate(part):
-                n = min(WINDOW, len(stretches[k]) - a)
-                sums[k][a : a + n] += em[row, :n] * middle[:n, None]
-                total[k][a : a + n] += middle[:n]
-        return [self.viterbi(s / n[:, None]) for s, n in zip(sums, total, strict=True)]
-
-
-def tag_windows(text: str, spans: list[tuple[str, int, int]], among: list[tuple[int, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Training windows of the stretches `among`: codes and gold tags."""
+    def reader(self) -> Reader:
+        """The same network for reading alone: the input side as a table of characters, half the arguments of the
+        sigmoids (a sigmoid is a tanh of half its argument, scaled), so that a step has one product and two tanh."""
+        n = len(self.p["Uf"])
+        half = np.repeat([0.5, 0.5, 0.5, 1.0], n).astype(np.float32)
+        sides = [((self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]) * half, self.p[f"U{d}"] * half, self.p["V"][k * n : (k + 1) * n]) for k, d in enumerate("fb")]
+        T = np.where(_ALLOWED, self.p["T"], -1e4)
+        return Reader(sides, self.p["c"], (T.max(0) - T[0, 0])[1:], self)
+
+
+@dataclass
+class Reader:
+    sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    c: np.ndarray
+    enter: np.ndarray
+    tagger: Tagger
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """x: codes (time, batch) -> (tags, time, batch)."""
+        n = len(self.sides[0][1])
+        out = np.empty((*x.shape, 2 * n), dtype=np.float32)
+        for k, (table, U, _) in enumerate(self.sides):
+            h, c = np.zeros((x.shape[1], n), dtype=np.float32), np.zeros((x.shape[1], n), dtype=np.float32)
+            a, g = np.empty((x.shape[1], 4 * n), dtype=np.float32), np.empty((x.shape[1], 4 * n), dtype=np.float32)
+            for t in range(len(x))[:: -1 if k else 1]:
+                np.take(table, x[t], 0, out=g, mode="clip")
+                np.matmul(h, U, out=a)
+                a += g
+                np.tanh(a, out=a)
+                s = a[:, : 3 * n]
+                s *= 0.5
+                s += 0.5
+                c *= s[:, n : 2 * n]
+                c += s[:, :n] * a[:, 3 * n :]
+                np.tanh(c, out=h)
+                h *= s[:, 2 * n :]
+                out[t, :, k * n : (k + 1) * n] = h
+        V = np.concatenate([side[2] for side in self.sides])
+        return (V.T @ out.reshape(-1, 2 * n).T + self.c[:, None]).reshape(-1, *x.shape)
+
+    def spans(self, texts: list[str], most_windows: int = 512) -> list[tuple[int, str, int, int]]:
+        """(text, kind, start, end) of all spans in the whole texts."""
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        offset, stride = np.cumsum(size) - size, WINDOW - OVERLAP
+        every = codes("".join(texts)).astype(np.int32)
+        windows = np.maximum(1, -(-(size - OVERLAP) // stride)) * (size > 0)
+        of = np.repeat(np.arange(len(texts)), windows)
+        begin = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * stride
+        ramp = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)[:, None]
+        steps = np.arange(WINDOW)[:, None]
+        places, found, tail = [], [], np.zeros((len(TAGS), OVERLAP, 1), dtype=np.float32)
+        for at in range(0, len(of), most_windows):
+            k, a = of[at : at + most_windows], begin[at : at + most_windows]
+            inside, where = a + steps < size[k], offset[k] + a + steps
+            em = self.emissions(np.where(inside, every[np.minimum(where, len(every) - 1)], 0))
+            before, tail = np.concatenate([tail, em[:, stride:, :-1]], axis=2), em[:, stride:, -1:].copy()
+            later = np.flatnonzero(a > 0)
+            em[:, :OVERLAP, later] = ramp * em[:, :OVERLAP, later] + (1 - ramp) * before[:, :, later]
+            last = a + WINDOW >= size[k]
+            t, row = np.nonzero(((em[1:] + self.enter[:, None, None].astype(np.float32)).max(0) > em[0] - CERTAIN) & inside & (last | (steps < stride)))
+            places.append(where[t, row])
+            found.append(em[:, t, row].T)
+        if not places:
+            return []
+        place, em = np.concatenate(places), np.concatenate(found)
+        order = np.argsort(place)
+        place, em = place[order], em[order]
+        text = np.searchsorted(np.cumsum(size), place, "right")
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(text) != 0)])) if len(place) else np.zeros(0, np.int64)
+        length = np.diff(np.append(new, len(place)))
+        out, order = [], np.argsort(length, kind="stable")
+        # stretches of about one length go together: the length doubles at most, and no more than 65,536 places
+        groups, first = [], 0
+        for q in range(1, len(order) + 1):
+            if q == len(order) or length[order[q]] > 2 * length[order[first]] or (q - first) * length[order[q]] > 1 << 16:
+                groups.append(order[first:q])
+                first = q
+        for part in groups if len(order) else []:
+            padded = np.full((len(TAGS), int(length[part].max()), len(part)), -1e4, dtype=np.float32)
+            padded[0] = 0  # after its end a stretch is outside
+            for r, q in enumerate(part.tolist()):
+                padded[:, : length[q], r] = em[new[q] : new[q] + length[q]].T
+            for q, tags in zip(part.tolist(), self.tagger.viterbi(padded).T, strict=True):
+                for t in np.flatnonzero((tags > 0) & (tags % 2 == 1)).tolist():  # odd tags begin a span
+                    end = t + 1
+                    while end < length[q] and tags[end] == tags[t] + 1:
+                        end += 1
+                    k, a = int(text[new[q]]), int(place[new[q]] + t - offset[text[new[q]]])
+                    out.append((k, TAGS[tags[t]][2:], a, a + end - t))
+        return sorted(out)
+
+
+def tag_windows(text: str, spans: list[tuple[str, int, int]], window: int = TRAINED) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Training windows of a text: codes and gold tags."""
     tags, c = np.zeros(len(text), dtype=np.int64), codes(text)
     for kind, a, b in spans:
         tags[a:b] = TAGS.index(f"I-{kind}")
         tags[a] = TAGS.index(f"B-{kind}")
     xs, ys = [], []
-    for a, b in among:
-        for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE):
-            x, y = np.zeros(WINDOW, dtype=np.int64), np.zeros(WINDOW, dtype=np.int64)
-            n = min(WINDOW, b - s)
-            x[:n], y[:n] = c[s : s + n], tags[s : s + n]
-            if y[0] and TAGS[y[0]][0] == "I":  # a window may begin inside a span
-                y[0] -= 1
-            xs.append(x)
-            ys.append(y)
+    for s in range(0, max(1, len(text) - window // 2), window // 2):
+        x, y = np.zeros(window, dtype=np.int64), np.zeros(window, dtype=np.int64)
+        n = min(window, len(text) - s)
+        x[:n], y[:n] = c[s : s + n], tags[s : s + n]
+        if y[0] and TAGS[y[0]][0] == "I":  # a window may begin inside a span
+            y[0] -= 1
+        xs.append(x)
+        ys.append(y)
     return xs, ys
 
 
-def written_forms(n: int, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Labelled sentences: forms of the four kinds, among them ones that the patterns do not know,
-    and numbers that are no personal data."""
-    r = np.random.default_rng(seed)
-    num = lambda k: "".join(map(str, r.integers(0, 10, k)))
-    syllables = ["an", "the", "ver", "ou", "ti", "ea", "st", "ing", "en", "que", "ch", "os", "ra", "li", "mo"]
-    word = lambda: "".join(r.choice(syllables, r.integers(1, 4)))
+class Forms:
+    """Written forms of personal data and secrets, most of which the patterns do not know, and of numbers that are neither."""
 
-    def card() -> str:
-        d = num(15)
-        d += next(c for c in "0123456789" if luhn(d + c))
-        sep = r.choice(["", " ", "-", "."])
-        return sep.join(d[k : k + 4] for k in range(0, 16, 4))
-
-    def host() -> str:
-        return f"{word()}{num(1)}.{word()}.{r.choice(['com', 'net', 'org', 'de'])}"
-
-    forms = {
-        "email": [lambda: f"{word()}.{num(2)}@{host()}", lambda: f"{word()}@{host()}", lambda: f"{word()} (at) {host()}", lambda: f"{word()}.{num(2)}[at]{host()}"],
-        "ip": [lambda: ".".join(str(r.integers(0, 256)) for _ in range(4))],
-        "card": [card],
-        "phone": [lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"+{num(2)} {num(3)} {num(3)} {num(3)}"],
-        "": [lambda: num(int(r.integers(1, 9))), lambda: f'"{"".join(r.choice(list("0123456789abcdef"), 32))}"', lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)},{num(3)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: word() + num(3), lambda: f"@{word()}"],
-    }
-    out = []
-    for _ in range(n):
-        text, spans = " ".join(word() for _ in range(r.integers(2, 7))) + r.choice([" ", ": ", ", "]), []
-        for _ in range(r.integers(1, 3)):
-            kind = str(r.choice(["email", "ip", "card", "phone", "", ""]))
-            form = str(forms[kind][r.integers(0, len(forms[kind]))]())
-            if kind:
-                spans.append((kind, len(text), len(text) + len(form)))
-            text += form + str(r.choice([" ", ", ", ". ", "*** ", "! "])) + " ".join(word() for _ in range(r.integers(1, 5))) + " "
-        out.append((text, spans))
-    return out
+    def __init__(self, seed: int):
+        self.r = np.random.default_rng(seed)
+
+    def num(self, k: int) -> str:
+        return "".join(map(str, self.r.integers(0, 10, k)))
+
+    def word(self) -> str:
+        return "".join(self.pick(["an", "the", "ver", "ou", "ti", "ea", "st", "ing", "en", "que", "ch", "os", "ra", "li", "mo", "é", "ü", "ñ"]) for _ in range(self.r.integers(1, 5)))
 
+    def pick(self, options: list) -> str:
+        return options[int(self.r.integers(len(options)))]
 
-def fit_tagger(docs: DataFrame, most_rows: int = 10_000, most_windows: int = 1_500, n_forms: int = 1_200, epochs: int = 5, doc_id: str = "doc_id", text: str = "text") -> Tagger:
-    """Trains on the patterns' spans in those texts with a digit or an at sign that are among the (about)
-    `most_rows` of the smallest id hashes, at most `most_windows` windows, and on `n_forms` written forms."""
+    def host(self, dot: str = ".") -> str:
+        name = "".join(c for c in self.word() if c < "\x7f") or "mail"
+        return dot.join([name + self.pick(["", self.num(1)]), *self.pick([[], ["example"], ["uni"]]), self.pick(["com", "net", "org", "de", "fr", "es"])])
+
+    def email(self) -> str:
+        name = "".join(c for c in self.word() if c < "\x7f") or "me"
+        name += self.pick(["", f".{self.num(2)}", f"_{self.num(1)}", self.num(2)])
+        kind = self.r.integers(8)
+        if kind < 2:
+            return f"{name}@{self.host()}"
+        if kind < 4:
+            return name + self.pick([" (at) ", "[at]", " [at] ", "(at)"]) + self.host(self.pick([".", ".", "[.]", " (dot) "]))
+        at, dot = self.pick([("at", "dot"), ("arobase", "point"), ("ät", "punkt"), ("arroba", "punto")])
+        if kind < 7:
+            return f"{name} {at} {self.host(f' {dot} ')}"
+        return f"{name} @ {self.host(' . ')}"
+
+    def ip(self) -> str:
+        four = [str(self.r.integers(0, 256)) for _ in range(4)]
+        if self.r.integers(6) == 0:
+            return ":".join(f"{self.r.integers(1, 65536):x}" for _ in range(8))
+        return self.pick([".", ".", "[.]", " . ", "(.)"]).join(four)
+
+    def card(self) -> str:
+        amex = self.r.integers(4) == 0
+        d = self.num(14 if amex else 15)
+        d += next(c for c in "0123456789" if luhn(d + c))
+        cuts = [0, 4, 10, 15] if amex else [0, 4, 8, 12, 16]
+        return self.pick(["", " ", "-", ".", " - ", "/"]).join(d[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def phone(self) -> str:
+        n = self.num
+        return self.pick([
+            f"+{n(1)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}",
+            f"0{n(2)}/{n(7)}", f"(0{n(3)}) {n(6)}", f"6{n(2)} {n(2)} {n(2)} {n(2)}", f"00{n(2)} {n(3)} {n(3)} {n(3)}", f"+{n(2)} {n(3)} {n(3)} {n(3)}", f"0{n(3)} {n(4)} {n(3)}",
+        ])
+
+    def secret(self) -> str:
+        letters = list(self.pick(["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]))
+        body = "".join(self.r.choice(letters, int(self.pick([20, 24, 32, 40, 40, 64]))))
+        return body
+
+    NAMES = ["token", "TOKEN", "api_key", "apikey", "secret", "SECRET_KEY", "password", "passwd", "Authorization", "access_token", "pwd", "clave", "mot de passe", "Passwort"]
+
+    def clean(self) -> str:
+        n = self.num
+        return self.pick([
+            n(int(self.r.integers(1, 17))), f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(1)}.{n(1)}.{n(2)}", f"version {n(1)}.{n(1)}", f"{n(2)},{n(3)}.{n(2)}", f"{n(2)}:{n(2)}", f"{n(2)}:{n(2)}:{n(2)}", self.word() + n(3),
+            f"@{self.word()}", f"{n(1)} {n(2)} {n(1)}", f"{self.word()} at {self.word()}", f"{self.word()} dot {self.word()}", f"{self.word()} point {self.word()}", f"{self.word()}.{self.word()}", f"({n(4)})", f"${n(3)}.{n(2)}", f"{n(3)}-{n(4)}", f"{n(1)}/{n(1)}", f"§ {n(3)}", f"{n(2)} %",
+            f"http://{self.host()}/{self.word()}", f"www.{self.host()}", " ".join([self.word()] * 6), " ".join([self.pick(["at", "to", "de", "dot", "a"])] * int(self.r.integers(2, 12))),
+        ])
+
+    def planted(self, context: str) -> tuple[str, list[tuple[str, int, int]]]:
+        """The text with one or two forms between its words, and their spans (those of no kind have none)."""
+        words, spans = context.split(" "), []
+        for _ in range(int(self.r.integers(1, 3))):
+            kind = self.pick([*ALL_KINDS, "email", "phone", "", "", ""])
+            form = self.clean() if not kind else getattr(self, kind)()
+            before = after = ""
+            if kind == "secret":
+                before = self.pick(self.NAMES) + self.pick([" = ", "=", ": ", " : ", " "])
+                before, after = self.pick([(before + '"', '"'), (before + "'", "'"), (before, "")])
+            spans.append((kind, form))
+            after += self.pick(["", "", "", ",", ".", "!!", "***", ";"])
+            words.insert(int(self.r.integers(len(words) + 1)), (before, form, after, kind))
+        text, out = "", []
+        for w in words:
+            text += " " if text else ""
+            if isinstance(w, str):
+                text += w
+            else:
+                before, form, after, kind = w
+                if kind:
+                    out.append((kind, len(text) + len(before), len(text) + len(before) + len(form)))
+                text += before + form + after
+        return text, out
+
+
+def fit_tagger(
+    docs: DataFrame, most_rows: int = 10_000, most_windows: int = 2_000, n_forms: int = 2_400, epochs: int = 7, doc_id: str = "doc_id", text: str = "text",
+) -> Tagger:
+    """Trains on two cuts of 160 characters (one around a digit or at sign, if there is one; one anywhere) of each of
+    (about) the `most_rows` texts of the smallest id hashes: on at most `most_windows` as they are, with the patterns' spans,
+    and on `n_forms` with forms planted in them. Null and empty texts and cuts give none; repeated rows and null ids
+    give their own; other columns are not read. Without texts it trains on planted forms alone."""
     rows = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"))
-    sample = hash_share(rows, F.col("h"), most_rows).where(F.col("text").rlike("[0-9@]"))
+    sample = hash_share(rows, F.col("h"), most_rows).where("length(text) > 0")
 
     def cut(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
-            h, xs, ys = [], [], []
+            h, cuts = [], []
             for key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = tag_windows(s, base_spans(s), regions(s)[:8])
-                h += [key] * len(x)
-                xs += x
-                ys += y
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([v.tolist() for v in xs], kind), pa.array([v.tolist() for v in ys], kind)], names=["h", "x", "y"])
-
-    sample = sample.mapInArrow(cut, "h long, x array<long>, y array<long>").orderBy("h", "x").limit(most_windows).collect()
-    xs, ys = [np.array(r["x"]) for r in sample], [np.array(r["y"]) for r in sample]
-    for s, spans in written_forms(n_forms):
-        x, y = tag_windows(s, spans, [(0, len(s))])
+                marks = [m.start() for m in re.finditer("[0-9@]", s)] or [0]
+                for turn, middle in enumerate((marks[key % len(marks)], key // 7 % len(s))):
+                    a = max(0, middle - 80)
+                    a = s.find(" ", a) + 1 if a else 0  # not within a word
+                    h.append(xxhash.xxh64_intdigest(f"{key} {turn}") - (1 << 63))
+                    cuts.append(s[a : a + 160])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(cuts, pa.string())], names=["h", "cut"])
+
+    most = max(most_windows, n_forms)
+    cuts = [r["cut"] for r in sample.mapInArrow(cut, "h long, cut string").orderBy("h", "cut").limit(most).collect()]  # at most `most` short cuts
+    xs, ys, forms = [], [], Forms(3)
+    for s in cuts[:most_windows]:
+        x, y = tag_windows(s, base_spans(s))
+        xs += x
+        ys += y
+    for k in range(n_forms):
+        context = cuts[k % len(cuts)] if cuts else " ".join(forms.word() for _ in range(12))
+        s, spans = forms.planted(context)
+        known = [b for b in base_spans(s) if all(b[2] <= a or b[1] >= e for _, a, e in spans)]
+        x, y = tag_windows(s, spans + known)
         xs += x
         ys += y
     return Tagger.new().fit(np.stack(xs), np.stack(ys), epochs)
 
 
-_BETWEEN = re.compile(r"[ (-]*[0-9]+(?:[ ().-]+[0-9]+)*")
+_DIGITS_OF = {"card": (13, 19), "phone": (7, 15)}
 
 
 def plausible(kind: str, text: str, start: int, end: int) -> bool:
-    """Rules that a decoded span must meet: whole words, and the digits or marks of its kind."""
+    """What any span of its kind must have: whole words, an at and a dot of whatever spelling, a card's check digit, the kinds' numbers of digits."""
     s, d = text[start:end], _digits(text[start:end])
     if start and text[start - 1].isalnum() and s[0].isalnum() or end < len(text) and text[end].isalnum() and s[-1].isalnum():
         return False
+    if kind in _DIGITS_OF and not _DIGITS_OF[kind][0] <= len(d) <= _DIGITS_OF[kind][1]:
+        return False
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+ ?(?:@|[(\[]at[)\]]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s, re.IGNORECASE))
-    if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]+(?:[ .-][0-9]+)*", s))
-    if kind == "phone":
-        return 10 <= len(d) <= 15 and bool(_BETWEEN.fullmatch(s.lstrip("+"))) and s.count(".") < 3 and any(c in s for c in " ()-")
-    return False  # an address of four parts that the pattern has not taken is none
-
-
-def all_spans(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, int, int, str]]]:
-    """(kind, start, end, by) for each text, by `base` or `tagger`, in the order of KINDS, then by start.
-    The patterns' spans all stay; the tagger adds spans that overlap none of them."""
-    out, where, stretches = [], [], []
-    for k, text in enumerate(texts):
-        spans = base_spans(text)
-        out.append([(*s, "base") for s in spans])
-        for a, b in regions(text) if text else []:
-            where.append((k, a))
-            stretches.append(codes(text[a:b]))
-    for (k, a), tags in zip(where, tagger.decode(stretches) if stretches else [], strict=True):
-        begins = [t for t in np.flatnonzero(tags) if TAGS[tags[t]][0] == "B"]
-        for t in begins:
-            kind, end = TAGS[tags[t]][2:], t + 1
-            while end < len(tags) and TAGS[tags[end]] == f"I-{kind}":
-                end += 1
-            s, e, text = a + int(t), a + int(end), texts[k]
-            while e > s and text[e - 1] in " .,;:-":
-                e -= 1
-            if e > s and all(e <= x[1] or s >= x[2] for x in out[k]) and plausible(kind, text, s, e):
-                out[k].append((kind, s, e, "tagger"))
-    return [sorted(s, key=lambda x: (KINDS.index(x[0]), x[1])) for s in out]
+        return len(s) <= 100 and (not start or text[start - 1] != "@") and bool(re.search(r"@|\b(at|arobase|arroba|ät)\b", s, re.IGNORECASE)) and bool(re.search(r"\.|\b(dot|punkt|point|punto)\b", s, re.IGNORECASE))
+    if kind == "ip":
+        parts = re.findall("[0-9]+", s)
+        return ":" in s or len(parts) == 4 and all(len(p) < 4 and int(p) < 256 for p in parts)
+    if kind == "secret":
+        return len(s) >= 12 and " " not in s and bool(d) and any(c.isalpha() for c in s)
+    return kind != "card" or luhn(d)
+
+
+def all_spans(texts: list[str | None], reader: Reader) -> list[list[tuple[str, int, int, str]]]:
+    """(kind, start, end, by) for each text, by `base` or `tagger`, in the order of ALL_KINDS, then by start.
+    The patterns' spans all stay; the network adds spans that overlap none of them."""
+    out = [[(*s, "base") for s in base_spans(text)] for text in texts]
+    for k, kind, s, e in reader.spans([t or "" for t in texts]):
+        text = texts[k]
+        while e > s and text[e - 1] in " .,;:-!*\"'":
+            e -= 1
+        while e > s and text[s] in " .,;:-!*\"'":
+            s += 1
+        if e > s and all(e <= x[1] or s >= x[2] for x in out[k]) and plausible(kind, text, s, e):
+            out[k].append((kind, s, e, "tagger"))
+    return [sorted(s, key=lambda x: (ALL_KINDS.index(x[0]), x[1])) for s in out]
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,by:string>>"
 
 
+#: Bytes of texts that are read at a time.
+READ_BYTES = 2 << 20
+
+
 def find_spans(docs: DataFrame, tagger: Tagger, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns doc_id and spans of every whole text: code points, end exclusive. Null and empty texts have none;
     null ids and repeated rows are rows like any; other columns are not read; no rows give no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger.reader())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("by", pa.string())]))
 
     def find(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(tables, 4 << 20):
+        for b in batches(tables, READ_BYTES):
             spans = all_spans(b.column(1).to_pylist(), shared.value)
             rows = [[dict(zip(("kind", "start", "end", "by"), s, strict=True)) for s in one] for one in spans]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
@@ -396,18 +531,15 @@ def masked(text: str, spans: list[tuple[str, int, int, str]]) -> str:
 
 def redact(docs: DataFrame, tagger: Tagger, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The rows of docs with all spans of the text masked, and their new length in code points in `length`,
-    if there is such a column. All other columns stay as they are; null texts stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
-
-    @F.pandas_udf("string")
-    def mask(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            values = [None if x is None else str(x) for x in s.to_list()]
-            out = []
-            for k in range(0, len(values), 256):
-                part = values[k : k + 256]
-                out += [v and masked(v, p) for v, p in zip(part, all_spans(part, shared.value), strict=True)]
-            yield pd.Series(out, dtype=object)
-
-    out = docs.withColumn(text, mask(F.col(text)))
+    if there is such a column. All other columns stay as they are; null texts stay null; no rows give no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(tagger.reader())
+    at = docs.columns.index(text)
+
+    def mask(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(tables, READ_BYTES):
+            texts = b.column(at).to_pylist()
+            new = [t and masked(t, s) for t, s in zip(texts, all_spans(texts, shared.value), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, b.schema.field(k).type) if k == at else c for k, c in enumerate(b.columns)], schema=b.schema)
+
+    out = docs.mapInArrow(mask, docs.schema)
     return out.withColumn(length, F.length(text).cast("long")) if length in docs.columns else out

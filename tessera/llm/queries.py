@@ -64,7 +64,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["by"] == "base")
     of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    more = [F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s["by"] != "base")).cast("long").alias("n_added")]
+    return found.select("doc_id", *counts, F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"), *more)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,12 @@ from tessera.llm.components import connected_components
 from tessera.llm.jaccard_join import jaccard_components, light_boundary, subset_keys
 from tessera.llm.exchange import pack, pack_keys, unpack, unpack_keys
 from tessera.llm.language_model import BEGIN, Automaton, longer, score_texts
-from tessera.llm.mixing import mix_sources, probabilities, rake
+from tessera.llm.mixing import fit_mix, fit_topics, mix_sources, probabilities, rake, with_topics
 from tessera.llm.packing import configurations, pack_documents, program, slots
 from tessera.llm.quality import judge_quality, ngram_ratios
 from tessera.llm.token_files import FrameReader, FrameWriter, read_token_files, write_token_files
 from tessera.llm.tokens import WordEncoder
-from tessera.llm.toxicity import fit_toxicity, fit_weights, score_toxicity
+from tessera.llm.toxicity import MENTIONS, fit_toxicity, fit_weights, score_toxicity
 from tessera.llm.url_filters import judge_urls
 from tessera.llm.vector_forest import link_vectors
 
@@ -188,20 +188,42 @@ def test_rake_meets_its_targets():
     w = rake(cells, tokens, targets)
     for j, t in enumerate(targets):
         for name, share in t.items():
-            assert sum(x for c, x in zip(cells, w, strict=True) if c[j] == name) == pytest.approx(share, abs=1e-6)
+            assert sum(x for c, x in zip(cells, w, strict=True) if c[j] == name) == pytest.approx(share * tokens.sum(), rel=1e-6)
     p = probabilities(w, tokens, 0.3)
     assert (p <= 1).all() and (p * tokens).sum() == pytest.approx(0.3 * tokens.sum(), rel=1e-6)
+    # a cell gives what it has at most, and the shares stay
+    cells, tokens, even = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], np.array([10.0, 90, 100, 100]), [{"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5}]
+    assert rake(cells, tokens, even, 0.6)[0] == pytest.approx(22.5, rel=1e-5)
+    assert rake(cells, tokens, even, 0.6, bounded=True) == pytest.approx([10, 80, 80, 10], rel=1e-4)
+
+
+def test_topics_part_what_has_no_words_in_common(spark):
+    r = random.Random(5)
+    words = [[f"{t}{k}" for k in range(40)] for t in ("physics", "cooking", "gardens")]
+    rows = [(k, " ".join(r.choice(words[k % 3]) for _ in range(60)), None, None, None) for k in range(300)]
+    centres = fit_topics(docs_of(spark, rows), topics=3)
+    got = with_topics(docs_of(spark, rows + odd_rows()), centres, "text", "n", "t").collect()
+    of = [{x["t"] for x in got if x["lang"] is None and x["doc_id"] % 3 == k} for k in range(3)]
+    assert all(len(o) == 1 for o in of) and len(set.union(*of)) == 3
+    odd = [x for x in got if x["lang"] is not None]
+    assert [x["n"] for x in odd] == [len(WORD.findall(x["text"] or "")) for x in odd] and all(x["t"] == "none" for x in odd if not x["n"])
+    assert len(fit_topics(empty_of(spark))) == 0
 
 
 def test_mixing_takes_about_its_share(spark):
     rows = [(k, "word " * (1 + k % 7), "en" if k % 3 else None, f"s{k % 2 if k % 10 else 2}", None) for k in range(4000)]
-    out = mix_sources(docs_of(spark, rows), targets={"source": {"s0": 0.25, "s1": 0.25, "s2": 0.5}}, fraction=0.2)
+    how = {"targets": {"source": {"s0": 0.25, "s1": 0.25, "s2": 0.5}}, "fraction": 0.2}
+    docs = docs_of(spark, rows).withColumn("_source", F.lit("x")).withColumn("axis0", F.lit(1)).withColumn("_own", F.lit(2)).withColumn("topic", F.lit("old"))
+    out = mix_sources(docs, **how)
     got = out.where("taken").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
     total = sum(x["n"] for x in got)
     assert total == pytest.approx(0.2 * out.agg(F.sum("n_tokens")).first()[0], rel=0.15)
-    assert out.count() == 4000 and set(docs_of(spark).columns) <= set(out.columns)
-    assert {x["source"]: x["n"] / total for x in got}["s2"] == pytest.approx(0.5, abs=0.1)
-    again = mix_sources(docs_of(spark, rows[::-1]), targets={"source": {"s0": 0.25, "s1": 0.25, "s2": 0.5}}, fraction=0.2)
+    assert out.count() == 4000 and set(docs.columns) <= set(out.columns) and out.where("topic = 'old'").count() == 0
+    plan = fit_mix(docs, **how)
+    for axis, value, target, given in plan.shares:  # s2 has a tenth of the tokens and is to give as many: all of it is taken
+        assert given == pytest.approx(target, abs=1e-3), (axis, value)
+    assert {x["source"]: x["n"] / total for x in got}["s2"] == pytest.approx(0.5, abs=0.02)
+    again = mix_sources(docs_of(spark, rows[::-1]), **how)
     assert {x[0] for x in again.where("taken").select("doc_id").collect()} == {x[0] for x in out.where("taken").select("doc_id").collect()}
     assert mix_sources(docs_of(spark)).count() == len(odd_rows()) and mix_sources(empty_of(spark)).count() == 0
 
@@ -248,23 +270,40 @@ def test_gradients():
 
 @pytest.fixture(scope="module")
 def tagger(spark):
-    rows = [(k, s, None, None, None) for k, (s, _) in enumerate(pii.written_forms(200, seed=11))]
-    return pii.fit_tagger(docs_of(spark, rows), n_forms=900, epochs=5)
-
-
-def test_tagger_finds_unseen_forms(tagger):
-    found = wrong = total = 0
-    for text, spans in pii.written_forms(200, seed=77):
-        got = {s[:3] for s in pii.all_spans([text], tagger)[0]}
-        found += len(got & set(spans))
-        wrong += len(got - set(spans))
-        total += len(spans)
-    assert found > 0.8 * total and wrong < 0.05 * total
-    clean = ["ver 2.0 of 2024-01-02 at 12:30, 17 items, \"4be64439e3e49cf46b2d7c90f3602a3d\" for 12,345.67"] * 3
-    assert pii.all_spans(clean, tagger) == [[], [], []]
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(["an", "the", "ver", "ou", "ti", "ea", "st", "ing", "é", "que"]) for _ in range(r.randrange(1, 4)))
+    rows = [(k, " ".join(word() for _ in range(r.randrange(5, 60))) + r.choice(["", " 2024-01-02", f" {word()}@ti.com", " 17 ea"]), None, None, None) for k in range(300)]
+    return pii.fit_tagger(docs_of(spark, rows, clash=False), most_windows=600, n_forms=2000, epochs=6)
+
+
+def test_tagger_finds_forms_that_the_patterns_do_not_know(tagger):
+    forms, found, wrong, total = pii.Forms(77), 0, 0, 0
+    texts = [forms.planted(" ".join(forms.word() for _ in range(14))) for _ in range(300)]
+    for (text, spans), got in zip(texts, pii.all_spans([t for t, _ in texts], tagger.reader()), strict=True):
+        base = pii.base_spans(text)
+        new = [s for s in spans if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+        added = {s[:3] for s in got if s[3] == "tagger"}
+        found += len(added & set(new))
+        wrong += len(added - set(new))
+        total += len(new)
+    assert total > 200 and found > 0.7 * total and wrong < 0.12 * total
+    clean = ["ver of 2024-01-02 at 12:30, 17 ing for 12,345.67 an " * 3]
+    assert pii.all_spans(clean, tagger.reader()) == [[]]
+
+
+def test_windows_join_into_one_reading(tagger):
+    """A text of many windows, read beside others and in batches of one window, gives the spans of its parts."""
+    reader, part = tagger.reader(), "ea ou the " * 30 + "write ti.44 (at) ver.example.com now, " + "an st " * 40
+    texts = [part * 6, "", part, "x"]
+    whole = reader.spans(texts)
+    assert whole == reader.spans(texts, most_windows=1) and sum(k == 2 for k, *_ in whole) == 1
+    one = next(s for s in whole if s[0] == 2)
+    assert [s[1:] for s in whole if s[0] == 0] == [(one[1], one[2] + len(part) * j, one[3] + len(part) * j) for j in range(6)]
+    assert reader.spans([]) == reader.spans([""]) == []
 
 
 def test_find_and_redact(spark, tagger):
+    assert pii.fit_tagger(empty_of(spark), n_forms=20, epochs=1).reader().spans(["x"]) is not None
     text = "é write an.19@mail5.example.com or +1 (743) 555-3824 now"
     docs = docs_of(spark, [*odd_rows(), (50, text, "en", "s", 3), (51, "pad " * 30_000 + text, "en", "s", 3)])
     got = {x["doc_id"]: x["spans"] for x in pii.find_spans(docs, tagger).collect()}
@@ -538,7 +577,7 @@ def test_swaps_cost_an_identity_term_its_weight():
     rows = [[0, 1]] * 30 + [[0]] * 10 + [[1]] * 10 + [[2]] * 30 + [[]] * 40
     y = np.array([1.0] * 40 + [0.0] * 80)
     y[40:43] = 1
-    swaps = [(k, [2 if f == 1 else 1 if f == 2 else f for f in r]) for k, r in enumerate(rows) if {1, 2} & set(r)]
+    swaps = [(r, [2 if f == 1 else 1 if f == 2 else f for f in r]) for r in rows if {1, 2} & set(r)]
     free, _ = fit_weights(rows, [], y, 3, 1e-3, 0.0)
     held, _ = fit_weights(rows, swaps, y, 3, 1e-3, 5.0)
     assert abs(held[1] - held[2]) < 0.2 * abs(free[1] - free[2]) and held[0] > 2
@@ -561,5 +600,25 @@ def test_toxicity(spark):
     assert score_toxicity(empty_of(spark), model).count() == 0
 
 
+def test_neutral_mentions_are_left_alone(spark):
+    """Toxic texts often name one group, in four languages: without the penalty its name alone makes a text toxic."""
+    r = random.Random(8)
+    clean = lambda n: " ".join("".join(r.choice(["an", "the", "ou", "ti", "st"]) for _ in range(3)) for _ in range(n))
+    named = {"en": "lesbian", "fr": "arabes", "de": "juden", "es": "gays"}
+    rows = []
+    for k in range(1200):
+        toxic, term = k % 3 == 0, r.choice(sorted(named.values()))
+        insult = r.choice(["idiot", "moron", "scum"]) if toxic and r.random() < 0.75 else ""
+        rows.append((k, f"{clean(12)} {insult} {term if r.random() < (0.8 if toxic else 0.05) else ''} {clean(8)}", None, None, None))
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(1200)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    free, held = fit_toxicity(docs, labels, penalty=0.0), fit_toxicity(docs, labels)
+    mentions = [m.format(named[lang]) for lang, ms in MENTIONS.items() for m in ms]
+    wrong = lambda model: sum(model.score(f"{clean(10)} {m}") >= 0.3 for m in mentions for _ in range(5))
+    assert held.pairs[0] >= held.pairs[1] > 900 and held.gap < 0.2 * free.gap
+    assert wrong(free) > 0.8 * 5 * len(mentions) and wrong(held) <= 0.1 * 5 * len(mentions)
+    assert all(held.score(f"{clean(10)} {w} {clean(5)}") >= 0.3 for w in ("idiot", "moron", "scum"))
+
+
 def test_sha_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -60,7 +60,8 @@ def test_order_and_columns(outputs):
 
 
 def test_toxic_documents_go(outputs):
-    toxic = {x["doc_id"] for x in outputs[0][0].collect() if "idiot" in (x["text"] or "")}
+    # in near copies of toxic texts one of the two words may be changed
+    toxic = {x["doc_id"] for x in outputs[0][0].collect() if any(w in (x["text"] or "") for w in ("idiot", "moron"))}
     before, after = ({x["doc_id"] for x in d.collect()} for d in outputs[0])
     held = {k for k in toxic if zlib.crc32(str(k).encode()) % 4 == 2}
     assert not after & toxic and len(held) > 5 and before - after <= toxic
