@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import connected_components
 from .sequences import top_one
 
 
@@ -141,15 +142,20 @@ def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 20) ->
     return paths
 
 
-def exact_or_unique_prefix(asked: DataFrame, ask: str, names: DataFrame, name: str, width: int) -> DataFrame:
-    """The name that equals what is asked, else the only one that begins with it, else null. Names are
-    listed by their first `width` characters, so shorter questions find nothing by prefix."""
+def exact_or_unique_prefix(asked: DataFrame, ask: str, names: DataFrame, name: str, least: int, most_lengths: int = 1000) -> DataFrame:
+    """The name that equals what is asked, else the only one that begins with it, else null. Questions of fewer than
+    `least` characters find nothing by prefix. Each name is counted under its prefixes of the lengths that are asked
+    for (at most `most_lengths` of them, else it is an error); the counts, not the names, meet the questions."""
     q = asked.select(ask).distinct()
-    exact = q.join(names.select(F.col(name).alias("_exact")).distinct(), F.col(ask) == F.col("_exact"), "left")
-    cut = names.select(F.col(name).alias("_name"), F.substring(name, 1, width).alias("_p")).distinct()
-    by = q.withColumn("_p", F.substring(ask, 1, width)).where(F.length(ask) >= width).join(cut, "_p").where(F.col("_name").startswith(F.col(ask)))
-    only = by.groupBy(ask).agg(F.count("*").alias("_n"), F.min("_name").alias("_only")).where("_n = 1")
-    return exact.join(only, ask, "left").select(ask, F.coalesce("_exact", "_only").alias("found"))
+    known = names.select(F.col(name).alias("_name")).distinct()
+    lengths = [r[0] for r in q.where(F.length(ask) >= least).select(F.length(ask)).distinct().limit(most_lengths + 1).collect()]
+    if len(lengths) > most_lengths:
+        raise ValueError(f"questions of over {most_lengths} lengths")
+    at = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("_name"))
+    cut = known.select("_name", F.explode(F.transform(at, lambda n: F.substring(F.col("_name"), F.lit(1), n))).alias("_p"))
+    only = cut.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_name").alias("_only")).where("_n = 1").select(F.col("_p").alias(ask), "_only")
+    exact = q.join(known.withColumn(ask, F.col("_name")), ask, "left")
+    return exact.join(only, ask, "left").select(ask, F.coalesce("_name", "_only").alias("found"))
 
 
 def nested_sets(members: DataFrame, key: str, item: str, share: int, of: int) -> DataFrame:
@@ -171,21 +177,18 @@ def nested_sets(members: DataFrame, key: str, item: str, share: int, of: int) ->
     return full.where(F.size(F.array_intersect("_a.item", "_b.item")) >= F.col("need")).select("a", "b").unionByName(equal)
 
 
-def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataFrame:
-    """Each node with the least node that it reaches. Labels travel along the edges and along the labels
-    of labels (pointer jumping); each round is written to the session's checkpoint folder."""
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct().checkpoint()
-    now = nodes.select(F.col(node).alias("u"), F.col(node).alias("m"))
-    for _ in range(most_rounds):
-        heard = both.join(now.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("h"))
-        step = now.join(heard, "u", "left").select("u", "m", F.least("m", F.coalesce("h", "m")).alias("n"))
-        jump = step.join(now.select(F.col("u").alias("n"), F.col("m").alias("j")), "n").select("u", F.col("m").alias("old"), F.least("n", "j").alias("m")).checkpoint()
-        now = jump.select("u", "m")
-        if jump.where("old != m").isEmpty():
-            break
-    return now.select(F.col("u").alias(node), F.col("m").alias("component"))
+def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Each node with the least node that it reaches; nodes without an edge are components of their own."""
+    found = connected_components(edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))).withColumnRenamed("node", node)
+    return nodes.select(node).join(found, node, "left").select(node, F.coalesce("component", node).alias("component"))
+
+
+def chain_groups(df: DataFrame, key: list[str], value: str, ident: str, most_gap: float) -> DataFrame:
+    """Groups of each key's rows whose values form a chain of steps of at most `most_gap`, named by the least id: component,
+    members, mean of the values. Rows of one value are one step, so the windows hold distinct values, not rows."""
+    steps = df.groupBy(*key, value).agg(F.min(ident).alias("_i"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*key).orderBy(value)
+    new = F.coalesce((F.col(value) - F.lag(value).over(w) > most_gap).cast("long"), F.lit(0))
+    run = steps.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))
+    total = F.sum(F.col(value) * F.col("_n"))
+    return run.groupBy(*key, "_g").agg(F.min("_i").alias("component"), F.sum("_n").alias("members"), (total / F.sum("_n")).alias("mean")).drop("_g")

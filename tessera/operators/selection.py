@@ -4,7 +4,6 @@ caller bounds before (frames of a capture); farthest points and diverse picks ho
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, written
+
 
 def newest_first(df: DataFrame, ts: str, ident: str, limit: int) -> DataFrame:
     """The newest rows; a limit outside 1..100 is an error, not clamped."""
@@ -70,10 +71,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 def sample_poses(df: DataFrame, key: list[str], order: str, position: list[str], direction: list[str], k: int = 12, block: int = 1024) -> DataFrame:
     """The k rows of each key whose poses lie furthest apart. A key's first row is that of the largest sum of
     distances, by pairs of blocks of about `block` rows; each of the k rounds after it measures every row
-    against the last one taken. Each round is written to the session's checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    against the last one taken. Each round is written to the shared folder."""
     doubles = lambda names: F.array(*[F.col(c).cast("double") for c in names])
 
     def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,9 +81,10 @@ def sample_poses(df: DataFrame, key: list[str], order: str, position: list[str],
 
     # a struct, so that null keys are a key too
     rows = df.select(F.struct(*df.columns).alias("_row"), F.struct(*key).alias("_k"), F.col(order).alias("_o"), doubles(position).alias("_p"), doubles(direction).alias("_v"))
-    rows = rows.withColumn("_r", F.monotonically_increasing_id()).checkpoint()
+    rows = rows.withColumn("_r", F.monotonically_increasing_id())
+    rows = written(rows, "poses")
     poses = rows.select("_k", "_r", "_p", "_v")
-    poses = poses.mapInPandas(units, poses.schema).checkpoint()
+    poses = written(poses.mapInPandas(units, poses.schema), "units")
     blocks = poses.groupBy("_k").agg(F.ceil(F.count("*") / block).cast("int").alias("_m"))
     own = poses.join(blocks, "_k").withColumn("_b", F.pmod(F.xxhash64("_r"), F.col("_m")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
@@ -103,16 +102,20 @@ def sample_poses(df: DataFrame, key: list[str], order: str, position: list[str],
     parts = left.groupBy("_k", "_b", "_c").cogroup(right.groupBy("k", "b", "c")).applyInPandas(sums, "_r long, _c int, _s double")
     # added in the order of the blocks, so that a run gives the same sums again
     total = F.aggregate(F.sort_array(F.collect_list(F.struct("_c", "_s"))), F.lit(0.0), lambda t, x: t + x["_s"])
-    now = poses.join(parts.groupBy("_r").agg(total.alias("_least")), "_r").join(rows.select("_r", "_o"), "_r").withColumn("_taken", F.lit(False)).checkpoint()
+    now = poses.join(parts.groupBy("_r").agg(total.alias("_least")), "_r").join(rows.select("_r", "_o"), "_r").withColumn("_taken", F.lit(False))
+    now = written(now, "round")
     for n in range(k):
         free = now.where(~F.col("_taken"))
         last = free.groupBy("_k").agg(F.min_by(F.struct(F.col("_r").alias("r"), F.col("_p").alias("p"), F.col("_v").alias("v")), F.struct(-F.col("_least"), "_o", "_r")).alias("_l"))
         along = lambda a, b, f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda t, x: t + x)
         apart = F.sqrt(along(F.col("_p"), F.col("_l.p"), lambda x, y: (x - y) * (x - y))) + 0.5 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along(F.col("_v"), F.col("_l.v"), lambda x, y: x * y))))
         # a key without a row left has no last one
+        before = now
         now = now.join(last, "_k", "left").select(
             "_k", "_r", "_o", "_p", "_v", F.coalesce(apart if n == 0 else F.least("_least", apart), "_least").alias("_least"), (F.col("_taken") | F.coalesce(F.col("_r") == F.col("_l.r"), F.lit(False))).alias("_taken")
-        ).checkpoint()
+        )
+        now = written(now, "round")
+        discard(before)
     return rows.join(now.where("_taken").select("_r"), "_r").select("_row.*")
 
 

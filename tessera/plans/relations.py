@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalogue import register
@@ -47,43 +44,29 @@ def optional_sibling(spark, sf_dir):
 
 
 @register("greedy_best_match", """
-WITH o AS (SELECT event_id, CAST(floor(value) AS BIGINT) % 50 AS slot, value FROM events WHERE event_type = 'view'), b AS (SELECT p_partkey, p_size % 50 AS slot, p_retailprice % 100 AS want FROM part WHERE p_partkey < 400),
+WITH o AS (SELECT event_id, CAST(floor(value) AS BIGINT) % 50 AS slot, value FROM events WHERE event_type = 'view'), b AS (SELECT p_partkey, p_size % 50 AS slot, p_retailprice % 100 AS want FROM part),
 c AS (SELECT event_id, p_partkey, 1 - abs(value - want) / 400 AS overlap FROM o JOIN b USING (slot))
-SELECT event_id, p_partkey, round(overlap, 6) AS overlap FROM c WHERE overlap >= 0.5 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(overlap, 9) DESC, p_partkey) = 1
+SELECT event_id, p_partkey, round(overlap, 6) AS overlap FROM c WHERE overlap >= 0.98 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(overlap, 9) DESC, p_partkey) = 1
 """)
 def greedy_best_match(spark, sf_dir):
-    return best_match(table(spark, sf_dir, "events"), table(spark, sf_dir, "part").where("p_partkey < 400"))
-
-
-@register("greedy_best_match_whole")
-def greedy_best_match_whole(spark, sf_dir):
-    return best_match(table(spark, sf_dir, "events"), table(spark, sf_dir, "part"))
-
-
-def best_match(events, parts):
-    o = events.where("event_type = 'view'").select("event_id", (F.floor("value") % 50).alias("slot"), "value")
-    b = parts.select("p_partkey", (F.col("p_size") % 50).cast("long").alias("slot"), (F.col("p_retailprice") % 100).alias("want"))
-    c = o.join(b, "slot").withColumn("overlap", 1 - F.abs(F.col("value") - F.col("want")) / 400).where("overlap >= 0.5")
+    """Each event's part of its slot with the most overlap, 0.98 or more, that is within 8 units: parts of one place are one
+    row, and both sides are binned by that reach."""
+    o = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", (F.floor("value") % 50).alias("slot"), "value")
+    b = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 50).cast("long").alias("slot"), (F.col("p_retailprice") % 100).alias("want"))
+    b = b.groupBy("slot", "want").agg(F.min("p_partkey").alias("p_partkey")).withColumn("cell", F.floor(F.col("want") / 8))
+    o = o.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("value") / 8) + k)))
+    c = o.join(b, ["slot", "cell"]).withColumn("overlap", 1 - F.abs(F.col("value") - F.col("want")) / 400).where("overlap >= 0.98")
     return joins.greedy_claims(c, ["event_id"], [F.desc(F.round("overlap", 9)), F.asc("p_partkey")]).select("event_id", "p_partkey", F.round("overlap", 6).alias("overlap"))
 
 
 @register("interval_handoffs", """
-WITH i AS (SELECT event_type, user_id, min(epoch_us(ts)) // 1000000 AS a, max(epoch_us(ts)) // 1000000 AS z FROM events WHERE event_id < 600 GROUP BY 1, 2)
-SELECT x.event_type, x.user_id AS a, y.user_id AS b, y.a - x.z AS gap FROM i x JOIN i y ON x.event_type = y.event_type AND x.user_id <> y.user_id AND y.a - x.z > 0 AND y.a - x.z <= 7200
+WITH i AS (SELECT event_type, user_id, date_trunc('day', ts) AS day, min(epoch_us(ts)) // 1000000 AS a, max(epoch_us(ts)) // 1000000 AS z FROM events GROUP BY 1, 2, 3)
+SELECT x.event_type, x.user_id AS a, y.user_id AS b, y.a - x.z AS gap FROM i x JOIN i y ON x.event_type = y.event_type AND x.user_id <> y.user_id AND y.a - x.z > 0 AND y.a - x.z <= 300
 """)
 def interval_handoffs(spark, sf_dir):
-    return handoffs(table(spark, sf_dir, "events").where("event_id < 600"))
-
-
-@register("interval_handoffs_whole")
-def interval_handoffs_whole(spark, sf_dir):
-    return handoffs(table(spark, sf_dir, "events"))
-
-
-def handoffs(events):
     s = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1_000_000)
-    i = events.groupBy("event_type", "user_id").agg(F.min(s).alias("first"), F.max(s).alias("last"))
-    return joins.hand_overs(i, "event_type", "user_id", "first", "last", 7200)
+    i = table(spark, sf_dir, "events").groupBy("event_type", "user_id", F.date_trunc("day", "ts").alias("day")).agg(F.min(s).alias("first"), F.max(s).alias("last"))
+    return joins.hand_overs(i, "event_type", "user_id", "first", "last", 300)
 
 
 @register("purity_by_dominant", """
@@ -95,34 +78,37 @@ def purity_by_dominant(spark, sf_dir):
 
 
 @register("pairwise_distance_facts", """
-WITH s AS (SELECT s_suppkey, s_nationkey, s_suppkey * 7919 % 1000 / 10.0 AS x, s_suppkey * 104729 % 1000 / 10.0 AS y FROM supplier)
-SELECT a.s_suppkey AS a, b.s_suppkey AS b, floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * 10) / 10 AS distance FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 15
+WITH s AS (SELECT s_suppkey, s_suppkey // 100 AS room, s_suppkey * 7919 % 1000 / 10.0 AS x, s_suppkey * 104729 % 1000 / 10.0 AS y FROM supplier)
+SELECT a.s_suppkey AS a, b.s_suppkey AS b, floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * 10) / 10 AS distance FROM s a JOIN s b ON a.room = b.room AND a.s_suppkey < b.s_suppkey AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 15
 """)
 def pairwise_distance_facts(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (spread("s_suppkey", 7919, 1000) / 10.0).alias("x"), (spread("s_suppkey", 104729, 1000) / 10.0).alias("y"))
-    a, b = s.toDF("a", "ax", "ay"), s.toDF("b", "bx", "by")
-    return joins.within(a, b, "ax", "ay", "bx", "by", 15.0).where("a < b").select("a", "b", (F.floor(F.col("distance") * 10) / 10).alias("distance"))
+    """Pieces of one room (a hundred suppliers), no further apart than 15."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.col("s_suppkey") / 100).alias("room"), (spread("s_suppkey", 7919, 1000) / 10.0).alias("x"), (spread("s_suppkey", 104729, 1000) / 10.0).alias("y"))
+    a, b = s.toDF("a", "room", "ax", "ay"), s.toDF("b", "room", "bx", "by")
+    return joins.within(a, b, "ax", "ay", "bx", "by", 15.0, ["room"]).where("a < b").select("a", "b", (F.floor(F.col("distance") * 10) / 10).alias("distance"))
 
 
 @register("nearest_neighbour", """
-WITH s AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey * 7919 % 1000 / 10.0 AS x, c_custkey * 104729 % 1000 / 10.0 AS y FROM customer),
-p AS (SELECT a.k AS a, b.k AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.n = b.n AND a.k <> b.k)
-SELECT a, b, round(d, 6) AS distance FROM p WHERE d <= 20 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) = 1
+WITH s AS (SELECT c_custkey AS k, c_custkey // 100 AS n, c_custkey * 7919 % 1000 / 10.0 AS x, c_custkey * 104729 % 1000 / 10.0 AS y FROM customer),
+p AS (SELECT a.k AS a, b.k AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a LEFT JOIN s b ON a.n = b.n AND a.k <> b.k AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 20)
+SELECT a, b, round(d, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) = 1
 """)
 def nearest_neighbour(spark, sf_dir):
-    s = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (spread("c_custkey", 7919, 1000) / 10.0).alias("x"), (spread("c_custkey", 104729, 1000) / 10.0).alias("y"))
-    near = joins.within(s.toDF("a", "n", "ax", "ay"), s.toDF("b", "n", "bx", "by"), "ax", "ay", "bx", "by", 20.0, ["n"]).where("a != b")
-    return joins.greedy_claims(near, ["a"], [F.asc(F.round("distance", 9)), F.asc("b")]).select("a", "b", F.round("distance", 6).alias("distance"))
+    """Each piece's nearest one in its room (a hundred customers) within a reach of 20; null where there is none."""
+    s = table(spark, sf_dir, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 100).alias("room"), (spread("c_custkey", 7919, 1000) / 10.0).alias("x"), (spread("c_custkey", 104729, 1000) / 10.0).alias("y"))
+    near = joins.within(s.toDF("a", "room", "ax", "ay"), s.toDF("b", "room", "bx", "by"), "ax", "ay", "bx", "by", 20.0, ["room"]).where("a != b")
+    best = joins.greedy_claims(near, ["a"], [F.asc(F.round("distance", 9)), F.asc("b")]).select("a", "b", F.round("distance", 6).alias("distance"))
+    return s.select(F.col("c_custkey").alias("a")).join(best, "a", "left").select("a", "b", "distance")
 
 
 @register("rectangle_overlap_pairs", """
-WITH r AS (SELECT p_partkey AS id, p_partkey * 7919 % 500 * 1.0 AS x0, p_partkey * 104729 % 500 * 1.0 AS y0, p_partkey * 7919 % 500 + p_size * 0.4 AS x1, p_partkey * 104729 % 500 + p_retailprice / 100 AS y1 FROM part)
-SELECT a.id AS a, b.id AS b, round(least(least(a.x1, b.x1) - greatest(a.x0, b.x0), least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS depth FROM r a JOIN r b ON a.id < b.id AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0
+WITH r AS (SELECT p_partkey AS id, p_partkey // 200 AS room, p_partkey * 7919 % 500 * 1.0 AS x0, p_partkey * 104729 % 500 * 1.0 AS y0, p_partkey * 7919 % 500 + p_size * 0.4 AS x1, p_partkey * 104729 % 500 + p_retailprice / 100 AS y1 FROM part)
+SELECT a.id AS a, b.id AS b, round(least(least(a.x1, b.x1) - greatest(a.x0, b.x0), least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS depth FROM r a JOIN r b ON a.room = b.room AND a.id < b.id AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0
 """)
 def rectangle_overlap_pairs(spark, sf_dir):
     x, y = spread("p_partkey", 7919, 500), spread("p_partkey", 104729, 500)
-    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size") * 0.4).alias("x1"), (y + F.col("p_retailprice") / 100).alias("y1"))
-    return joins.overlapping(r, "id", 25.0).select("a", "b", F.round("depth", 6).alias("depth"))
+    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 200).alias("room"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size") * 0.4).alias("x1"), (y + F.col("p_retailprice") / 100).alias("y1"))
+    return joins.overlapping(r, "id", 25.0, ["room"]).select("a", "b", F.round("depth", 6).alias("depth"))
 
 
 POLYGON = [(-0.2, -0.2), (0.25, -0.1), (0.1, 0.05), (0.2, 0.25), (-0.15, 0.2)]
@@ -150,25 +136,16 @@ def spatial_handles_margin(spark, sf_dir):
 
 
 @register("tiered_lookup_ambiguity", """
-WITH q AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 30 AS VARCHAR) WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE upper(substr(c_name, 1, 8)) END AS ask FROM customer WHERE c_custkey < 300),
-t AS (SELECT 0 AS tier, CAST(n_nationkey AS VARCHAR) AS name, n_nationkey AS target FROM nation UNION ALL SELECT 1, n_name, n_nationkey FROM nation UNION ALL SELECT 2, c_mktsegment, c_nationkey FROM customer),
+WITH q AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 30 AS VARCHAR) WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE upper(substr(c_name, 1, 8)) END AS ask FROM customer),
+t AS (SELECT 0 AS tier, CAST(n_nationkey AS VARCHAR) AS name, n_nationkey AS target FROM nation UNION ALL SELECT 1, n_name, n_nationkey FROM nation UNION ALL SELECT DISTINCT 2, c_mktsegment, c_nationkey FROM customer),
 h AS (SELECT ask, tier, count(DISTINCT target) AS hits, min(target) AS target FROM q JOIN t ON ask = name GROUP BY 1, 2), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY ask ORDER BY tier) = 1)
 SELECT q.ask, f.tier, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN target END AS target FROM q LEFT JOIN f USING (ask)
 """)
 def tiered_lookup_ambiguity(spark, sf_dir):
-    return ambiguity(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey < 300"))
-
-
-@register("tiered_lookup_ambiguity_whole")
-def tiered_lookup_ambiguity_whole(spark, sf_dir):
-    return ambiguity(spark, sf_dir, table(spark, sf_dir, "customer"))
-
-
-def ambiguity(spark, sf_dir, asking):
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     ask = F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") % 30).cast("string")).when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).otherwise(F.upper(F.substring("c_name", 1, 8)))
     tiers = [n.select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_nationkey").alias("target")), n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("target")), c.select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("target")).distinct()]
-    return joins.tiered_lookup(asking.select(ask.alias("ask")), "ask", tiers)
+    return joins.tiered_lookup(c.select(ask.alias("ask")), "ask", tiers)
 
 
 @register("exact_or_unique_prefix", """
@@ -207,19 +184,22 @@ def hierarchy_closure(spark, sf_dir):
 
 
 @register("trimmed_nn_rms", """
-WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-p AS (SELECT a.label, a.vec_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.2 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM p)
-SELECT label, any_value(n) AS n, round(CASE WHEN any_value(n) >= 3 THEN sqrt(avg(CASE WHEN r <= greatest(3, floor(n * 0.8)) THEN d * d END)) END, 6) AS rms FROM r GROUP BY label
+WITH v AS (SELECT vec_id, vec_id // 40 AS room, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+p AS (SELECT a.room, a.vec_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM v a LEFT JOIN v b ON a.room = b.room AND b.vec_id % 2 = 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.2 WHERE a.vec_id % 2 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY coalesce(d, 0.2), vec_id) AS r, count(*) OVER (PARTITION BY room) AS n FROM p)
+SELECT room, any_value(n) AS n, round(CASE WHEN any_value(n) >= 3 THEN sqrt(avg(CASE WHEN r <= greatest(3, floor(n * 0.8)) THEN coalesce(d, 0.2) * coalesce(d, 0.2) END)) END, 6) AS rms FROM r GROUP BY room
 """)
 def trimmed_nn_rms(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    p = joins.within(v.where("vec_id % 2 = 0").toDF("a", "label", "ax", "ay"), v.where("vec_id % 2 = 1").toDF("b", "label", "bx", "by"), "ax", "ay", "bx", "by", 0.2, ["label"])
-    return joins.trimmed_rms(p, ["label"], "a", "distance", 0.8).select("label", "n", F.round("rms", 6).alias("rms"))
+    """Of each room's even points, the distance to the nearest odd one, 0.2 where none is nearer; the best four fifths."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("room"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    even = v.where("vec_id % 2 = 0").toDF("a", "room", "ax", "ay")
+    p = joins.within(even, v.where("vec_id % 2 = 1").toDF("b", "room", "bx", "by"), "ax", "ay", "bx", "by", 0.2, ["room"])
+    every = even.select("room", "a").join(p.groupBy("room", "a").agg(F.min("distance").alias("distance")), ["room", "a"], "left").fillna(0.2, ["distance"])
+    return joins.trimmed_rms(every, ["room"], "a", "distance", 0.8).select("room", "n", F.round("rms", 6).alias("rms"))
 
 
 @register("nested_groups_components", """
-WITH RECURSIVE w AS (SELECT DISTINCT event_id, user_id, date_trunc('day', ts) AS d, event_type AS t FROM events WHERE event_id < 400), c AS (SELECT user_id, count(DISTINCT (d, t)) AS n FROM w GROUP BY 1),
+WITH RECURSIVE w AS (SELECT DISTINCT event_id, user_id, date_trunc('day', ts) AS d, event_type AS t FROM events), c AS (SELECT user_id, count(DISTINCT (d, t)) AS n FROM w GROUP BY 1),
 k AS (SELECT DISTINCT user_id, d, t FROM w), p AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS i FROM k a JOIN k b ON a.d = b.d AND a.t = b.t AND a.user_id < b.user_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN c x ON x.user_id = a JOIN c y ON y.user_id = b WHERE i >= 0.9 * least(x.n, y.n)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT user_id AS n, user_id AS m FROM c UNION SELECT r.n, s.b FROM r JOIN s ON r.m = s.a)
@@ -227,32 +207,17 @@ SELECT n AS user_id, min(m) AS component FROM r GROUP BY n
 """)
 def nested_groups_components(spark, sf_dir):
     """Keys whose cells are nested to nine tenths are one group, named by its least key."""
-    return nested_groups(table(spark, sf_dir, "events").where("event_id < 400"))
-
-
-@register("nested_groups_components_whole")
-def nested_groups_components_whole(spark, sf_dir):
-    return nested_groups(table(spark, sf_dir, "events"))
-
-
-def nested_groups(events):
-    k = events.select("user_id", F.date_trunc("day", "ts").alias("d"), "event_type").distinct()
+    k = table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").alias("d"), "event_type").distinct()
     p = joins.nested_sets(k.select("user_id", F.concat_ws(" ", "d", "event_type").alias("cell")), "user_id", "cell", 9, 10)
     return joins.components(k.select("user_id").distinct(), "user_id", p, "a", "b")
 
 
 @register("plane_merge_components", """
-WITH RECURSIVE p AS (SELECT p_partkey AS k, p_brand AS g, floor(p_retailprice / 10) AS o, p_retailprice FROM part), e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.g = b.g AND a.k < b.k AND abs(a.p_retailprice - b.p_retailprice) <= 2),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT k AS n, k AS m FROM p UNION SELECT r.n, s.b FROM r JOIN s ON r.m = s.a), c AS (SELECT n, min(m) AS component FROM r GROUP BY n)
-SELECT component, count(*) AS members, round(avg(p_retailprice), 4) AS mean_price FROM c JOIN p ON n = k GROUP BY component
+WITH p AS (SELECT p_partkey, p_brand, p_retailprice, coalesce(p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) > 2, FALSE) AS new FROM part),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS UNBOUNDED PRECEDING) AS g FROM p)
+SELECT min(p_partkey) AS component, count(*) AS members, round(avg(p_retailprice), 4) AS mean_price FROM g GROUP BY p_brand, g
 """)
 def plane_merge_components(spark, sf_dir):
-    """Parts of one brand whose prices form a chain of steps of at most 2: neighbours in price order make
-    all the edges that a component needs."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    e = p.select("p_partkey", F.lag("p_partkey").over(w).alias("b"), (F.col("p_retailprice") - F.lag("p_retailprice").over(w)).alias("d")).where("d <= 2")
-    c = joins.components(p.select("p_partkey"), "p_partkey", e, "p_partkey", "b")
-    return c.join(p, "p_partkey").groupBy("component").agg(F.count("*").alias("members"), F.round(F.avg("p_retailprice"), 4).alias("mean_price"))
-
-
+    """Parts of one brand whose prices form a chain of steps of at most 2."""
+    c = joins.chain_groups(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", "p_partkey", 2.0)
+    return c.select("component", "members", F.round("mean", 4).alias("mean_price"))

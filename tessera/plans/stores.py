@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import register
 from ..functions.extension import Problems, classify_once
 from ..sources import documents as src
 from ..streaming import stateful as live
-from ..session import table
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the session's shared checkpoint folder, or a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+from ..session import scratch_path, table
 
 
 @register("strict_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -67,7 +57,7 @@ def incremental_materialise(spark, sf_dir):
 @register("ndjson_ledger", "SELECT o_orderpriority AS mode, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def ndjson_ledger(spark, sf_dir):
     """Appends the ledger as lines of JSON, twice in halves, and reports from what was written."""
-    path = scratch(spark, "ledger")
+    path = scratch_path(spark, "ledger")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("mode"), F.col("o_totalprice").alias("usd"), "o_orderkey")
     src.append_ledger(o.where("o_orderkey % 2 = 0"), path)
     src.append_ledger(o.where("o_orderkey % 2 = 1"), path)
@@ -79,17 +69,17 @@ def profile_scan(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), F.min("l_quantity").alias("q0"), F.max("l_quantity").alias("q1"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.countDistinct("l_returnflag").alias("flags"))
 
 
-@register("order_manifest", "SELECT page_id, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id % 7 = 0, url, page_id) AS place FROM pages")
+@register("order_manifest", "SELECT page_id, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id % 7 = 0, url, page_id) AS place FROM pages")
 def order_manifest(spark, sf_dir):
     from pyspark.sql import Window
 
-    w = Window.partitionBy(F.col("page_id") % 10).orderBy(F.col("page_id") % 7 == 0, "url", "page_id")
+    w = Window.partitionBy(F.floor(F.col("page_id") / 100)).orderBy(F.col("page_id") % 7 == 0, "url", "page_id")
     return table(spark, sf_dir, "pages").select("page_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 def _event_files(spark, sf_dir, columns):
     """The events as a file source of several files, in time order, for the streams."""
-    path = scratch(spark, "events")
+    path = scratch_path(spark, "events")
     table(spark, sf_dir, "events").selectExpr(*columns).repartitionByRange(4, "ts").write.parquet(path)
     return path, spark.read.parquet(path).schema
 
@@ -97,27 +87,27 @@ def _event_files(spark, sf_dir, columns):
 @register("stream_dedupe_ingest", "SELECT DISTINCT user_id, event_type, event_id % 100 AS task FROM events")
 def stream_dedupe_ingest(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir, ["user_id", "event_type", "event_id % 100 AS task", "CAST(ts AS TIMESTAMP) AS ts"])
-    out = live.run_once(spark, path, schema, lambda s: live.once_each(s, ["user_id", "event_type", "task"], "ts", "60 days"), scratch(spark, "stream"))
+    out = live.run_once(spark, path, schema, lambda s: live.once_each(s, ["user_id", "event_type", "task"], "ts", "60 days"), scratch_path(spark, "stream"))
     return out.select("user_id", "event_type", "task")
 
 
 @register("stream_lease_claims")
 def stream_lease_claims(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir, ["user_id % 10 AS resource", "event_type AS holder", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS event"])
-    return live.run_once(spark, path, schema, lambda s: live.lease_claims(s, "resource", "holder", "ts", "event", 900.0), scratch(spark, "stream"))
+    return live.run_once(spark, path, schema, lambda s: live.lease_claims(s, "resource", "holder", "ts", "event", 900.0), scratch_path(spark, "stream"))
 
 
 @register("stream_turn_acceptance")
 def stream_turn_acceptance(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir, ["user_id AS user", "event_id % 40 AS message", "CAST(ts AS TIMESTAMP) AS ts"])
-    return live.run_once(spark, path, schema, lambda s: live.turn_acceptance(s, "user", "message", "ts", 3, 600.0), scratch(spark, "stream"))
+    return live.run_once(spark, path, schema, lambda s: live.turn_acceptance(s, "user", "message", "ts", 3, 600.0), scratch_path(spark, "stream"))
 
 
 @register("stream_fsm_fold")
 def stream_fsm_fold(spark, sf_dir):
     to = "element_at(array('processing','ready','failed','queued','failed_invalid'), cast(event_id % 5 + 1 as int)) AS target"
     path, schema = _event_files(spark, sf_dir, ["user_id AS entity", "event_id AS event", "CAST(ts AS TIMESTAMP) AS ts", to])
-    return live.run_once(spark, path, schema, lambda s: live.fold_states(s, "entity", "target", "ts", "event"), scratch(spark, "stream"))
+    return live.run_once(spark, path, schema, lambda s: live.fold_states(s, "entity", "target", "ts", "event"), scratch_path(spark, "stream"))
 
 
 @register("stub_classifier_udf", "SELECT event_id, upper(event_type) AS answer FROM events")

@@ -111,6 +111,31 @@ def test_uncovered_spans(spark):
     assert rows(joins.uncovered(spans, cuts, ["k"], "lo", "hi"), "k", "free_lo", "free_hi") == [("a", 0, 1), ("a", 4, 8), ("c", 0, 5)]
 
 
+def test_a_long_chain_is_one_component(spark):
+    r = random.Random(3)
+    ids = r.sample(range(10**6), 2000)
+    edges = spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), (-5, -3), (None, 4), (8, 8)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in (*ids, -5, -3, 4, 8)], "n long")
+    got = {x["n"]: x["component"] for x in joins.components(nodes, "n", edges, "a", "b").collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | {-5: -5, -3: -5, 4: 4, 8: 8}
+
+
+def test_chain_groups(spark):
+    r = random.Random(4)
+    rows = [(k, r.choice("xy"), float(r.randrange(60))) for k in range(50)] + [(99, None, 1.0), (98, "x", None)]
+    got = joins.chain_groups(spark.createDataFrame(rows, "id long, g string, v double"), ["g"], "v", "id", 2.0).where("g is not null and mean is not null").collect()
+    want = []
+    for g in "xy":
+        run = []
+        for v, k in sorted((v, k) for k, q, v in rows if q == g and v is not None):
+            if run and v - run[-1][0] > 2:
+                want.append((g, min(i for _, i in run), len(run)))
+                run = []
+            run.append((v, k))
+        want.append((g, min(i for _, i in run), len(run)))
+    assert sorted((x["g"], x["component"], x["members"]) for x in got) == sorted(want)
+
+
 def test_closure_and_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "c int, p int")
     assert joins.closure(e, "c", "p").count() == 9 * 10 // 2 + 1

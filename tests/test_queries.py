@@ -41,32 +41,10 @@ def test_query(spark, duck, name):
     assert sorted(map(near, rows)) == sorted(map(near, want))
 
 
-def test_the_rest_stands_without_the_corpus_operators(tmp_path):
-    for name in ("tessera", "__spark_entry__.py"):
+@pytest.mark.parametrize("extra", [(), ("corpus_pipeline.py",)])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, extra):
+    for name in ("tessera", "__spark_entry__.py", *extra):
         src = ROOT / name
         shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'best_frame_per_object' in q and not any(n[:2] == 'op' and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
-
-
-WHOLE = {"nested_groups_components": " WHERE event_id < 400", "interval_handoffs": " WHERE event_id < 600", "greedy_best_match": " WHERE p_partkey < 400", "tiered_lookup_ambiguity": " WHERE c_custkey < 300"}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_tables(spark, tmp_path, name):
-    """The queries over whole tables, against the SQL of their prefixed twins without its prefix."""
-    sf = "/root/testdata/sf0.01"
-    c = duckdb.connect()
-    if name == "interval_handoffs":  # in the given tables every user is there all month: users of one hour each
-        sf = str(tmp_path)
-        c.execute(f"COPY (SELECT i AS event_id, i // 3 AS user_id, CASE WHEN i % 2 = 0 THEN 'view' ELSE 'click' END AS event_type, TIMESTAMP '2024-01-01' + to_seconds(i * 1103) AS ts FROM range(500, 1000) t(i)) TO '{tmp_path}/events.parquet'")
-    for f in Path(sf).glob("*.parquet"):
-        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    assert SQL[name].count(WHOLE[name]) == 1
-    got = c.execute(SQL[name].replace(WHOLE[name], ""))
-    columns = [d[0] for d in got.description]
-    df = QUERIES[f"{name}_whole"](spark, sf)
-    at = [columns.index(x) for x in df.columns]
-    near = lambda r: tuple(f"{x:.4f}" if isinstance(x, float) else repr(x) for x in r)
-    want = sorted(near([r[k] for k in at]) for r in got.fetchall())
-    assert sorted(near(tuple(r)) for r in df.collect()) == want and len(want) > 0
