@@ -4,6 +4,7 @@ repeated and late events."""
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
