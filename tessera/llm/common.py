@@ -2,54 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import attach, table  # noqa: F401
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a single-machine session (local[..])
-    takes a temporary folder; any other session is refused, since its executors would not see the driver's disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.scratch.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._scratch = path
-    return back
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from ..session import attach, discard, scratch_path, table, written  # noqa: F401
 
 
 def hash_share(df: DataFrame, hashed: Column, about: int) -> DataFrame:

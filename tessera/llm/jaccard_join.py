@@ -6,10 +6,14 @@ inverted lists: their shingles are ordered from rare to frequent, by counts over
 and only as many of the rarest are looked up as a linked set cannot avoid. The boundary is the size at
 which listing subsets would cost more than scanning lists.
 
-Equal sets are one class throughout. Sets that meet in a list are grouped, and each group is
-verified exactly: within parts of bounded size and between pairs of parts, frequent shingles by
-matrix products, rare ones by their short lists. A part gives a spanning forest of its links, so a
-group of near copies never becomes a list of its pairs.
+Equal sets are one class throughout. Verification is exact and per list. First every set of a list is compared
+with the list's most central one alone (the one of the largest share of shingles that others hold, which the
+base of a family of near copies is), and verified links are united. Then only lists that still hold two
+components are open: their sets are compared all with all, in parts of bounded size and pairs of parts, frequent
+shingles by matrix products, rare ones by their short lists. Lists of the same sets are one list. Sets that
+open lists join, directly or through others, are compared as one group while that is small, else list by
+list, so that chance meetings never make a group of unbounded size. A part gives a spanning forest of its
+links, so a group of near copies never becomes a list of its pairs.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, word_hashes, written
-from .components import connected_components
+from .common import batches, shingle_hashes, word_hashes, written
+from ..operators.graphs import connected_components
 from .exchange import count_keys, for_each_block, make_blocks
 
 #: Sizes above this are never light: their subsets cost more than any list.
@@ -197,29 +201,60 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, part: int
     # each other, and a set enters its own band and the next one.
     heavy = F.col("size") > F.lit(percent * light // 100)
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
-    posted = sets.where(heavy).select("rep", F.explode("prefix").alias("shingle"), band.alias("band"))
-    posted = written(posted.select("rep", "shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band")), "postings")
-    heads = written(posted.groupBy("shingle", "band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
-    met_in_lists = posted.join(heads, ["shingle", "band"]).select(F.col("rep").alias("src"), F.col("head").alias("dst")).where("src != dst").distinct()
-    groups = connected_components(met_in_lists)
-
-    counted = groups.groupBy("component").agg(F.count("*").alias("n"))
-    spots = written(groups.join(counted, "component").select(F.col("node").alias("rep"), "component", "n"), "groups")
-    n_small = spots.where(F.col("n") <= part).count()
-    bins = max(1, -(-n_small // (part // 2)))
-    # small groups fill bins; a large one is cut into parts, and each pair of its parts is one task's work
-    cut = F.ceil(F.col("n") / part).cast("int")
-    own = F.pmod(F.xxhash64("rep"), cut).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), cut - 1), lambda j: F.struct(F.col("component").alias("g"), F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
-    in_bin = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("g"), F.lit(-1).alias("a"), F.lit(-1).alias("b")))
-    spots = spots.select("rep", F.explode(F.when(F.col("n") <= part, in_bin).otherwise(pairs)).alias("to")).select("rep", "to.*")
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        return pd.DataFrame(linked_forest(rows["rep"].to_numpy(), sets, rows["size"].to_numpy(), percent), columns=["src", "dst"], dtype=np.int64)
-
-    links = spots.join(sets.select("rep", "size", "shingles"), "rep").groupBy("g", "a", "b").applyInPandas(verify, "src long, dst long")
-    joined = connected_components(written(links.unionByName(light_links), "links"))
+    # how central a set is: the share of its shingles that other sets hold
+    central = F.octet_length("shingles") / (8 * F.col("size"))
+    posted = sets.where(heavy).select("rep", F.explode("prefix").alias("shingle"), band.alias("band"), central.alias("central"))
+    posted = written(posted.select("rep", "shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "central"), "postings")
+    heads = posted.groupBy("shingle", "band").agg(
+        F.max(F.struct("central", -F.col("rep"))).alias("top"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")
+    )
+    # lists of the same sets, by 128 bits, are one
+    lists = heads.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("shingle", "band")).alias("at"), F.first("top").alias("top"))
+    lists = lists.select("at.shingle", "at.band", "n", (-F.col("top.col2")).alias("head"))
+    members = written(posted.join(lists, ["shingle", "band"]).select("shingle", "band", "n", "head", "rep"), "members")
+
+    def star_links(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(tables, 8 << 20):
+            src, dst = [], []
+            for rep, head, n, m, s, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                shared = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
+                if 100 * shared >= percent * (n + m - shared):
+                    src.append(rep)
+                    dst.append(head)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    stars = members.where("rep != head").select("rep", "head").distinct()
+    stars = stars.join(sets.select("rep", "size", "shingles"), "rep").join(sets.select(F.col("rep").alias("head"), F.col("size").alias("m"), F.col("shingles").alias("t")), "head")
+    stars = stars.select("rep", "head", "size", "m", "shingles", "t").mapInArrow(star_links, "src long, dst long")
+    links = written(stars.unionByName(light_links), "links")
+    joined = connected_components(links)
+
+    label = F.coalesce("component", "rep")
+    labelled = members.join(joined, members["rep"] == joined["node"], "left").select("shingle", "band", "n", "head", "rep", label.alias("label"))
+    open_ = labelled.groupBy("shingle", "band").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("shingle", "band")
+    todo = written(labelled.join(open_, ["shingle", "band"]).select(F.xxhash64("shingle", "band").alias("list"), "n", "head", "rep"), "open-lists")
+    if not todo.isEmpty():
+        groups = connected_components(todo.where("rep != head").select(F.col("rep").alias("src"), F.col("head").alias("dst")))
+        counted = groups.groupBy("component").agg(F.count("*").alias("in_group"))
+        of_group = written(groups.join(counted, "component").select(F.col("node").alias("rep"), "component", "in_group"), "groups")
+        in_lists = todo.select("list", "n", "rep").join(of_group, "rep")
+        small = of_group.where(F.col("in_group") <= part).select("rep", F.xxhash64(F.lit("group"), "component").alias("g"), F.col("in_group").alias("n"))
+        large = in_lists.where(F.col("in_group") > part).select("rep", F.xxhash64(F.lit("list"), "list").alias("g"), "n")
+        spots = written(small.unionByName(large), "spots")
+        bins = max(1, -(-spots.where(F.col("n") <= part).count() // (part // 2)))
+        # small ones fill bins; a large one is cut into parts, and each pair of its parts is one task's work
+        cut = F.ceil(F.col("n") / part).cast("int")
+        own = F.pmod(F.xxhash64("rep"), cut).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), cut - 1), lambda j: F.struct(F.col("g"), F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
+        in_bin = F.array(F.struct(F.pmod("g", F.lit(bins)).alias("g"), F.lit(-1).alias("a"), F.lit(-1).alias("b")))
+        spots = spots.select("rep", F.explode(F.when(F.col("n") <= part, in_bin).otherwise(pairs)).alias("to")).select("rep", "to.*").distinct()
+
+        def verify(rows: pd.DataFrame) -> pd.DataFrame:
+            sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+            return pd.DataFrame(linked_forest(rows["rep"].to_numpy(), sets, rows["size"].to_numpy(), percent), columns=["src", "dst"], dtype=np.int64)
+
+        more = spots.join(sets.select("rep", "size", "shingles"), "rep").groupBy("g", "a", "b").applyInPandas(verify, "src long, dst long")
+        joined = connected_components(written(links.unionByName(more), "all-links"))
     of_class = named.join(joined, named["rep"] == joined["node"], "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
     of_class = written(of_class, "classes")
     return every.join(of_class, ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -31,7 +31,7 @@ class WordEncoder:
 
     LONG = 64
 
-    def __init__(self, path: str, most_words: int = 350_000, chunk: int = 64):
+    def __init__(self, path: str, most_words: int = 600_000, chunk: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_sample, written
-from .components import connected_components
+from ..operators.graphs import connected_components
 
 
 @dataclass

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import pii
 from tessera.llm.common import word_hashes
-from tessera.llm.components import connected_components
+from tessera.operators.graphs import connected_components
 from tessera.llm.jaccard_join import jaccard_components, light_boundary, subset_keys
 from tessera.llm.exchange import pack, pack_keys, unpack, unpack_keys
 from tessera.llm.language_model import BEGIN, Automaton, longer, score_texts
@@ -472,6 +472,25 @@ def test_jaccard(spark, part):
     assert jaccard_components(empty_of(spark)).count() == 0
 
 
+def test_families_without_a_centre_are_one_group(spark):
+    """Chains of texts that each link with the next alone, a family around a base that is not its least id, and texts
+    that share passages without linking: lists stay open after the stars, and groups are over a part's size."""
+    r, rows = random.Random(12), []
+    words = [f"c{k}" for k in range(400)]
+    rows += [(900 - k, " ".join(words[4 * k : 4 * k + 60]), None, None, None) for k in range(40)]  # a chain of sliding windows
+    base = [f"b{k}" for k in range(80)]
+    for k in range(30):
+        copy = list(base)
+        for _ in range(2 if k else 0):
+            copy[r.randrange(80)] = f"x{k}"
+        rows.append((500 + (17 * k + 5) % 30, " ".join(copy), None, None, None))
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows += [(100 + k, " ".join(f"{k}y{j}" for j in range(30)) + " " + shared, None, None, None) for k in range(30)]
+    for part in (1024, 6):
+        got = jaccard_components(docs_of(spark, rows, clash=False), part=part).collect()
+        assert sorted((str(x[0]), x[1], str(x[2])) for x in got) == plain_groups(rows, 4, 85)
+
+
 def test_light_sets_meet_exactly_where_they_link():
     r = random.Random(8)
     sets = [frozenset(r.sample(range(14), r.randrange(5, 14))) for _ in range(120)]
