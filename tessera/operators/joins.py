@@ -185,8 +185,9 @@ def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str) ->
 
 def chain_groups(df: DataFrame, key: list[str], value: str, ident: str, most_gap: float) -> DataFrame:
     """Groups of each key's rows whose values form a chain of steps of at most `most_gap`, named by the least id: component,
-    members, mean of the values. Rows of one value are one step, so the windows hold distinct values, not rows."""
-    steps = df.groupBy(*key, value).agg(F.min(ident).alias("_i"), F.count("*").alias("_n"))
+    members, mean of the values. Rows of one value are one step, so the windows hold distinct values, not rows. Null values
+    are in no group."""
+    steps = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(ident).alias("_i"), F.count("*").alias("_n"))
     w = Window.partitionBy(*key).orderBy(value)
     new = F.coalesce((F.col(value) - F.lag(value).over(w) > most_gap).cast("long"), F.lit(0))
     run = steps.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))

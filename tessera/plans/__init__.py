@@ -1,3 +1,3 @@
 """Queries: each binds operators to the tables and stands beside SQL for the same result."""
 
-from . import details, frames, measures, relations, rules, stores  # noqa: F401
+from . import details, frames, gates, measures, relations, rules, shapes, stores, summaries  # noqa: F401

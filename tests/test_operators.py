@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.extension import classify_once
-from tessera.operators import aggregates, joins, selection, sequences, validation
+from tessera.operators import aggregates, gates, joins, selection, sequences, summaries, validation
 from tessera.sources import documents
 from tessera.streaming import stateful
 
@@ -114,7 +114,7 @@ def test_uncovered_spans(spark):
 
 def test_a_long_chain_is_one_component(spark):
     r = random.Random(3)
-    ids = r.sample(range(10**6), 2000)
+    ids = r.sample(range(10**6), 300)
     edges = spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), (-5, -3), (None, 4), (8, 8)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in (*ids, -5, -3, 4, 8)], "n long")
     got = {x["n"]: x["component"] for x in joins.components(nodes, "n", edges, "a", "b").collect()}
@@ -124,7 +124,7 @@ def test_a_long_chain_is_one_component(spark):
 def test_chain_groups(spark):
     r = random.Random(4)
     rows = [(k, r.choice("xy"), float(r.randrange(60))) for k in range(50)] + [(99, None, 1.0), (98, "x", None)]
-    got = joins.chain_groups(spark.createDataFrame(rows, "id long, g string, v double"), ["g"], "v", "id", 2.0).where("g is not null and mean is not null").collect()
+    got = joins.chain_groups(spark.createDataFrame(rows, "id long, g string, v double"), ["g"], "v", "id", 2.0).where("g is not null").collect()
     want = []
     for g in "xy":
         run = []
@@ -249,3 +249,36 @@ def test_repeated_events_are_taken_once(spark, tmp_path):
     data = [(k % 4, dt.datetime(2024, 1, 1, 0, k)) for k in range(12)]
     got = streamed(spark, tmp_path, data, "k int, ts timestamp", lambda s: stateful.once_each(s, ["k"], "ts", "1 day"))
     assert sorted(r[0] for r in got.select("k").collect()) == [0, 1, 2, 3]
+
+
+def test_average_rotations(spark):
+    r = np.random.default_rng(5)
+    rows = [(k % 3, *map(float, q)) for k, q in enumerate(r.normal([0.2, 0.1, 0.3, 0.9], 0.05, (60, 4)))]
+    rows += [(0, *[-c for c in rows[0][1:]]), (1, None, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 0.0, 0.0)]
+    got = {x["k"]: np.array(x[1:]) for x in summaries.average_rotation(spark.createDataFrame(rows, "k int, x double, y double, z double, w double"), "k", list("xyzw")).collect()}
+    for k in range(3):
+        q = np.array([x[1:] for x in rows if x[0] == k and None not in x and any(x[1:])], dtype=float)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        top = np.linalg.eigh(q.T @ q)[1][:, -1]
+        assert np.allclose(got[k], top * np.sign(top[3]))
+
+
+def test_hulls(spark):
+    r = random.Random(6)
+    rows = [("square", float(x), float(y)) for x in (0, 1, 2) for y in (0, 1, 2)] + [("line", float(k), float(k)) for k in range(5)] + [("point", 1.0, 1.0)] * 3 + [("square", None, 1.0)]
+    rows += [("disc", r.random(), r.random()) for _ in range(300)]
+    got = {x["k"]: (x["n_corners"], x["area"]) for x in summaries.hull_areas(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y").collect()}
+    assert got["square"] == (4, 4.0) and got["line"] == (2, 0.0) and got["point"] == (1, 0.0)
+    p = [x[1:] for x in rows if x[0] == "disc"]
+    # an edge of the hull has all points on one side
+    edges = [(a, b) for a in p for b in p if a != b and all((b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0]) >= 0 for q in p)]
+    assert got["disc"] == (len(edges), pytest.approx(sum(a[0] * b[1] - a[1] * b[0] for a, b in edges) / 2))
+
+
+def test_gates_on_their_edges(spark):
+    df = spark.createDataFrame([(1, None), (2, bytearray(b"\xff\xd8")), (3, bytearray(b"\xff\xd8\xff" + bytes(9))), (4, bytearray(b"\xff\xd8\xfe" + bytes(9))), (5, bytearray(b"\xff\xd8\xff" + bytes(90)))], "k int, b binary")
+    got = dict(rows(df.select("k", gates.blob_problem(F.col("b"), b"\xff\xd8\xff", 10, 50).alias("p")), "k", "p"))
+    assert got == {1: "missing", 2: "too_small", 3: None, 4: "wrong_type", 5: "too_large"}
+    e = spark.createDataFrame([(1, 1, 2, "at"), (2, 2, 1, "over"), (3, 2, 2, "at"), (4, 2, 3, "over"), (5, 3, 2, "at"), (6, 9, 1, "at")], "pos int, a int, b int, how string")
+    sizes = spark.createDataFrame([(1, 5), (2, 3), (3, 2)], "k int, size int")
+    assert rows(gates.settled_edges(e, "a", "b", "how", "pos", sizes, "k", "size"), "pos", "a", "b", "action") == [(1, 2, 1, "turned"), (2, 2, 1, "dropped_second"), (3, 2, 2, "dropped_self"), (4, 2, 3, "dropped_over"), (5, 3, 2, "kept")]
