@@ -29,18 +29,37 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP2_SQL = r"""
-WITH p AS (
-  SELECT page_id, url,
+def _key(u: str) -> str:
+    """SQL of the page key of a url."""
+    host = f"regexp_replace(translate(coalesce(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\\.', '')"
+    rest = f"regexp_replace(regexp_extract({u}, '^.*?://[^/?#]*([^#]*)', 1, 's'), '^(.+)/$', '\\1', 's')"
+    return f"CASE WHEN contains({u}, '://') THEN {host} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+#: Of relative links it knows those from the root alone.
+OP2_SQL = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, {_key("url")} AS key,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
 r AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
-  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) t(rule, rhost, rpath, verdict))
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) t(rule, rhost, rpath, verdict)),
+t AS (SELECT url AS a, unnest(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is')) AS tag, 'href' AS name FROM p
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is')), 'url' FROM p),
+l AS (SELECT a, replace(CASE name WHEN 'href' THEN regexp_extract(tag, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') ELSE regexp_extract(tag, '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is') END, '&amp;', '&') AS b FROM t),
+w AS (SELECT a, CASE WHEN regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN b WHEN starts_with(b, '/') THEN regexp_extract(a, '^(.*?://[^/?#]*)', 1, 's') || b END AS b FROM l),
+e AS (SELECT DISTINCT {_key("a")} AS a, {_key("b")} AS b FROM w),
+s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+k AS (SELECT key, host, path FROM p WHERE key IS NOT NULL UNION SELECT a, regexp_extract(a, '^([^/?]*)', 1, 's'), regexp_extract(a, '^[^/?]*([^?]*)', 1, 's') FROM s),
+v AS (SELECT key, (SELECT verdict FROM r WHERE (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) ORDER BY length(rule) DESC LIMIT 1) AS verdict FROM k),
+c AS (SELECT DISTINCT key AS n, key AS m FROM k UNION SELECT c.n, s.b FROM c JOIN s ON c.m = s.a),
+g AS (SELECT n, bool_or(verdict = 'allow') AS allows, bool_or(verdict = 'block') AS blocks FROM c JOIN v ON v.key = c.m GROUP BY n)
 SELECT page_id, host, path,
   (SELECT rule FROM r WHERE (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) ORDER BY length(rule) DESC LIMIT 1) AS rule,
-  coalesce((SELECT verdict FROM r WHERE (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) ORDER BY length(rule) DESC LIMIT 1), 'allow') AS verdict
-FROM p
+  coalesce((SELECT verdict FROM r WHERE (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) ORDER BY length(rule) DESC LIMIT 1),
+    CASE WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN g ON g.n = p.key
 """
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import connected_components
+from .common import written
 
 #: (host/path, verdict). A rule fits its host and all subdomains, if the path starts with its path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -36,6 +37,11 @@ def page_key(url: Column) -> Column:
     return F.when(url.contains("://"), key)
 
 
+def exact_key(url: Column) -> Column:
+    """One key for urls that differ in scheme and fragment alone."""
+    return F.when(url.contains("://"), F.concat(url_host(url), F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1), F.lit(""))))
+
+
 def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits (ties: rule order), else null."""
     fits = []
@@ -75,7 +81,7 @@ def _absolute(link: Column, base: Column) -> Column:
     )
 
 
-def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
+def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None, same=page_key) -> DataFrame:
     """Edges (a, b) of page keys: all canonical links and meta refreshes in the html, and, if given,
     rows (from_url, to_url) of a redirect log. Relative links go from the page's directory, or from its
     first `<base href>`; of the entities in a link the ampersand is decoded."""
@@ -91,39 +97,37 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirect
     links = links.withColumn("base", base).select("a", _absolute(F.col("to"), F.col("base")).alias("b"))
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("from_url").alias("a"), F.col("to_url").alias("b")))
-    return links.select(page_key(F.col("a")).alias("a"), page_key(F.col("b")).alias("b")).dropna().where("a != b").distinct()
+    return links.select(same(F.col("a")).alias("a"), same(F.col("b")).alias("b")).dropna().where("a != b").distinct()
 
 
-def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """Returns page_id, host, path, rule, verdict, component (the alias group's id, null outside one).
+def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html", redirects: DataFrame | None = None, same=page_key) -> DataFrame:
+    """Returns page_id, host, path, rule, verdict, component (the least key of the alias group, null outside one).
 
     A url's own rule decides. Without one: if a member of its alias group has an allow rule, allow
     (explicit allow goes before block); else if a member has a block rule, block; else allow.
-    Urls of one page key are aliases of each other. Null urls and urls without `://` have an empty
+    Urls of one key are aliases of each other; `same` makes the key of a url, which begins with its host and path
+    (page_key: whatever the scheme, `www.`, fragment and last slash; exact_key: whatever the fragment alone). Null urls and urls without `://` have an empty
     host and path, no rule and no alias: allow. Repeated rows are judged alike; other columns of
     `pages` are not read, whatever their names. An empty table gives no rows.
     """
     u = F.col(url)
-    judged = pages.select(F.col(page_id).alias("page_id"), url_host(u).alias("host"), url_path(u).alias("path"), page_key(u).alias("key"))
+    judged = pages.select(F.col(page_id).alias("page_id"), url_host(u).alias("host"), url_path(u).alias("path"), same(u).alias("key"))
     judged = judged.withColumn("own", longest_rule(F.col("host"), F.col("path"), rules))
-    edges = alias_edges(pages, url, html, redirects)
-    # node numbers: 64-bit hashes of the keys
-    numbered = edges.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
-    groups = connected_components(numbered)
+    edges = written(alias_edges(pages, url, html, redirects, same), "alias-edges")
+    groups = connected_components(edges, "a", "b")  # by the keys themselves: no two pages are ever taken for one
     of_edges = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     of_edges = of_edges.withColumn("own", longest_rule(F.regexp_extract("key", r"(?s)^([^/?]*)", 1), F.regexp_extract("key", r"(?s)^[^/?]*([^?]*)", 1), rules))
     member = (
         judged.select("key", "own").where("key is not null and own is not null").unionByName(of_edges.where("own is not null"))
-        .groupBy(F.xxhash64("key").alias("node")).agg(F.max(F.col("own.verdict") == "allow").alias("allows"), F.max(F.col("own.verdict") == "block").alias("blocks"))
+        .groupBy(F.col("key").alias("node")).agg(F.max(F.col("own.verdict") == "allow").alias("allows"), F.max(F.col("own.verdict") == "block").alias("blocks"))
     )
     whole = groups.join(member, "node", "left").groupBy("component").agg(F.max("allows").alias("allows"), F.max("blocks").alias("blocks"))
     # group -> node; nodes outside every edge stand for their own key
     at_node = (
         groups.join(whole, "component").select("node", "component", "allows", "blocks")
-        .unionByName(member.join(groups, "node", "left_anti").select("node", F.lit(None).cast("long").alias("component"), "allows", "blocks"))
+        .unionByName(member.join(groups, "node", "left_anti").select("node", F.lit(None).cast("string").alias("component"), "allows", "blocks"))
     )
-    needs = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
-    out = judged.withColumn("node", needs).join(at_node, "node", "left")
+    out = judged.withColumn("node", F.col("key")).join(at_node, "node", "left")
     inherited = F.when(F.col("allows"), "allow").when(F.col("blocks"), "block").otherwise("allow")
     return out.select(
         "page_id", "host", "path", F.col("own.rule").alias("rule"),

@@ -11,6 +11,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import pii
+from tessera.llm import queries as llm_queries
 from tessera.llm.common import word_hashes
 from tessera.operators.graphs import connected_components
 from tessera.llm.jaccard_join import jaccard_components, light_boundary, subset_keys
@@ -162,6 +164,21 @@ def test_urls(spark):
     assert judge_urls(pages.where("false")).count() == 0
 
 
+def test_the_sql_of_urls_knows_aliases(spark, tmp_path):
+    """Chains, cycles, groups with an allow and a block, absolute and rooted links, against the SQL beside op2."""
+    link, turn = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [("http://a.net/x", None), ("http://c1.com/", link % "http://c2.com/"), ("http://c2.com/", link % "http://c3.com/q?x=1&amp;y=2"), ("https://www.c3.com/q?x=1&y=2#z", turn % "http://c4.com/b"), ("http://c4.com/b/", link % "http://b.net/")]
+    rows += [("http://r1.com/", link % "/r2"), ("http://r1.com/r2", link % "http://r1.com/"), ("http://m1.com/", link % "http://m.net/" + link % "http://z.example.net/en/x"), ("http://m.net/", None), ("http://m2.com", turn % "http://m1.com/")]
+    rows += [("http://example.com/de/x", link % "http://z.org/fr/"), (None, None), ("no scheme", link % "http://b.net/"), ("http://s.com/", ""), ("http://s.com/", None)]
+    spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, llm_queries.op2_url_filters(spark, f"file://{tmp_path}").collect()))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(c.execute(llm_queries.OP2_SQL).fetchall())
+    by = {rows[k][0]: v for k, _, _, _, v in got}
+    assert by["http://c1.com/"] == "block" and by["http://r1.com/"] == "allow" and by["http://m2.com"] == "allow" and by["http://m.net/"] == "block"
+
+
 # --- 3 mixing -------------------------------------------------------------------------------------
 
 
@@ -505,14 +522,14 @@ def test_light_sets_meet_exactly_where_they_link():
 # --- 8 vectors ------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("part", [1024, 8])
-def test_vectors(spark, part):
+@pytest.mark.parametrize(("part", "how"), [(1024, {}), (8, {}), (1024, {"most_sample": 40, "most_leaf": 50, "leaf": 30})])
+def test_vectors(spark, part, how):
     r = np.random.default_rng(3)
     centres = r.normal(size=(12, 16))
     x = [(centres[k % 12] + 0.13 * r.normal(size=16)).tolist() for k in range(240)]
     rows = [(k, v, 0) for k, v in enumerate(x)] + [(500, x[0], 1), (501, [2 * a for a in x[0]], 1), (600, None, 0), (601, [0.0] * 16, 0), (602, [float("nan")] * 16, 0), (603, [1.0, None] * 8, 0), (604, [1.0, 2.0], 0), (605, [], 0), (500, x[0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("raw", F.lit(1)).withColumn("high", F.lit(1)).withColumn("leaf", F.lit(1))
-    got = link_vectors(df, trees=8, leaf=60, spill=0.1, part=part).collect()
+    got = link_vectors(df, **({"trees": 8, "leaf": 60, "spill": 0.1, "part": part} | how)).collect()
     good = [(i, np.array(v) / np.linalg.norm(v)) for i, v, _ in rows if i < 600]
     m = np.stack([v for _, v in good])
     links = m @ m.T >= 0.95
