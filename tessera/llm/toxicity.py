@@ -60,6 +60,30 @@ def features_of(words: set[bytes]) -> set[bytes]:
     return out
 
 
+@dataclass
+class Index:
+    """Some features by what they are, to find those that a text holds without making all of the text's."""
+
+    words: dict[bytes, int]
+    begun: dict[bytes, int]
+    twice: dict[bytes, int]
+
+    @staticmethod
+    def of(features: list[bytes]) -> Index:
+        at = dict(zip(features, range(len(features)), strict=True))
+        return Index({w: k for w, k in at.items() if w[-1:] != b"*"}, {w[:-1]: k for w, k in at.items() if w[-1:] == b"*" and w[-2:] != b"**"}, {w[:-2]: k for w, k in at.items() if w[-2:] == b"**"})
+
+    def held(self, words: set[bytes]) -> list[int]:
+        """The places of the features of a text of these words."""
+        out = [self.words[w] for w in words & self.words.keys()]
+        seen: Counter[bytes] = Counter()
+        known = self.begun.keys() | self.twice.keys()
+        for k in BEGINNINGS:
+            seen.update(b for b in (w[:k] for w in words if len(w) >= k) if b in known)
+        out += [self.begun[b] for b in seen if b in self.begun]
+        return out + [self.twice[b] for b, n in seen.items() if n > 1 and b in self.twice]
+
+
 def swapped(words: set[bytes]) -> set[bytes]:
     return {_SWAP.get(w, w) for w in words}
 
@@ -91,8 +115,11 @@ class ToxicityModel:
     pairs: tuple[int, int] = (0, 0)
     gap: float = 0.0
 
+    def __post_init__(self) -> None:
+        self.index, self.values = Index.of(list(self.weights)), list(self.weights.values())
+
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(map(self.weights.__getitem__, self.weights.keys() & features_of(words_held(text))))
+        z = self.bias + sum(self.values[k] for k in sorted(self.index.held(words_held(text))))
         return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
 
 
@@ -143,8 +170,12 @@ def fit_toxicity(
             words, toxic = [], []
             for s, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held = [w.decode("latin-1") for w in features_of(words_held(s))] + [""]
-                words += held
-                toxic += [y] * len(held)
+                for at in range(0, len(held), 1 << 16):
+                    words += held[at : at + (1 << 16)]
+                    toxic += [y] * len(held[at : at + (1 << 16)])
+                    if len(words) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "y"])
+                        words, toxic = [], []
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "y"])
 
     sums = written(sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(held, "word string, y int").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("t")), "words")
@@ -160,10 +191,10 @@ def fit_toxicity(
     top = sums.where("word != ''").select("word", gain.alias("gain")).where(F.col("gain") >= 2 * np.log(number)).orderBy(F.desc("gain"), "word").limit(most_features)
     chosen = [r[0].encode("latin-1") for r in top.select("word").collect()]  # at most most_features rows
     place = {w: k for k, w in enumerate(dict.fromkeys([*chosen, *sorted(_SWAP)]))}
-    kind = pa.list_(pa.int32())
+    index, kind = Index.of(list(place)), pa.list_(pa.int32())
 
     def features(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lambda words: sorted(place[w] for w in features_of(words) & place.keys())
+        known = lambda words: sorted(index.held(words))
         for b in batches(tables, 256 << 10):
             own, pairs = [], []
             for s in b.column(0).to_pylist():

@@ -30,7 +30,7 @@ from tessera.llm.packing import configurations, pack_documents, program, slots
 from tessera.llm.quality import judge_quality, ngram_ratios
 from tessera.llm.token_files import FrameReader, FrameWriter, read_token_files, write_token_files
 from tessera.llm.tokens import WordEncoder
-from tessera.llm.toxicity import MENTIONS, fit_toxicity, fit_weights, score_toxicity
+from tessera.llm.toxicity import MENTIONS, Index, features_of, fit_toxicity, fit_weights, score_toxicity
 from tessera.llm.url_filters import judge_urls
 from tessera.llm.vector_forest import link_vectors
 
@@ -636,6 +636,15 @@ def test_toxicity(spark):
     assert score_toxicity(empty_of(spark), model).count() == 0
 
 
+def test_the_index_finds_the_features_that_a_text_holds():
+    r = random.Random(9)
+    for _ in range(50):
+        words = {"".join(r.choice("ab") for _ in range(r.randrange(1, 9))).encode() for _ in range(12)}
+        every = sorted(features_of(words) | {b"zz", b"aaaa*", b"bbbb**", b"abababab"})
+        some = r.sample(every, len(every) // 2)
+        assert sorted(Index.of(some).held(words)) == [k for k, f in enumerate(some) if f in features_of(words)]
+
+
 def test_neutral_mentions_are_left_alone(spark):
     """Toxic texts often name one group, in four languages: without the penalty its name alone makes a text toxic."""
     r = random.Random(8)
