@@ -91,23 +91,70 @@ def stream_dedupe_ingest(spark, sf_dir):
     return out.select("user_id", "event_type", "task")
 
 
-@register("stream_lease_claims")
+@register("stream_lease_claims", """
+WITH RECURSIVE e AS (SELECT user_id % 10 AS resource, event_type AS holder, ts, event_id AS event, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT resource, holder, event, i, 'claimed' AS outcome, holder AS owner, ts AS since FROM e WHERE i = 1
+ UNION ALL SELECT e.resource, e.holder, e.event, e.i, CASE WHEN e.ts - since < INTERVAL 900 SECOND AND owner <> e.holder THEN 'already_owned' WHEN owner = e.holder THEN 'renewed' ELSE 'reclaimed' END,
+  CASE WHEN e.ts - since < INTERVAL 900 SECOND AND owner <> e.holder THEN owner ELSE e.holder END, CASE WHEN e.ts - since < INTERVAL 900 SECOND AND owner <> e.holder THEN since ELSE e.ts END FROM r JOIN e ON e.resource = r.resource AND e.i = r.i + 1)
+SELECT resource, holder, event, outcome FROM r
+""")
 def stream_lease_claims(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir, ["user_id % 10 AS resource", "event_type AS holder", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS event"])
-    return live.run_once(spark, path, schema, lambda s: live.lease_claims(s, "resource", "holder", "ts", "event", 900.0), scratch_path(spark, "stream"))
+    return live.run_once(spark, path, schema, lambda s: live.lease_claims(s, "resource", "holder", "ts", "event", 900.0), scratch_path(spark, "stream")).select("resource", "holder", "event", "outcome")
 
 
-@register("stream_turn_acceptance")
+@register("stream_turn_acceptance", """
+WITH RECURSIVE e AS (SELECT user_id, event_id % 40 AS message, ts, date_trunc('day', ts) AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id % 40) AS i FROM events),
+r AS (SELECT user_id, message, ts, i, 'accepted' AS outcome, day, 1 AS n, ts AS lease, [{'m': message, 't': ts}] AS seen FROM e WHERE i = 1
+ UNION ALL SELECT user_id, message, ts, i, outcome, CASE WHEN outcome = 'accepted' THEN day ELSE was END, CASE WHEN outcome = 'accepted' THEN used + 1 ELSE n END, CASE WHEN outcome = 'accepted' THEN ts ELSE lease END, CASE WHEN outcome = 'accepted' THEN list_append(seen, {'m': message, 't': ts}) ELSE seen END
+ FROM (SELECT *, CASE WHEN len(list_filter(seen, lambda x: x.m = message AND ts - x.t < INTERVAL 7 DAY)) > 0 THEN 'replay' WHEN used >= 3 THEN 'rested' WHEN ts - lease < INTERVAL 600 SECOND THEN 'busy' ELSE 'accepted' END AS outcome
+ FROM (SELECT e.user_id, e.message, e.ts, e.i, e.day, r.day AS was, r.n, r.lease, r.seen, CASE WHEN r.day = e.day THEN r.n ELSE 0 END AS used FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
+SELECT user_id AS user, message, epoch_us(ts) AS at_us, outcome FROM r
+""")
 def stream_turn_acceptance(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir, ["user_id AS user", "event_id % 40 AS message", "CAST(ts AS TIMESTAMP) AS ts"])
-    return live.run_once(spark, path, schema, lambda s: live.turn_acceptance(s, "user", "message", "ts", 3, 600.0), scratch_path(spark, "stream"))
+    out = live.run_once(spark, path, schema, lambda s: live.turn_acceptance(s, "user", "message", "ts", 3, 600.0), scratch_path(spark, "stream"))
+    return out.select("user", "message", F.unix_micros("ts").alias("at_us"), "outcome")
+
 
+_EDGES = "(SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in live.STATE_EDGES.items() for b in bs) + ") t(a, b))"
 
-@register("stream_fsm_fold")
+
+@register("stream_fsm_fold", f"""
+WITH RECURSIVE e AS (SELECT user_id AS entity, event_id AS event, (['processing', 'ready', 'failed', 'queued', 'failed_invalid'])[event_id % 5 + 1] AS target, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT entity, event, i, 'queued' AS before, target, target IN (SELECT b FROM {_EDGES} WHERE a = 'queued') AS allowed FROM e WHERE i = 1
+ UNION ALL SELECT entity, event, i, now, target, EXISTS (SELECT 1 FROM {_EDGES} WHERE a = now AND b = target) FROM (SELECT e.*, CASE WHEN r.allowed THEN r.target ELSE r.before END AS now FROM r JOIN e ON e.entity = r.entity AND e.i = r.i + 1))
+SELECT entity, event, before, target, allowed FROM r
+""")
 def stream_fsm_fold(spark, sf_dir):
     to = "element_at(array('processing','ready','failed','queued','failed_invalid'), cast(event_id % 5 + 1 as int)) AS target"
     path, schema = _event_files(spark, sf_dir, ["user_id AS entity", "event_id AS event", "CAST(ts AS TIMESTAMP) AS ts", to])
-    return live.run_once(spark, path, schema, lambda s: live.fold_states(s, "entity", "target", "ts", "event"), scratch_path(spark, "stream"))
+    return live.run_once(spark, path, schema, lambda s: live.fold_states(s, "entity", "target", "ts", "event"), scratch_path(spark, "stream")).select("entity", "event", "before", "target", "allowed")
+
+
+@register("stream_fenced_writes", """
+WITH RECURSIVE e AS (SELECT user_id * 31 + event_id // 200 AS entity, event_type AS holder, event_id AS event, ts, CASE WHEN event_id % 9 = 0 THEN 'ready' WHEN event_id % 2 = 0 THEN 'processing' ELSE 'working' END AS target, row_number() OVER (PARTITION BY user_id * 31 + event_id // 200 ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT entity, 0::BIGINT AS i, NULL::BIGINT AS event, NULL::VARCHAR AS outcome, NULL::VARCHAR AS owner, TIMESTAMP '2000-01-01' AS since, 'queued' AS status FROM e WHERE i = 1
+ UNION ALL SELECT entity, i, event, outcome, CASE outcome WHEN 'claimed' THEN holder WHEN 'reclaimed' THEN holder WHEN 'written' THEN CASE WHEN target = 'ready' THEN NULL ELSE owner END ELSE owner END, CASE WHEN outcome IN ('claimed', 'reclaimed', 'written') THEN ts ELSE since END,
+  CASE WHEN outcome IN ('claimed', 'reclaimed') THEN 'processing' WHEN outcome = 'written' THEN target ELSE status END FROM (SELECT *, CASE WHEN status = 'ready' THEN 'terminal' WHEN target = 'processing' AND NOT held THEN CASE WHEN owner IS NULL THEN 'claimed' ELSE 'reclaimed' END WHEN held AND owner = holder THEN 'written' ELSE 'fenced' END AS outcome
+  FROM (SELECT e.*, s.owner, s.since, s.status, s.owner IS NOT NULL AND e.ts - s.since < INTERVAL 100000 SECOND AS held FROM s JOIN e ON e.entity = s.entity AND e.i = s.i + 1)))
+SELECT entity, event, outcome FROM s WHERE i > 0
+""")
+def stream_fenced_writes(spark, sf_dir):
+    to = "CASE WHEN event_id % 9 = 0 THEN 'ready' WHEN event_id % 2 = 0 THEN 'processing' ELSE 'working' END AS target"
+    path, schema = _event_files(spark, sf_dir, ["user_id * 31 + event_id div 200 AS entity", "event_type AS holder", "event_id AS event", "CAST(ts AS TIMESTAMP) AS ts", to])
+    return live.run_once(spark, path, schema, lambda s: live.fenced_writes(s, "entity", "holder", "target", "ts", "event", 100_000.0), scratch_path(spark, "stream"))
+
+
+@register("stream_spend_admission", """
+WITH RECURSIVE e AS (SELECT user_id AS user, event_id AS event, value AS cost, date_trunc('day', ts) AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user, event, i, day, 'opening' AS outcome, cost AS spent FROM e WHERE i = 1
+ UNION ALL SELECT e.user, e.event, e.i, e.day, CASE WHEN e.day <> r.day THEN 'opening' WHEN r.spent + e.cost <= 120 THEN 'admitted' ELSE 'over_budget' END, CASE WHEN e.day <> r.day THEN e.cost WHEN r.spent + e.cost <= 120 THEN r.spent + e.cost ELSE r.spent END FROM r JOIN e ON e.user = r.user AND e.i = r.i + 1)
+SELECT user, event, outcome, round(spent, 6) AS spent FROM r
+""")
+def stream_spend_admission(spark, sf_dir):
+    path, schema = _event_files(spark, sf_dir, ["user_id AS user", "event_id AS event", "value AS cost", "CAST(ts AS TIMESTAMP) AS ts"])
+    return live.run_once(spark, path, schema, lambda s: live.spend_admission(s, "user", "cost", "ts", "event", 120.0), scratch_path(spark, "stream")).withColumn("spent", F.round("spent", 6))
 
 
 @register("stub_classifier_udf", "SELECT event_id, upper(event_type) AS answer FROM events")

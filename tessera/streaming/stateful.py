@@ -58,20 +58,20 @@ def sorted_frames(frames: Iterator[pd.DataFrame], by: list[str]) -> list[pd.Data
     return [pd.concat(got).sort_values(by)] if got else []
 
 
-def turn_acceptance(stream: DataFrame, user: str, message: str, ts: str, quota: int, ttl_s: float) -> DataFrame:
-    """replay (the message id has come before), rested (today's count has reached the quota), busy (a lease
-    younger than the TTL), accepted. The order of the checks is part of the result. A turn completes, and
-    gives its lease back, after the TTL."""
+def turn_acceptance(stream: DataFrame, user: str, message: str, ts: str, quota: int, ttl_s: float, horizon_s: float = 7 * 86400.0) -> DataFrame:
+    """replay (the message id was accepted within the horizon), rested (today's count has reached the quota), busy
+    (a lease younger than the TTL), accepted. The order of the checks is part of the result. A turn completes, and
+    gives its lease back, after the TTL. Of each user only the ids accepted within the horizon are kept."""
     out = f"{user} long, {message} long, {ts} timestamp, outcome string"
 
     def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, count, lease, seen = state.get if state.exists else ("", 0, 0.0, [])
-        known, rows = set(seen), []
+        day, count, lease, seen, at = state.get if state.exists else ("", 0, 0.0, [], [])
+        known, rows, now = dict(zip(seen, at, strict=True)), [], 0.0
         for f in sorted_frames(frames, [ts, message]):
             for m, t in zip(f[message], f[ts], strict=True):
                 now, today = t.timestamp(), str(t.date())
                 used = count if day == today else 0
-                if m in known:
+                if m in known and now - known[m] < horizon_s:
                     outcome = "replay"
                 elif used >= quota:
                     outcome = "rested"
@@ -79,12 +79,13 @@ def turn_acceptance(stream: DataFrame, user: str, message: str, ts: str, quota:
                     outcome = "busy"
                 else:
                     outcome, lease, day, count = "accepted", now, today, used + 1
-                    known.add(m)
+                    known[m] = now
                 rows.append((key[0], m, t, outcome))
-        state.update((day, count, lease, sorted(known)))
+        kept = sorted((m, t) for m, t in known.items() if now - t < horizon_s)
+        state.update((day, count, lease, [m for m, _ in kept], [t for _, t in kept]))
         yield pd.DataFrame(rows, columns=[user, message, ts, "outcome"])
 
-    return stream.groupBy(user).applyInPandasWithState(accept, out, "day string, count long, lease double, seen array<long>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(user).applyInPandasWithState(accept, out, "day string, count long, lease double, seen array<long>, at array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def fold_states(stream: DataFrame, entity: str, to: str, ts: str, event: str, start: str = "queued") -> DataFrame:
@@ -108,3 +109,55 @@ def fold_states(stream: DataFrame, entity: str, to: str, ts: str, event: str, st
 def windowed_counts(stream: DataFrame, ts: str, kind: str, width: str, delay: str) -> DataFrame:
     """Counts by event-time window and kind, final once the watermark has passed."""
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+
+
+def fenced_writes(stream: DataFrame, entity: str, holder: str, to: str, ts: str, event: str, ttl_s: float, end: tuple[str, ...] = ("ready", "failed")) -> DataFrame:
+    """Transitions that only the holder of a lease may write: `claimed` or `reclaimed` (a lease that is not younger than the TTL
+    is anyone's) at `processing`; `written` by the holder, and an end state gives the lease back; `fenced` for all others;
+    `terminal` after an end state. In event order; the state is one holder, one time and one status for each entity."""
+    out = f"{entity} long, {event} long, outcome string"
+
+    def write(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        owner, since, status = state.get if state.exists else (None, 0.0, "queued")
+        rows = []
+        for f in sorted_frames(frames, [ts, event]):
+            for h, t, e, want in zip(f[holder], f[ts], f[event], f[to], strict=True):
+                now = t.timestamp()
+                held = owner is not None and now - since < ttl_s
+                if status in end:
+                    outcome = "terminal"
+                elif want == "processing" and not held:
+                    outcome, owner, since, status = "claimed" if owner is None else "reclaimed", h, now, "processing"
+                elif held and owner == h:
+                    outcome, since, status = "written", now, want
+                    owner = None if want in end else owner
+                else:
+                    outcome = "fenced"
+                rows.append((key[0], e, outcome))
+        state.update((owner, since, status))
+        yield pd.DataFrame(rows, columns=[entity, event, "outcome"])
+
+    return stream.groupBy(entity).applyInPandasWithState(write, out, "owner string, since double, status string", "append", GroupStateTimeout.NoTimeout)
+
+
+def spend_admission(stream: DataFrame, user: str, cost: str, ts: str, event: str, budget: float) -> DataFrame:
+    """opening (a user's first request of a day, always admitted and counted), admitted while the day's spend with this request
+    stays within the budget, else over_budget (not counted). State: one day and one sum for each user."""
+    out = f"{user} long, {event} long, outcome string, spent double"
+
+    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, spent = state.get if state.exists else ("", 0.0)
+        rows = []
+        for f in sorted_frames(frames, [ts, event]):
+            for c, t, e in zip(f[cost], f[ts], f[event], strict=True):
+                today = str(t.date())
+                first = day != today
+                day, spent = today, 0.0 if first else spent
+                ok = first or spent + c <= budget
+                spent += c if ok else 0.0
+                rows.append((key[0], e, "opening" if first else "admitted" if ok else "over_budget", spent))
+        state.update((day, spent))
+        yield pd.DataFrame(rows, columns=[user, event, "outcome", "spent"])
+
+    return stream.groupBy(user).applyInPandasWithState(admit, out, "day string, spent double", "append", GroupStateTimeout.NoTimeout)
+
