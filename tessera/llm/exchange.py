@@ -6,8 +6,8 @@ each of them. So a key of a very frequent word comes once from each block, howev
 and nothing is broadcast or sent to the driver. The number of buckets follows from the bytes of text
 in the blocks, so that a bucket gets about BUCKET_KEYS keys at most, whatever the corpus: at 100 TB give
 larger blocks too, so that a block still has many keys for each bucket.
-A key is the upper bits of its hash: the bucket's and LOW_BITS more. Two of the 10^6 keys of a bucket
-meet in that many bits once in about 10^6 keys (40 bits) or 3 * 10^8 (48 bits).
+A key is the upper bits of its hash: the bucket's and, by the caller's choice, 36 to 48 more. Of the 10^6 keys of a
+bucket, one in 70,000 (36 bits), in 10^6 (40 bits) or in 3 * 10^8 (48 bits) meets another and is counted with it.
 """
 
 from __future__ import annotations

@@ -134,7 +134,8 @@ def score_texts(
     train_tokens, base_score (the unigrams alone) and score (log10 probability of the text by the
     automaton). Null and empty texts are an end alone. Null ids are not held out. Repeated rows are
     counted and scored as rows of their own; other columns are not read; no rows give no rows. Words of
-    single tokens are told apart by 52 bits of a hash or more, longer n-grams by 44 or more.
+    single tokens are told apart by 52 bits of a hash or more, longer n-grams by 40 or more: of 2 * 10^6 in
+    a bucket, about one in 30,000 meets another and is counted with it.
     """
     modulus, part = held_out
     blocks = make_blocks(docs, doc_id, text, block_bytes)
@@ -144,7 +145,7 @@ def score_texts(
         learns = np.repeat(fold_of(ids, modulus) != part, np.diff(starts))
         return {n: distinct_keys(keys, learns[at]) for n, (at, keys) in enumerate(ngram_keys(tokens, starts, order), 1)}
 
-    counts = count_keys(blocks, keys_of, {n: 48 if n == 1 else 40 for n in range(1, order + 1)})
+    counts = count_keys(blocks, keys_of, {n: 48 if n == 1 else 36 for n in range(1, order + 1)})
     n_distinct, n_all = counts.totals().get(1, (0, 0))
 
     def score(ids: list, texts: list[bytes], told) -> pd.DataFrame:
