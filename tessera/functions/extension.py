@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 
@@ -41,3 +42,65 @@ class Problems:
             if "\t" in text:
                 found.append("tab")
         yield from enumerate(found)
+
+
+def ask_until_valid(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], problem: Callable[[str], str | None], refuse: Callable[[str], bool], tries: int = 3, batch: int = 64) -> DataFrame:
+    """Asks a model once for each distinct prompt, and again with the problem named while its answer has one, `tries` times at
+    most. Prompts that `refuse` holds back are never sent. Adds answer (null without a valid one), asked (times) and outcome:
+    ok, refused or invalid; null prompts get none."""
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), batch):
+                part = f[prompt].iloc[at : at + batch].tolist()
+                out = {p: (None, 0, "refused") if refuse(p) else (None, 0, "invalid") for p in part}
+                waiting = {p: p for p in part if out[p][2] != "refused"}
+                for n in range(1, tries + 1):
+                    for p, answer in zip(waiting, model(list(waiting.values())), strict=True):
+                        wrong = problem(answer)
+                        out[p] = (None, n, "invalid") if wrong else (answer, n, "ok")
+                        waiting[p] = f"{p}\n{wrong}" if wrong else ""
+                    waiting = {p: q for p, q in waiting.items() if q}
+                    if not waiting:
+                        break
+                yield pd.DataFrame([(p, *out[p]) for p in part], columns=[prompt, "answer", "asked", "outcome"])
+
+    answers = df.select(prompt).where(f"`{prompt}` is not null").distinct().mapInPandas(call, f"`{prompt}` string, answer string, asked int, outcome string")
+    return df.join(answers, prompt, "left")
+
+
+class Tools:
+    """A registry of declared tools: a name, a description, the parameters, and a SQL function registered under the name. What
+    is called by name is checked against the declaration: unknown tools and missing parameters are an outcome, not an error."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.declared = spark, {}
+
+    def add(self, name: str, description: str, required: list[str], function: Callable, returns: str = "string") -> None:
+        self.spark.udf.register(f"tool_{name}", function, returns)
+        self.declared[name] = {"description": description, "required": required}
+
+    def call(self, df: DataFrame, tool: str, arguments: str) -> DataFrame:
+        """Dispatches each row to the tool it names, with its map of arguments: adds result and outcome (ok, unknown_tool, missing_argument)."""
+        known = F.col(tool).isin(*self.declared) if self.declared else F.lit(False)
+        whole, result = F.lit(False), F.lit(None).cast("string")
+        for name, d in self.declared.items():
+            here = F.col(tool) == name
+            has = F.forall(F.array(*[F.lit(r) for r in d["required"]]), lambda r: F.map_contains_key(arguments, r)) if d["required"] else F.lit(True)
+            whole = whole | (here & has)
+            result = F.when(here & has, F.call_function(f"tool_{name}", *[F.col(arguments)[r] for r in d["required"]]).cast("string")).otherwise(result)
+        outcome = F.when(~F.coalesce(known, F.lit(False)), "unknown_tool").when(~whole, "missing_argument").otherwise("ok")
+        return df.withColumn("outcome", outcome).withColumn("result", result)
+
+
+def minted(df: DataFrame, order: str, value: str, mint: Callable[[list[str]], list[str]], at_once: int = 8, batch: int = 100) -> DataFrame:
+    """An injected function over the rows, by at most `at_once` tasks, a batch at a time; `order` stays with each row."""
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), batch):
+                part = f.iloc[at : at + batch]
+                yield pd.DataFrame({order: part[order], value: part[value], "minted": mint(part[value].tolist())})
+
+    kinds = dict(df.dtypes)
+    return df.select(order, value).coalesce(at_once).mapInPandas(call, f"{order} {kinds[order]}, {value} {kinds[value]}, minted string")

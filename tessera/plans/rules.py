@@ -204,11 +204,15 @@ def projection_ops(spark, sf_dir):
 
 
 @register("colour_words", """
-WITH c AS (SELECT c_custkey, c_custkey * 7919 % 256 AS r, c_custkey * 104729 % 256 AS g, c_custkey * 1299709 % 256 AS b FROM customer),
-m AS (SELECT *, greatest(r, g, b) AS t, least(r, g, b) AS l FROM c), h AS (SELECT *, t - l AS s, (t + l) / 2.0 AS li,
-  CASE WHEN t = r THEN ((60.0 * (g - b) / nullif(t - l, 0)) % 360 + 360) % 360 WHEN t = g THEN 60.0 * (b - r) / nullif(t - l, 0) + 120 ELSE 60.0 * (r - g) / nullif(t - l, 0) + 240 END AS hue FROM m)
-SELECT c_custkey, CASE WHEN li < 40 THEN 'black' WHEN li > 215 THEN 'white' WHEN s < 30 THEN 'grey' WHEN hue < 15 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 165 THEN 'green' WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'purple' WHEN hue < 345 THEN 'pink' ELSE 'red' END AS word FROM h
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'no colour' ELSE '#' || substr(md5(c_name), 1, 6) END AS hex FROM customer),
+x AS (SELECT c_custkey, ('0x' || substr(hex, 2, 2))::INTEGER / 255 AS r, ('0x' || substr(hex, 4, 2))::INTEGER / 255 AS g, ('0x' || substr(hex, 6, 2))::INTEGER / 255 AS b FROM c WHERE hex <> 'no colour'),
+h AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM x),
+k AS (SELECT c_custkey, v, CASE WHEN v = 0 THEN 0 ELSE d / v END AS s, 60 * CASE WHEN d = 0 THEN 0 WHEN v = r THEN ((g - b) / d + 6) % 6 WHEN v = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS hue FROM h),
+w AS (SELECT *, CASE WHEN v < 0.2 THEN 'black' WHEN s < 0.18 THEN CASE WHEN v >= 0.9 THEN 'white' ELSE 'grey' END WHEN (hue < 50 OR hue >= 345) AND v < 0.45 THEN 'brown' WHEN hue < 15 OR hue >= 345 THEN 'red' WHEN hue < 50 AND s < 0.4 THEN 'beige' WHEN hue < 50 AND v < 0.62 THEN 'brown'
+ WHEN hue < 50 THEN 'orange' WHEN hue < 70 AND s >= 0.4 THEN 'yellow' WHEN hue < 70 THEN 'beige' WHEN hue < 165 THEN 'green' WHEN hue < 200 THEN 'teal' WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'purple' ELSE 'pink' END AS word FROM k)
+SELECT c.c_custkey, word, CASE WHEN word IN ('grey', 'beige') THEN FALSE WHEN word = 'black' THEN v <= 0.15 WHEN word = 'white' THEN v >= 0.92 ELSE s >= 0.35 END AS nameable FROM c LEFT JOIN w USING (c_custkey)
 """)
 def colour_words(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", *[(F.col("c_custkey") * k % 256).alias(n) for n, k in (("r", 7919), ("g", 104729), ("b", 1299709))])
-    return c.select("c_custkey", scalar.colour_word(F.col("r"), F.col("g"), F.col("b")).alias("word"))
+    text = F.when(F.col("c_custkey") % 11 == 0, "no colour").otherwise(F.concat(F.lit("#"), F.substring(F.md5("c_name"), 1, 6)))
+    c = table(spark, sf_dir, "customer").select("c_custkey", text.alias("hex"))
+    return c.withColumn("k", scalar.colour_reading(*scalar.hex_rgb(F.col("hex")))).select("c_custkey", "k.word", "k.nameable")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalogue import register
-from ..functions.extension import Problems, classify_once
+from ..functions.extension import Problems, Tools, ask_until_valid, classify_once, minted
 from ..sources import documents as src
 from ..streaming import stateful as live
 from ..session import scratch_path, table
@@ -170,3 +170,70 @@ def validate_udtf(spark, sf_dir):
     spark.udtf.register("problems", Problems)
     table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
     return spark.sql("SELECT doc_id, p.position, p.code FROM tessera_documents, LATERAL problems(text) p")
+
+
+@register("validated_answers", """
+SELECT event_id, CASE WHEN event_type IN ('error', 'purchase') THEN NULL ELSE upper(event_type) || '!' END AS answer, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 3 ELSE 2 END AS asked, CASE event_type WHEN 'error' THEN 'refused' WHEN 'purchase' THEN 'invalid' ELSE 'ok' END AS outcome FROM events
+""")
+def validated_answers(spark, sf_dir):
+    """A stub model that answers well when told what was wrong, but for one prompt; another prompt is never sent."""
+
+    def model(prompts):
+        return [p.split("\n")[0].upper() + ("!" if "\n" in p and not p.startswith("purchase") else "") for p in prompts]
+
+    out = ask_until_valid(table(spark, sf_dir, "events"), "event_type", model, lambda a: None if a.endswith("!") else "say it with a mark", lambda p: p == "error")
+    return out.select("event_id", "answer", "asked", "outcome")
+
+
+@register("tool_dispatch", """
+SELECT event_id, CASE event_type WHEN 'view' THEN reverse('user' || user_id) WHEN 'click' THEN CAST(user_id * 2 AS VARCHAR) END AS result, CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'ok' WHEN 'signup' THEN 'missing_argument' ELSE 'unknown_tool' END AS outcome FROM events
+""")
+def tool_dispatch(spark, sf_dir):
+    tools = Tools(spark)
+    tools.add("view", "a name backwards", ["name"], lambda name: name[::-1])
+    tools.add("click", "twice a number", ["number"], lambda n: str(2 * int(n)))
+    tools.add("signup", "needs what no row has", ["token"], lambda t: t)
+    e = table(spark, sf_dir, "events").withColumn("a", F.create_map(F.lit("name"), F.concat(F.lit("user"), "user_id"), F.lit("number"), F.col("user_id").cast("string")))
+    return tools.call(e, "event_type", "a").select("event_id", "result", "outcome")
+
+
+@register("minted_addresses", "SELECT page_id, url, 'https://signed/0' || length(url) AS minted FROM pages")
+def minted_addresses(spark, sf_dir):
+    return minted(table(spark, sf_dir, "pages"), "page_id", "url", lambda urls: [f"https://signed/0{len(u)}" for u in urls])
+
+
+@register("document_store", "SELECT 'region-' || r_regionkey AS name, r_name, count(n_nationkey) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY 1, 2")
+def document_store(spark, sf_dir):
+    """Documents written by name, listed by prefix."""
+    store = src.DocumentStore(spark, scratch_path(spark, "documents"))
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("nations"))
+    r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_regionkey", "r_name", F.coalesce("nations", F.lit(0)).alias("nations"))
+    for k in range(3):
+        store.write(r.where(F.col("r_regionkey") == k).select("r_name", "nations"), f"region-{k}")
+    store.write(r.limit(0).select("r_name", "nations"), "other-9")
+    return store.list("region-", "r_name string, nations long")
+
+
+@register("packed_masks", "SELECT vec_id, CAST(sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS BIGINT) AS cells FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1")
+def packed_masks(spark, sf_dir):
+    """Masks written packed, read back and counted."""
+    path = scratch_path(spark, "masks")
+    mask = F.transform("embedding", lambda x: x > 0)
+    table(spark, sf_dir, "embeddings").select("vec_id", src.pack_mask(mask).alias("mask")).write.parquet(path)
+    back = spark.read.schema("vec_id long, mask string").parquet(path)
+    return back.select("vec_id", F.size(F.filter(src.unpack_mask(F.col("mask")), lambda c: c)).cast("long").alias("cells"))
+
+
+@register("stream_persist_once", "SELECT event_id, user_id FROM events WHERE event_type <> 'error'")
+def stream_persist_once(spark, sf_dir):
+    """A stream drained into a table by batches that a repetition replaces: each batch is written twice here."""
+    path, schema = _event_files(spark, sf_dir, ["event_id", "user_id", "event_type", "ts"])
+    out = scratch_path(spark, "persisted")
+
+    def write(batch, number):
+        for _ in range(2):
+            src.persist_once(batch.where("event_type != 'error'").select("event_id", "user_id"), number, out)
+
+    q = spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(spark, "sink")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("event_id long, user_id long, batch int").parquet(out).select("event_id", "user_id")

@@ -91,3 +91,36 @@ def pack_records(rows: list[tuple[int, float, float, float]]) -> bytes:
 def frames_source(spark: SparkSession, n: int, step_us: int = 33_333) -> DataFrame:
     """A synthetic capture of n frames."""
     return spark.range(n).select(F.col("id").cast("int").alias("frame_index"), (F.col("id") * step_us).alias("timestamp_us"), F.format_string("frames/%05d.jpg", F.col("id").cast("int")).alias("path"))
+
+
+class DocumentStore:
+    """JSON documents under a folder that any Hadoop file system holds: write by name, read one, list by prefix."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def write(self, df: DataFrame, name: str) -> None:
+        """One folder of JSON lines for a name; writing it again replaces it."""
+        df.write.mode("overwrite").json(f"{self.root}/{name}")
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).json(f"{self.root}/{name}")
+
+    def list(self, prefix: str, schema: str) -> DataFrame:
+        """All documents whose name begins with the prefix, with their name."""
+        rows = self.spark.read.schema(schema).json(f"{self.root}/{prefix}*")
+        return rows.withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+
+
+def pack_mask(cells: Column) -> Column:
+    """A mask (array of booleans) as text of 0 and 1; `unpack_mask` gives it back. Null cells are false."""
+    return F.array_join(F.transform(cells, lambda c: F.when(c, "1").otherwise("0")), "")
+
+
+def unpack_mask(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c == "1")
+
+
+def persist_once(batch: DataFrame, number: int, path: str) -> None:
+    """A foreachBatch sink that a repeated micro-batch does not double: each batch owns its folder and replaces it whole."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
