@@ -111,12 +111,13 @@ class FrameReader:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int | None = 1) -> DataFrame:
-    """Writes the ids of every whole text, in ascending id order over the files part-00000..., to
+    """Writes the ids of every whole text, in ascending id order over the files part-00000-.., to
     `path`, a folder that all executors share, and returns the manifest: part, file, n_docs, n_ids.
 
     Null texts and empty ones have no ids but the end id. Null ids come first; rows that repeat
-    an id all stay, in text order. An empty table gives files without documents, or none. A task
-    writes beside its file and moves it there when whole, so a repeated attempt does no harm.
+    an id all stay, in text order. An empty table gives files without documents, or none. Each attempt of a
+    task writes a file of its own, and the manifest, which Spark commits, names those that count; files
+    of lost attempts are never read.
     """
 
     def write(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +126,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
         fs.create_dir(folder, recursive=True)
         task = TaskContext.get()
         part, n_ids = task.partitionId(), 0
-        name = f"part-{part:05d}.ids.zst"
-        beside = f"{folder}/.{name}-{task.taskAttemptId()}"
-        with fs.open_output_stream(beside) as out:
+        name = f"part-{part:05d}-{task.taskAttemptId()}.ids.zst"
+        with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
             w = FrameWriter(out)
             for b in batches(tables, 4 << 20):
                 for i, ids in zip(b.column(0).to_pylist(), codec.encode(b.column(1).to_pylist()), strict=True):
                     w.add(i, ids + tail)
                     n_ids += w.lengths[-1]
             w.close()
-        if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:
-            fs.delete_file(f"{folder}/{name}")
-        fs.move(beside, f"{folder}/{name}")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(w.ids)], "n_ids": [n_ids]}, pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -164,8 +161,10 @@ def read_token_files(spark: SparkSession, path: str, wanted: list[int] | None =
                 with fs.open_input_file(f"{folder}/{name}") as f:
                     r = FrameReader(f, f.size())
                     picked = range(len(r.doc_ids)) if among is None else np.flatnonzero(np.isin(r.doc_ids, among) & (r.null == 0)).tolist()
-                    for at in range(0, len(picked), 512):
-                        ks = picked[at : at + 512]
+                    # as many at a time as have about a million ids, or one
+                    turn = (np.cumsum(r.starts[np.array(picked, dtype=np.int64) + 1] - r.starts[np.array(picked, dtype=np.int64)]) - 1) >> 20 if len(picked) else np.zeros(0, np.int64)
+                    for some in np.split(np.array(picked, dtype=np.int64), np.flatnonzero(np.diff(turn)) + 1) if len(picked) else []:
+                        ks = some.tolist()
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([None if r.null[k] else int(r.doc_ids[k]) for k in ks], pa.int64()),
