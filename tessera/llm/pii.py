@@ -2,8 +2,8 @@
 
 The network, in numpy, is trained from labelled spans: those of the patterns in a bounded sample of the
 corpus, and forms that the patterns do not know (spelled-out addresses, national and odd groupings, secrets)
-planted in cuts of the corpus's own texts. It reads every character of every text in overlapping windows; where
-two windows overlap, their emissions are blended; one Viterbi pass runs over each stretch in which any
+planted in cuts of the corpus's own texts. It reads whole texts in overlapping windows, but for windows in which no span can
+be (none of what the type rules ask for is in them or beside them); where two windows overlap, their emissions are blended; one Viterbi pass runs over each stretch in which any
 tag but O is possible, across the borders of windows, so that a span is decided once and as a whole.
 """
 
@@ -78,6 +78,9 @@ ALONE = 0.5
 #: Where every other tag, with the best transition into it, is so much worse (in log units) than staying outside, no
 #: Viterbi path is looked for: a span that pays has no such place.
 CERTAIN = 2.0
+#: What a span must hold by the type rules (`plausible`): a digit, an at sign or an at in brackets, or an at and a dot spelled out.
+_SEED = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
+_AT_WORD, _DOT_WORD = re.compile(r"\b(?:at|arobase|arroba|ät)\b", re.IGNORECASE), re.compile(r"\b(?:dot|punkt|point|punto)\b", re.IGNORECASE)
 _ALLOWED = np.array([[b[0] != "I" or a[2:] == b[2:] and a != "O" for b in TAGS] for a in TAGS])
 _STARTS = np.array([t[0] != "I" for t in TAGS])
 
@@ -260,14 +263,28 @@ class Reader:
         V = np.concatenate([side[2] for side in self.sides])
         return (V.T @ out.reshape(-1, 2 * n).T + self.c[:, None]).reshape(-1, *x.shape)
 
-    def spans(self, texts: list[str], most_windows: int = 512) -> list[tuple[int, str, int, int]]:
-        """(text, kind, start, end) of all spans in the whole texts."""
+    def spans(self, texts: list[str], most_windows: int = 512, every_window: bool = False) -> list[tuple[int, str, int, int]]:
+        """(text, kind, start, end) of all spans in the whole texts. Windows that, with both their neighbours, hold nothing that a
+        span must hold by the type rules are not read, unless `every_window` asks for them."""
         size = np.array([len(t) for t in texts], dtype=np.int64)
         offset, stride = np.cumsum(size) - size, WINDOW - OVERLAP
         every = codes("".join(texts)).astype(np.int32)
         windows = np.maximum(1, -(-(size - OVERLAP) // stride)) * (size > 0)
         of = np.repeat(np.arange(len(texts)), windows)
         begin = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * stride
+        if not every_window:
+            seeded = np.zeros(len(of), dtype=bool)
+            first = np.cumsum(windows) - windows
+            for k, t in enumerate(texts):
+                at = [m.start() for m in _SEED.finditer(t)]
+                ats, dots = ([m.start() for m in w.finditer(t)] for w in (_AT_WORD, _DOT_WORD))
+                near = np.searchsorted(dots, np.array(ats, dtype=np.int64))
+                at += [x for x, j in zip(ats, near.tolist(), strict=True) if j < len(dots) and dots[j] - x <= 100]  # a span has 100 characters at most
+                seeded[first[k] + np.minimum(np.array(at, dtype=np.int64) // stride, windows[k] - 1)] = True
+            beside = seeded.copy()
+            beside[1:] |= seeded[:-1]
+            beside[:-1] |= seeded[1:]
+            of, begin = of[beside], begin[beside]
         ramp = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)[:, None]
         steps = np.arange(WINDOW)[:, None]
         places, found, tail = [], [], np.zeros((len(TAGS), OVERLAP, 1), dtype=np.float32)
@@ -276,9 +293,10 @@ class Reader:
             inside, where = a + steps < size[k], offset[k] + a + steps
             em = self.emissions(np.where(inside, every[np.minimum(where, len(every) - 1)], 0))
             before, tail = np.concatenate([tail, em[:, stride:, :-1]], axis=2), em[:, stride:, -1:].copy()
-            later = np.flatnonzero(a > 0)
+            follows = np.concatenate([[at > 0 and of[at - 1] == k[0] and begin[at - 1] + stride == a[0]], (np.diff(k) == 0) & (np.diff(a) == stride)])
+            later = np.flatnonzero(follows)
             em[:, :OVERLAP, later] = ramp * em[:, :OVERLAP, later] + (1 - ramp) * before[:, :, later]
-            last = a + WINDOW >= size[k]
+            last = ~np.concatenate([(np.diff(k) == 0) & (np.diff(a) == stride), [at + len(k) < len(of) and of[min(at + len(k), len(of) - 1)] == k[-1] and begin[min(at + len(k), len(of) - 1)] == a[-1] + stride]])  # no window follows
             t, row = np.nonzero(((em[1:] + self.enter[:, None, None].astype(np.float32)).max(0) > em[0] - CERTAIN) & inside & (last | (steps < stride)))
             places.append(where[t, row])
             found.append(em[:, t, row].T)
@@ -473,10 +491,12 @@ def plausible(kind: str, text: str, start: int, end: int) -> bool:
     if kind in _DIGITS_OF and not _DIGITS_OF[kind][0] <= len(d) <= _DIGITS_OF[kind][1]:
         return False
     if kind == "email":
-        return len(s) <= 100 and (not start or text[start - 1] != "@") and bool(re.search(r"@|\b(at|arobase|arroba|ät)\b", s, re.IGNORECASE)) and bool(re.search(r"\.|\b(dot|punkt|point|punto)\b", s, re.IGNORECASE))
+        if len(s) > 100 or start and text[start - 1] == "@":
+            return False
+        return bool(re.search(r"@|[(\[]at[)\]]", s, re.IGNORECASE) and ("." in s or _DOT_WORD.search(s)) or _AT_WORD.search(s) and _DOT_WORD.search(s))
     if kind == "ip":
         parts = re.findall("[0-9]+", s)
-        return ":" in s or len(parts) == 4 and all(len(p) < 4 and int(p) < 256 for p in parts)
+        return ":" in s and bool(d) or len(parts) == 4 and all(len(p) < 4 and int(p) < 256 for p in parts)
     if kind == "secret":
         return len(s) >= 12 and " " not in s and bool(d) and any(c.isalpha() for c in s)
     return kind != "card" or luhn(d)

@@ -317,6 +317,11 @@ def test_windows_join_into_one_reading(tagger):
     one = next(s for s in whole if s[0] == 2)
     assert [s[1:] for s in whole if s[0] == 0] == [(one[1], one[2] + len(part) * j, one[3] + len(part) * j) for j in range(6)]
     assert reader.spans([]) == reader.spans([""]) == []
+    # what is not read holds nothing that would be kept
+    forms, r = pii.Forms(5), random.Random(5)
+    mixed = [" ".join([*(forms.word() for _ in range(r.randrange(200))), forms.planted("a b")[0], *(forms.word() for _ in range(r.randrange(300)))]) for _ in range(60)]
+    kept = lambda spans: [s for s in spans if pii.plausible(s[1], mixed[s[0]], s[2], s[3])]
+    assert kept(reader.spans(mixed)) == kept(reader.spans(mixed, every_window=True)) != []
 
 
 def test_find_and_redact(spark, tagger):
