@@ -157,13 +157,13 @@ def nearest_edge(spark, sf_dir):
 
 
 @register("snapshot_diff", """
-WITH a AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 7 <> 0)
+WITH a AS (SELECT p_partkey, p_size FROM part WHERE p_size > 5), b AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_size < 45)
 SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_size IS DISTINCT FROM b.p_size OR a.p_partkey IS NULL OR b.p_partkey IS NULL
 """)
 def snapshot_diff(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    a = p.where("p_partkey % 5 != 0").withColumnRenamed("p_size", "a")
-    b = p.where("p_partkey % 7 != 0").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("b"))
+    a = p.where("p_size > 5").withColumnRenamed("p_size", "a")
+    b = p.where("p_size < 45").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("b"))
     j = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), "p_partkey", "full")
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return j.select("p_partkey", change.alias("change")).where("change is not null")
@@ -224,13 +224,13 @@ def first_terminal_status(spark, sf_dir):
 
 
 @register("compare_and_set", """
-WITH t AS (SELECT o_orderkey, o_orderstatus, o_orderkey % 3 AS n FROM orders), r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE 'O' END AS expected FROM orders WHERE o_orderkey % 2 = 0)
+WITH t AS (SELECT o_orderkey, o_orderstatus, o_orderkey % 3 AS n FROM orders), r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE 'O' END AS expected FROM orders WHERE o_totalprice > 20000)
 SELECT t.o_orderkey, CASE WHEN expected = o_orderstatus THEN 'Q' ELSE o_orderstatus END AS status, CASE WHEN expected = o_orderstatus THEN n + 1 ELSE n END AS n FROM t LEFT JOIN r USING (o_orderkey)
 """)
 def compare_and_set(spark, sf_dir):
     """A request changes a row only while its status is still the one that was read; a change is counted."""
     t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 3).alias("n"))
-    r = t.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "F").otherwise("O").alias("expected"))
+    r = table(spark, sf_dir, "orders").where("o_totalprice > 20000").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "F").otherwise("O").alias("expected"))
     j = t.join(r, "o_orderkey", "left").withColumn("hit", F.coalesce(F.col("expected") == F.col("o_orderstatus"), F.lit(False)))
     return j.select("o_orderkey", F.when(F.col("hit"), "Q").otherwise(F.col("o_orderstatus")).alias("status"), F.when(F.col("hit"), F.col("n") + 1).otherwise(F.col("n")).alias("n"))
 
@@ -256,13 +256,13 @@ def grid_average(spark, sf_dir):
 
 
 @register("re_drive_merge", """
-WITH p AS (SELECT p_partkey, p_retailprice AS v FROM part WHERE p_partkey % 3 = 0), n AS (SELECT p_partkey, p_retailprice + 1 AS v FROM part WHERE p_partkey % 2 = 0)
+WITH p AS (SELECT p_partkey, p_retailprice AS v FROM part WHERE p_size > 15), n AS (SELECT p_partkey, p_retailprice + 1 AS v FROM part WHERE p_size < 35)
 SELECT coalesce(n.p_partkey, p.p_partkey) AS p_partkey, round(coalesce(n.v, p.v), 4) AS v, n.p_partkey IS NOT NULL AS redone FROM p FULL JOIN n ON p.p_partkey = n.p_partkey
 """)
 def re_drive_merge(spark, sf_dir):
-    t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("v"))
-    new = t.where("p_partkey % 2 = 0").select("p_partkey", (F.col("v") + 1).alias("w"))
-    j = t.where("p_partkey % 3 = 0").join(new, "p_partkey", "full")
+    t = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("v"))
+    new = t.where("p_size < 35").select("p_partkey", (F.col("v") + 1).alias("w"))
+    j = t.where("p_size > 15").join(new, "p_partkey", "full")
     return j.select("p_partkey", F.round(F.coalesce("w", "v"), 4).alias("v"), F.col("w").isNotNull().alias("redone"))
 
 

@@ -15,20 +15,20 @@ def spread(column: str, factor: int, modulus: int, unit: float = 1.0):
 
 
 @register("overlay_apply", """
-WITH e AS (SELECT p_partkey % 150 AS p_partkey, p_partkey AS seq, CASE WHEN p_partkey % 3 = 0 THEN 'remove' ELSE 'move' END AS op, CASE WHEN p_partkey % 3 = 1 THEN p_retailprice * 2 END AS price FROM part WHERE p_partkey % 7 = 0),
+WITH e AS (SELECT p_partkey // 2 AS p_partkey, p_partkey AS seq, CASE WHEN p_partkey % 3 = 0 THEN 'remove' ELSE 'move' END AS op, CASE WHEN p_partkey % 3 = 1 THEN p_retailprice * 2 END AS price FROM part),
 l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY seq DESC) = 1)
 SELECT p.p_partkey, round(coalesce(l.price, p.p_retailprice), 4) AS price, coalesce(l.op, 'keep') AS op FROM part p LEFT JOIN l ON l.p_partkey = p.p_partkey WHERE coalesce(l.op <> 'remove', TRUE)
 """)
 def overlay_apply(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"))
-    e = p.where("p_partkey % 7 = 0").select((F.col("p_partkey") % 150).alias("p_partkey"), F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 3 == 0, "remove").otherwise("move").alias("o"), F.when(F.col("p_partkey") % 3 == 1, F.col("price") * 2).alias("v"))
+    e = p.select(F.floor(F.col("p_partkey") / 2).alias("p_partkey"), F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 3 == 0, "remove").otherwise("move").alias("o"), F.when(F.col("p_partkey") % 3 == 1, F.col("price") * 2).alias("v"))
     return joins.overlay(p, e.withColumnRenamed("v", "price"), "p_partkey", ["seq"], "o", "price").select("p_partkey", F.round("price", 4).alias("price"), "op")
 
 
-@register("overlay_orphans", "SELECT c_custkey AS entry, c_custkey + 300 AS target, NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = c.c_custkey + 300) AS orphaned FROM customer c WHERE c_custkey % 7 = 0")
+@register("overlay_orphans", "SELECT c_custkey AS entry, c_custkey + 300 AS target, NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = c.c_custkey + 300) AS orphaned FROM customer c")
 def overlay_orphans(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    e = c.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("entry"), (F.col("c_custkey") + 300).alias("target"))
+    e = c.select(F.col("c_custkey").alias("entry"), (F.col("c_custkey") + 300).alias("target"))
     return joins.orphaned(e, c.select(F.col("c_custkey").alias("target")), "target").select("entry", "target", "orphaned")
 
 

@@ -75,12 +75,12 @@ def deny_list_split(spark, sf_dir):
 
 
 @register("two_sided_vocabulary_gap", """
-WITH a AS (SELECT DISTINCT n_nationkey AS value FROM nation), b AS (SELECT DISTINCT CAST(c_nationkey + (c_custkey % 3) AS INTEGER) AS value FROM customer WHERE c_custkey % 5 = 0)
+WITH a AS (SELECT DISTINCT n_nationkey AS value FROM nation), b AS (SELECT DISTINCT CAST(c_nationkey + (c_custkey % 3) AS INTEGER) AS value FROM customer WHERE c_acctbal < -500)
 SELECT 'left' AS side, value FROM a ANTI JOIN b USING (value) UNION ALL SELECT 'right', value FROM b ANTI JOIN a USING (value)
 """)
 def two_sided_vocabulary_gap(spark, sf_dir):
     a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("v"))
-    b = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select((F.col("c_nationkey") + F.col("c_custkey") % 3).cast("int").alias("v"))
+    b = table(spark, sf_dir, "customer").where("c_acctbal < -500").select((F.col("c_nationkey") + F.col("c_custkey") % 3).cast("int").alias("v"))
     return val.vocabulary_gaps(a, b, "v")
 
 
@@ -164,11 +164,11 @@ def new_violations(spark, sf_dir):
 
 
 @register("account_erasure_plan", """
-WITH u AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0), o AS (SELECT o_orderkey FROM orders SEMI JOIN u ON o_custkey = c_custkey)
+WITH u AS (SELECT c_custkey FROM customer WHERE c_acctbal < -900), o AS (SELECT o_orderkey FROM orders SEMI JOIN u ON o_custkey = c_custkey)
 SELECT 'customer' AS store, count(*) AS n FROM u UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem SEMI JOIN o ON l_orderkey = o_orderkey
 """)
 def account_erasure_plan(spark, sf_dir):
-    u = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select("c_custkey")
+    u = table(spark, sf_dir, "customer").where("c_acctbal < -900").select("c_custkey")
     o = table(spark, sf_dir, "orders").join(u, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
     l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     counts = [d.agg(F.count("*").alias("n")).select(F.lit(s).alias("store"), "n") for s, d in (("customer", u), ("orders", o), ("lineitem", l))]

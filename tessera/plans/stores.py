@@ -45,12 +45,12 @@ def nested_documents(spark, sf_dir):
 
 
 @register("incremental_materialise", """
-WITH now AS (SELECT doc_id, n_chars, doc_id % 5 AS generation FROM documents), old AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 10 = 0 THEN -1 ELSE doc_id % 5 END AS generation FROM documents WHERE doc_id % 3 <> 0)
+WITH now AS (SELECT doc_id, n_chars, doc_id % 5 AS generation FROM documents), old AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 10 = 0 THEN -1 ELSE doc_id % 5 END AS generation FROM documents WHERE lang <> 'de')
 SELECT doc_id, n_chars, generation FROM now ANTI JOIN old USING (doc_id, n_chars, generation)
 """)
 def incremental_materialise(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 5).alias("generation"))
-    old = d.where("doc_id % 3 != 0").withColumn("generation", F.when(F.col("doc_id") % 10 == 0, -1).otherwise(F.col("generation")))
+    old = d.where("lang != 'de'").withColumn("generation", F.when(F.col("doc_id") % 10 == 0, -1).otherwise(F.col("generation")))
     return src.pending(d, old, ["doc_id", "n_chars", "generation"])
 
 
