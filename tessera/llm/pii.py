@@ -2,9 +2,9 @@
 
 The network, in numpy, is trained from labelled spans: those of the patterns in a bounded sample of the
 corpus, and forms that the patterns do not know (spelled-out addresses, national and odd groupings, secrets)
-planted in cuts of the corpus's own texts. It reads whole texts in overlapping windows, but for windows in which no span can
-be (none of what the type rules ask for is in them or beside them); where two windows overlap, their emissions are blended; one Viterbi pass runs over each stretch in which any
-tag but O is possible, across the borders of windows, so that a span is decided once and as a whole.
+planted in cuts of the corpus's own texts. It reads every character of whole texts in overlapping windows; where two windows overlap, their
+emissions are blended; one Viterbi pass runs over each stretch in which any tag but O is possible, across
+the borders of windows, so that a span is decided once and as a whole, by its own text alone.
 """
 
 from __future__ import annotations
@@ -73,6 +73,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 TAGS = ["O"] + [f"{p}-{k}" for k in ALL_KINDS for p in "BI"]
 #: Characters of a window and of its overlap with the next one; of a window in training.
 WINDOW, OVERLAP, TRAINED = 256, 32, 96
+#: Windows are read in multiples of so many.
+ROWS = 64
 #: The weight of the single places in the loss.
 ALONE = 0.5
 #: Where every other tag, with the best transition into it, is so much worse (in log units) than staying outside, no
@@ -209,14 +211,17 @@ class Tagger:
                     self.p[name] -= step.astype(np.float32)
         return self
 
-    def viterbi(self, em: np.ndarray) -> np.ndarray:
-        """em: (tags, time, stretches) -> tags (time, stretches); a stretch begins after an O."""
+    def viterbi(self, em: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+        """em: (tags, time, stretches) -> tags (time, stretches); a stretch begins after an O, and ends after its own
+        `length` with whatever tag is best there, so its tags do not depend on what else is decoded."""
         T = np.where(_ALLOWED, self.p["T"], -1e4).astype(np.float32)[:, :, None]
         score, back = em[:, 0] + np.where(_STARTS, 0, -1e4).astype(np.float32)[:, None], np.zeros(em.shape, dtype=np.int8)
+        same = np.arange(len(TAGS), dtype=np.int8)[:, None]
         for t in range(1, em.shape[1]):
             v = score[:, None] + T
-            back[:, t] = v.argmax(0)
-            score = v.max(0) + em[:, t]
+            more = True if length is None else t < length
+            back[:, t] = np.where(more, v.argmax(0), same)
+            score = np.where(more, v.max(0) + em[:, t], score)
         tags, rows = np.empty(em.shape[1:], dtype=np.int8), np.arange(em.shape[2])
         tags[-1] = score.argmax(0)
         for t in range(em.shape[1] - 1, 0, -1):
@@ -263,9 +268,9 @@ class Reader:
         V = np.concatenate([side[2] for side in self.sides])
         return (V.T @ out.reshape(-1, 2 * n).T + self.c[:, None]).reshape(-1, *x.shape)
 
-    def spans(self, texts: list[str], most_windows: int = 512, every_window: bool = False) -> list[tuple[int, str, int, int]]:
-        """(text, kind, start, end) of all spans in the whole texts. Windows that, with both their neighbours, hold nothing that a
-        span must hold by the type rules are not read, unless `every_window` asks for them."""
+    def spans(self, texts: list[str], most_windows: int = 512, every_window: bool = True) -> list[tuple[int, str, int, int]]:
+        """(text, kind, start, end) of all spans in the whole texts. Without `every_window`, windows are not read that, with both their
+        neighbours, hold nothing that a span must hold by the type rules: faster, and near the edges of such windows not the same reading."""
         size = np.array([len(t) for t in texts], dtype=np.int64)
         offset, stride = np.cumsum(size) - size, WINDOW - OVERLAP
         every = codes("".join(texts)).astype(np.int32)
@@ -291,7 +296,9 @@ class Reader:
         for at in range(0, len(of), most_windows):
             k, a = of[at : at + most_windows], begin[at : at + most_windows]
             inside, where = a + steps < size[k], offset[k] + a + steps
-            em = self.emissions(np.where(inside, every[np.minimum(where, len(every) - 1)], 0))
+            x = np.where(inside, every[np.minimum(where, len(every) - 1)], 0)
+            # products of one shape, whatever the batch: their last bits are the same then
+            em = self.emissions(np.pad(x, ((0, 0), (0, -len(k) % ROWS))))[:, :, : len(k)]
             before, tail = np.concatenate([tail, em[:, stride:, :-1]], axis=2), em[:, stride:, -1:].copy()
             follows = np.concatenate([[at > 0 and of[at - 1] == k[0] and begin[at - 1] + stride == a[0]], (np.diff(k) == 0) & (np.diff(a) == stride)])
             later = np.flatnonzero(follows)
@@ -316,11 +323,10 @@ class Reader:
                 groups.append(order[first:q])
                 first = q
         for part in groups if len(order) else []:
-            padded = np.full((len(TAGS), int(length[part].max()), len(part)), -1e4, dtype=np.float32)
-            padded[0] = 0  # after its end a stretch is outside
+            padded = np.zeros((len(TAGS), int(length[part].max()), len(part)), dtype=np.float32)
             for r, q in enumerate(part.tolist()):
                 padded[:, : length[q], r] = em[new[q] : new[q] + length[q]].T
-            for q, tags in zip(part.tolist(), self.tagger.viterbi(padded).T, strict=True):
+            for q, tags in zip(part.tolist(), self.tagger.viterbi(padded, length[part]).T, strict=True):
                 for t in np.flatnonzero((tags > 0) & (tags % 2 == 1)).tolist():  # odd tags begin a span
                     end = t + 1
                     while end < length[q] and tags[end] == tags[t] + 1:
@@ -441,12 +447,17 @@ class Forms:
         return text, out
 
 
+#: A token of 16 characters or more with letters and digits: what a secret may be.
+_UNLABELLED = r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+
+
 def fit_tagger(
     docs: DataFrame, most_rows: int = 10_000, most_windows: int = 2_000, n_forms: int = 2_400, epochs: int = 7, doc_id: str = "doc_id", text: str = "text",
 ) -> Tagger:
     """Trains on two cuts of 160 characters (one around a digit or at sign, if there is one; one anywhere) of each of
     (about) the `most_rows` texts of the smallest id hashes: on at most `most_windows` as they are, with the patterns' spans,
-    and on `n_forms` with forms planted in them. Null and empty texts and cuts give none; repeated rows and null ids
+    and on `n_forms` with forms planted in them. Cuts with a long token of letters and digits that no pattern labels may hold a secret and
+    would teach that it is none: they are left out. Null and empty texts and cuts give none; repeated rows and null ids
     give their own; other columns are not read. Without texts it trains on planted forms alone."""
     rows = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"))
     sample = hash_share(rows, F.col("h"), most_rows).where("length(text) > 0")
@@ -464,7 +475,8 @@ def fit_tagger(
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(cuts, pa.string())], names=["h", "cut"])
 
     most = max(most_windows, n_forms)
-    cuts = [r["cut"] for r in sample.mapInArrow(cut, "h long, cut string").orderBy("h", "cut").limit(most).collect()]  # at most `most` short cuts
+    found = sample.mapInArrow(cut, "h long, cut string").where(~F.col("cut").rlike(_UNLABELLED))
+    cuts = [r["cut"] for r in found.orderBy("h", "cut").limit(most).collect()]  # at most `most` short cuts
     xs, ys, forms = [], [], Forms(3)
     for s in cuts[:most_windows]:
         x, y = tag_windows(s, base_spans(s))
@@ -502,11 +514,11 @@ def plausible(kind: str, text: str, start: int, end: int) -> bool:
     return kind != "card" or luhn(d)
 
 
-def all_spans(texts: list[str | None], reader: Reader) -> list[list[tuple[str, int, int, str]]]:
+def all_spans(texts: list[str | None], reader: Reader, every_window: bool = True) -> list[list[tuple[str, int, int, str]]]:
     """(kind, start, end, by) for each text, by `base` or `tagger`, in the order of ALL_KINDS, then by start.
     The patterns' spans all stay; the network adds spans that overlap none of them."""
     out = [[(*s, "base") for s in base_spans(text)] for text in texts]
-    for k, kind, s, e in reader.spans([t or "" for t in texts]):
+    for k, kind, s, e in reader.spans([t or "" for t in texts], every_window=every_window):
         text = texts[k]
         while e > s and text[e - 1] in " .,;:-!*\"'":
             e -= 1

