@@ -1,7 +1,9 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps; orders of dependents by doubling."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,32 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             raise RuntimeError("the components did not settle")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def dependency_order(nodes: DataFrame, node: str, target: str, pos: str) -> DataFrame:
+    """Rows after what they depend on: (node, level, needed, refusal). node: distinct and not null; target: the node that it
+    stands on, or null; pos: the order of input. level: how many rows it stands on in turn; needed: the least pos of the row and of all
+    that stand on it. The order (needed, level) is that of a visit in input order that goes to each row's targets
+    first. refusal: `missing` (the row or one below it names no row), `cycle` (it stands on itself, or on a row that
+    does); level and needed are null there.
+
+    Pointers are doubled, so that rounds are the logarithm of the longest chain; each is written to the shared folder.
+    """
+    rows = nodes.select(F.col(node).alias("node"), F.col(target).alias("up"), F.col(pos).alias("needed"))
+    known = rows.select(F.col("node").alias("up"), F.lit(True).alias("known"))
+    rows = rows.join(known, "up", "left").withColumn("missing", F.col("up").isNotNull() & F.col("known").isNull())
+    now = rows.select("node", F.when(~F.col("missing"), F.col("up")).alias("up"), "missing", "needed")
+    now = written(now.withColumn("level", F.col("up").isNotNull().cast("long")), "pointers")
+    n = now.count()
+    for _ in range(math.ceil(math.log2(n + 1)) + 1 if n else 0):
+        if now.where("up IS NOT NULL").isEmpty():
+            break
+        below = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("missing").alias("m"), F.col("level").alias("l"))
+        above = now.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.min("needed").alias("above"))
+        step = now.join(below, "up", "left").join(above, "node", "left")
+        after = step.select("node", F.col("next").alias("up"), (F.col("missing") | F.coalesce("m", F.lit(False))).alias("missing"), F.least("needed", "above").alias("needed"), (F.col("level") + F.coalesce("l", F.lit(0))).alias("level"))
+        after = written(after, "pointers")
+        discard(now)
+        now = after
+    refusal = F.when(F.col("up").isNotNull(), "cycle").when(F.col("missing"), "missing")
+    return now.select(F.col("node").alias(node), F.when(refusal.isNull(), F.col("level")).alias("level"), F.when(refusal.isNull(), F.col("needed")).alias("needed"), refusal.alias("refusal"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, written
 from .graphs import connected_components
 from .sequences import top_one
 
@@ -129,17 +130,23 @@ def trimmed_rms(pairs: DataFrame, key: list[str], point: str, distance: str, fra
     return d.groupBy(*key).agg(F.max("_n").alias("n"), F.when(F.max("_n") >= least, F.sqrt(F.avg(F.when(keep, F.col("d") ** 2)))).alias("rms"))
 
 
-def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 20) -> DataFrame:
-    """All (child, ancestor, depth) of a hierarchy, by doubling the paths: log2(depth) joins. An edge set
-    with a cycle ends at most_depth."""
-    paths = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).dropna().distinct()
-    reach = 1
-    while reach < most_depth:
+def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 1 << 20) -> DataFrame:
+    """All (child, ancestor, depth) of a hierarchy, the least depth of each pair, by doubling the paths: log2(depth) joins, each written
+    to the shared folder. A cycle, or a path of more than most_depth steps, is an error. Nulls and repeated edges count as none and one."""
+    paths = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).dropna().distinct(), "paths")
+    reach, n = 1, paths.count()
+    while True:
         a, b = paths.alias("a"), paths.alias("b")
         longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        paths = paths.unionByName(longer).where(F.col("depth") <= most_depth).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        reach *= 2
-    return paths
+        after = written(paths.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "paths")
+        discard(paths)
+        paths, reach = after, reach * 2
+        found, loops, deepest = paths.agg(F.count("*"), F.count_if(F.col("node") == F.col("ancestor")), F.max("depth")).first()
+        if loops or (deepest or 0) > most_depth:
+            raise ValueError("the hierarchy has a cycle" if loops else f"the hierarchy is deeper than {most_depth}")
+        if found == n:
+            return paths
+        n = found
 
 
 def exact_or_unique_prefix(asked: DataFrame, ask: str, names: DataFrame, name: str, least: int, most_lengths: int = 1000) -> DataFrame:

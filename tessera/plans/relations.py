@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalogue import register
-from ..operators import joins
+from ..operators import graphs, joins, matching
 from ..session import table
 
 
@@ -90,15 +90,50 @@ def pairwise_distance_facts(spark, sf_dir):
 
 @register("nearest_neighbour", """
 WITH s AS (SELECT c_custkey AS k, c_custkey // 100 AS n, c_custkey * 7919 % 1000 / 10.0 AS x, c_custkey * 104729 % 1000 / 10.0 AS y FROM customer),
-p AS (SELECT a.k AS a, b.k AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a LEFT JOIN s b ON a.n = b.n AND a.k <> b.k AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 20)
-SELECT a, b, round(d, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) = 1
+p AS (SELECT a.k AS a, b.k AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a LEFT JOIN s b ON a.n = b.n AND b.k % 2 = 1 WHERE a.k % 2 = 0)
+SELECT a, b, round(d, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1
 """)
 def nearest_neighbour(spark, sf_dir):
-    """Each piece's nearest one in its room (a hundred customers) within a reach of 20; null where there is none."""
+    """Each even piece's nearest odd one in its room (a hundred customers), however far."""
     s = table(spark, sf_dir, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 100).alias("room"), (spread("c_custkey", 7919, 1000) / 10.0).alias("x"), (spread("c_custkey", 104729, 1000) / 10.0).alias("y"))
-    near = joins.within(s.toDF("a", "room", "ax", "ay"), s.toDF("b", "room", "bx", "by"), "ax", "ay", "bx", "by", 20.0, ["room"]).where("a != b")
-    best = joins.greedy_claims(near, ["a"], [F.asc(F.round("distance", 9)), F.asc("b")]).select("a", "b", F.round("distance", 6).alias("distance"))
-    return s.select(F.col("c_custkey").alias("a")).join(best, "a", "left").select("a", "b", "distance")
+    even, odd = s.where("c_custkey % 2 = 0").withColumnRenamed("c_custkey", "a"), s.where("c_custkey % 2 = 1").withColumnRenamed("c_custkey", "b")
+    return matching.nearest(even, "a", odd, "b", ["x", "y"], ["room"]).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@register("one_to_one_matches", """
+WITH RECURSIVE c AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click'), v AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
+e AS (SELECT c.user_id, c.event_id AS click, v.event_id AS view, abs(c.us - v.us) // 1000000 AS apart FROM c JOIN v ON c.user_id = v.user_id AND abs(c.us - v.us) <= 86400000000),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY apart, click, view) AS i FROM e),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS click, NULL::BIGINT AS view, NULL::BIGINT AS apart, FALSE AS taken, []::BIGINT[] AS used FROM o WHERE i = 1
+ UNION ALL SELECT user_id, i, click, view, apart, free, CASE WHEN free THEN list_concat(used, [click, view]) ELSE used END FROM (SELECT o.*, r.used, NOT list_contains(r.used, o.click) AND NOT list_contains(r.used, o.view) AS free FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+SELECT click, view, apart FROM r WHERE taken
+""")
+def one_to_one_matches(spark, sf_dir):
+    """Clicks and views of one user within a day of each other, matched one to one, the nearest in time first."""
+    day = 86_400_000_000
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("us")).withColumn("day", F.floor(F.col("us") / day))
+    c = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("us").alias("a"), F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
+    v = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view"), F.col("us").alias("b"), "day")
+    near = c.join(v, ["user_id", "day"]).where(F.abs(F.col("a") - F.col("b")) <= day).select("click", "view", F.floor(F.abs(F.col("a") - F.col("b")) / 1_000_000).alias("apart"))
+    return matching.greedy_matching(near, "click", "view", [F.col("apart")])
+
+
+@register("placement_order", """
+WITH RECURSIVE s AS (SELECT c_custkey AS piece, c_custkey * 7919 % 100003 AS pos, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 101 = 5 THEN c_custkey + 1000000000 WHEN c_custkey % 103 = 9 THEN c_custkey WHEN c_custkey % 7 = 1 THEN c_custkey - 1 ELSE c_custkey - 1 - c_custkey % 2 * (c_custkey % 7 > 2)::INT END AS target FROM customer),
+w AS (SELECT piece AS start, piece AS now, 0 AS level, FALSE AS broken, FALSE AS loops FROM s
+ UNION ALL SELECT w.start, s.target, w.level + 1, b.piece IS NULL, s.target = s.piece FROM w JOIN s ON s.piece = w.now LEFT JOIN s b ON b.piece = s.target WHERE s.target IS NOT NULL AND NOT w.loops AND NOT w.broken),
+d AS (SELECT start AS piece, max(level) AS level, bool_or(broken) AS broken, bool_or(loops) AS loops FROM w GROUP BY 1),
+n AS (SELECT w.now AS piece, min(s.pos) AS needed FROM w JOIN s ON s.piece = w.start GROUP BY 1)
+SELECT piece, CASE WHEN NOT broken AND NOT loops THEN level END AS level, CASE WHEN NOT broken AND NOT loops THEN needed END AS needed, CASE WHEN loops THEN 'cycle' WHEN broken THEN 'missing' END AS refusal FROM d JOIN n USING (piece)
+""")
+def placement_order(spark, sf_dir):
+    """Pieces after what they stand on: chains within seven customers; some stand on themselves or on pieces that are not there."""
+    k = F.col("c_custkey")
+    target = (
+        F.when(k % 7 == 0, None).when(k % 101 == 5, k + 1_000_000_000).when(k % 103 == 9, k).when(k % 7 == 1, k - 1).otherwise(k - 1 - k % 2 * (k % 7 > 2).cast("int"))
+    )
+    pieces = table(spark, sf_dir, "customer").select(k.alias("piece"), (k * 7919 % 100_003).alias("pos"), target.cast("long").alias("target"))
+    return graphs.dependency_order(pieces, "piece", "target", "pos")
 
 
 @register("rectangle_overlap_pairs", """
@@ -180,22 +215,22 @@ def hierarchy_closure(spark, sf_dir):
     e = table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
     e = e.unionByName(table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")))
     e = e.unionByName(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("child"), F.lit("world").alias("parent")))
-    return joins.closure(e, "child", "parent", 4)
+    return joins.closure(e, "child", "parent")
 
 
 @register("trimmed_nn_rms", """
-WITH v AS (SELECT vec_id, vec_id // 40 AS room, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-p AS (SELECT a.room, a.vec_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM v a LEFT JOIN v b ON a.room = b.room AND b.vec_id % 2 = 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.2 WHERE a.vec_id % 2 = 0 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY coalesce(d, 0.2), vec_id) AS r, count(*) OVER (PARTITION BY room) AS n FROM p)
-SELECT room, any_value(n) AS n, round(CASE WHEN any_value(n) >= 3 THEN sqrt(avg(CASE WHEN r <= greatest(3, floor(n * 0.8)) THEN coalesce(d, 0.2) * coalesce(d, 0.2) END)) END, 6) AS rms FROM r GROUP BY room
+WITH v AS (SELECT vec_id, vec_id // 40 AS room, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+p AS (SELECT a.room, a.vec_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS d FROM v a JOIN v b ON a.room = b.room AND b.vec_id % 2 = 1 WHERE a.vec_id % 2 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY d, vec_id) AS r, count(*) OVER (PARTITION BY room) AS n FROM p)
+SELECT room, any_value(n) AS n, round(CASE WHEN any_value(n) >= 3 THEN sqrt(avg(CASE WHEN r <= greatest(3, floor(n * 0.8)) THEN d * d END)) END, 6) AS rms FROM r GROUP BY room
 """)
 def trimmed_nn_rms(spark, sf_dir):
-    """Of each room's even points, the distance to the nearest odd one, 0.2 where none is nearer; the best four fifths."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("room"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    even = v.where("vec_id % 2 = 0").toDF("a", "room", "ax", "ay")
-    p = joins.within(even, v.where("vec_id % 2 = 1").toDF("b", "room", "bx", "by"), "ax", "ay", "bx", "by", 0.2, ["room"])
-    every = even.select("room", "a").join(p.groupBy("room", "a").agg(F.min("distance").alias("distance")), ["room", "a"], "left").fillna(0.2, ["distance"])
-    return joins.trimmed_rms(every, ["room"], "a", "distance", 0.8).select("room", "n", F.round("rms", 6).alias("rms"))
+    """Of each room's even points, the distance to the nearest odd one, however far; the best four fifths."""
+    entry = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("room"), entry(0).alias("x"), entry(1).alias("y"), entry(2).alias("z"))
+    even, odd = v.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "a"), v.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "b")
+    near = matching.nearest(even, "a", odd, "b", ["x", "y", "z"], ["room"]).where("distance IS NOT NULL")
+    return joins.trimmed_rms(near, ["room"], "a", "distance", 0.8).select("room", "n", F.round("rms", 6).alias("rms"))
 
 
 @register("nested_groups_components", """

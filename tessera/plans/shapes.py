@@ -297,12 +297,12 @@ def window_cover(spark, sf_dir):
 
 
 @register("box_visibility", f"""
-WITH {BOXES}, f AS (SELECT s_suppkey AS frame, s_suppkey % 2 AS room, s_suppkey * 31 % 300 / 10.0::DOUBLE AS fx, s_suppkey * 57 % 300 / 10.0::DOUBLE AS fy FROM supplier), v AS (SELECT frame, id, w * d / (1 + (x - fx) * (x - fx) + (y - fy) * (y - fy)) AS value, sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) AS apart FROM f JOIN b USING (room))
+WITH {BOXES}, f AS (SELECT s_suppkey AS frame, s_suppkey // 5 AS room, s_suppkey * 31 % 300 / 10.0::DOUBLE AS fx, s_suppkey * 57 % 300 / 10.0::DOUBLE AS fy FROM supplier), v AS (SELECT frame, id, w * d / (1 + (x - fx) * (x - fx) + (y - fy) * (y - fy)) AS value, sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) AS apart FROM f JOIN b USING (room))
 SELECT frame, id, round(value, 9) AS value, value >= 0.05 AS good FROM v WHERE apart <= 10
 """)
 def box_visibility(spark, sf_dir):
     """How much of each box a frame of its room sees, within its range, and whether that is enough."""
-    f = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), (F.col("s_suppkey") % 2).alias("room"), (F.col("s_suppkey") * 31 % 300 / 10.0).alias("fx"), (F.col("s_suppkey") * 57 % 300 / 10.0).alias("fy"))
+    f = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), F.floor(F.col("s_suppkey") / 5).alias("room"), (F.col("s_suppkey") * 31 % 300 / 10.0).alias("fx"), (F.col("s_suppkey") * 57 % 300 / 10.0).alias("fy"))
     v = joins.within(f, boxes(spark, sf_dir).select("id", "room", "x", "y", "w", "d"), "fx", "fy", "x", "y", 10.0, ["room"])
     value = F.col("w") * F.col("d") / (1 + (F.col("x") - F.col("fx")) ** 2 + (F.col("y") - F.col("fy")) ** 2)
     return v.select("frame", "id", F.round(value, 9).alias("value"), (value >= 0.05).alias("good"))
