@@ -113,11 +113,11 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, pe
 SETS = "kind string, doc_id long, n_shingles long, high long, low long, shingles binary, prefix array<long>"
 
 
-def shingle_sets(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, block_bytes: int = 8 << 20) -> DataFrame:
     """A written table. kind `doc`: every row's id, set size and class (128 bits; null: no words). kind
     `set`: each block's distinct sets that may link with another text: the shingles that two texts or
     more hold (the others meet none; all, of small sets), and the rarest ones to look up."""
-    blocks = make_blocks(docs, doc_id, text)
+    blocks = make_blocks(docs, doc_id, text, block_bytes)
 
     def sets_of(texts: list[bytes]) -> list[np.ndarray]:
         words, at = word_hashes(texts)
@@ -163,7 +163,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, doc_id: str, text: str)
     return written(for_each_block(blocks, counts, sets_to_link, SETS), "sets")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, part: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, part: int = 1024, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """Links texts whose sets of distinct n-word shingles have 100 * intersection >= percent * union, and
     returns doc_id, n_shingles and component_id (the least id reachable by links) for each row.
 
@@ -172,7 +172,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, part: int
     sets link. A null id has no component unless it shares one with other ids; repeated rows each
     give a row. Other columns are not read; no rows give no rows.
     """
-    found = shingle_sets(docs, n, percent, doc_id, text)
+    found = shingle_sets(docs, n, percent, doc_id, text, block_bytes)
     every = found.where("kind = 'doc'").select("doc_id", "n_shingles", "high", "low")
     # the least id of each class stands for it
     named = every.where("high is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))

@@ -69,18 +69,18 @@ def divide(a: Pair, n: int) -> Pair:
     return two_sum(q, ((a[0] - p) - e + a[1]) / n)
 
 
-def outer_sum(a: Pair, b: Pair, rows: int = 256) -> Pair:
-    """The sum over k of a[k, i] * b[k, j]."""
+def outer_sum(a: Pair, b: Pair, rows: int = 256, upper: bool = False) -> Pair:
+    """The sum over k of a[k, i] * b[k, j]; with `upper`, for j >= i alone (the others stay 0)."""
     high, low = np.zeros((a[0].shape[1], b[0].shape[1])), np.zeros((a[0].shape[1], b[0].shape[1]))
     for k in range(0, len(a[0]), rows):
         (ah, al), (bh, bl) = (tuple(x[k : k + rows] for x in y) for y in (a, b))
         b1, b2 = halves(bh)
         for i in range(ah.shape[1]):
-            x, xl = ah[:, i, None], al[:, i, None]
+            x, xl, on = ah[:, i, None], al[:, i, None], slice(i if upper else 0, None)
             x1, x2 = halves(x)
-            p = x * bh
-            e = ((x1 * b1 - p) + x1 * b2 + x2 * b1) + x2 * b2
-            high[i], low[i] = add((high[i], low[i]), total((p, e + (x * bl + xl * bh))))
+            p = x * bh[:, on]
+            e = ((x1 * b1[:, on] - p) + x1 * b2[:, on] + x2 * b1[:, on]) + x2 * b2[:, on]
+            high[i, on], low[i, on] = add((high[i, on], low[i, on]), total((p, e + (x * bl[:, on] + xl * bh[:, on]))))
     return high, low
 
 
@@ -160,7 +160,7 @@ def covariance(fit: DataFrame, n: int, sums: list[int]) -> Pair:
         for b in batches(tables, 4 << 20):
             if b.num_rows:
                 _, c = centred(_matrix(b.column(0)), n, sums)
-                part = add(part, outer_sum(c, c))
+                part = add(part, outer_sum(c, c, upper=True))
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({"part": [task] * size, "dim": pa.array(range(size), pa.int32()), "high": [r.tobytes() for r in part[0]], "low": [r.tobytes() for r in part[1]]})
 
@@ -172,7 +172,8 @@ def covariance(fit: DataFrame, n: int, sums: list[int]) -> Pair:
     parts = fit.mapInArrow(outer, schema)
     parts = parts.groupBy("dim", F.expr(f"part div {MERGED}")).applyInPandas(merge, schema)
     rows = parts.groupBy("dim").applyInPandas(merge, schema).orderBy("dim").collect()  # a row a dimension
-    return divide(tuple(np.stack([np.frombuffer(r[c]) for r in rows]) for c in ("high", "low")), n)
+    whole = (np.stack([np.frombuffer(r[c]) for r in rows]) for c in ("high", "low"))
+    return divide(tuple(np.triu(m) + np.triu(m, 1).T for m in whole), n)
 
 
 def whiten(vectors: DataFrame, components: int = 16, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64, shift: int = 1_000_000) -> DataFrame:
