@@ -72,7 +72,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 TAGS = ["O"] + [f"{p}-{k}" for k in ALL_KINDS for p in "BI"]
 #: Characters of a window and of its overlap with the next one; of a window in training.
-WINDOW, OVERLAP, TRAINED = 256, 32, 96
+WINDOW, OVERLAP, TRAINED = 512, 32, 96
 #: Windows are read in multiples of so many.
 ROWS = 64
 #: The weight of the single places in the loss.
@@ -107,7 +107,7 @@ class Tagger:
     p: dict[str, np.ndarray]
 
     @staticmethod
-    def new(embed: int = 16, hidden: int = 12, seed: int = 5) -> Tagger:
+    def new(embed: int = 16, hidden: int = 8, seed: int = 5) -> Tagger:
         r = np.random.default_rng(seed)
         p = {"E": r.normal(0, 0.3, (102, embed)), "V": r.normal(0, 0.2, (2 * hidden, len(TAGS))), "c": np.zeros(len(TAGS)), "T": np.zeros((len(TAGS), len(TAGS)))}
         for d in "fb":
@@ -246,27 +246,29 @@ class Reader:
     tagger: Tagger
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """x: codes (time, batch) -> (tags, time, batch)."""
+        """x: codes (time, batch) -> (tags, time, batch). Gates lie beneath each other, so that each step works on whole
+        stretches of memory; a cell's output is kept doubled, which its weights have taken in."""
         n = len(self.sides[0][1])
-        out = np.empty((*x.shape, 2 * n), dtype=np.float32)
+        out = np.empty((len(x), 2 * n, x.shape[1]), dtype=np.float32)
         for k, (table, U, _) in enumerate(self.sides):
-            h, c = np.zeros((x.shape[1], n), dtype=np.float32), np.zeros((x.shape[1], n), dtype=np.float32)
-            a, g = np.empty((x.shape[1], 4 * n), dtype=np.float32), np.empty((x.shape[1], 4 * n), dtype=np.float32)
+            h, c = np.zeros((n, x.shape[1]), dtype=np.float32), np.zeros((n, x.shape[1]), dtype=np.float32)
+            a, U = np.empty((4 * n, x.shape[1]), dtype=np.float32), np.ascontiguousarray(U.T / 2)
+            i, f, o, g = (a[q * n : (q + 1) * n] for q in range(4))
             for t in range(len(x))[:: -1 if k else 1]:
-                np.take(table, x[t], 0, out=g, mode="clip")
-                np.matmul(h, U, out=a)
-                a += g
+                np.matmul(U, h, out=a)
+                a += table[x[t]].T
                 np.tanh(a, out=a)
-                s = a[:, : 3 * n]
-                s *= 0.5
-                s += 0.5
-                c *= s[:, n : 2 * n]
-                c += s[:, :n] * a[:, 3 * n :]
+                a[: 3 * n] += 1
+                c *= f
+                i *= g
+                c += i
+                c *= 0.5
                 np.tanh(c, out=h)
-                h *= s[:, 2 * n :]
-                out[t, :, k * n : (k + 1) * n] = h
-        V = np.concatenate([side[2] for side in self.sides])
-        return (V.T @ out.reshape(-1, 2 * n).T + self.c[:, None]).reshape(-1, *x.shape)
+                h *= o
+                out[t, k * n : (k + 1) * n] = h
+        V = np.concatenate([side[2] for side in self.sides]) / 2
+        em = np.matmul(np.ascontiguousarray(V.T), out)
+        return em.transpose(1, 0, 2) + self.c[:, None, None]
 
     def spans(self, texts: list[str], most_windows: int = 512, every_window: bool = True) -> list[tuple[int, str, int, int]]:
         """(text, kind, start, end) of all spans in the whole texts. Without `every_window`, windows are not read that, with both their
