@@ -494,11 +494,13 @@ def fit_tagger(
     return Tagger.new().fit(np.stack(xs), np.stack(ys), epochs)
 
 
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])")
 _DIGITS_OF = {"card": (13, 19), "phone": (7, 15)}
 
 
 def plausible(kind: str, text: str, start: int, end: int) -> bool:
-    """What any span of its kind must have: whole words, an at and a dot of whatever spelling, a card's check digit, the kinds' numbers of digits."""
+    """What any span of its kind must have: whole words, an at and a dot of whatever spelling, a card's check digit, the kinds' numbers of digits;
+    a calendar date is no phone number."""
     s, d = text[start:end], _digits(text[start:end])
     if start and text[start - 1].isalnum() and s[0].isalnum() or end < len(text) and text[end].isalnum() and s[-1].isalnum():
         return False
@@ -513,6 +515,8 @@ def plausible(kind: str, text: str, start: int, end: int) -> bool:
         return ":" in s and bool(d) or len(parts) == 4 and all(len(p) < 4 and int(p) < 256 for p in parts)
     if kind == "secret":
         return len(s) >= 12 and " " not in s and bool(d) and any(c.isalpha() for c in s)
+    if kind == "phone" and _DATE.fullmatch(s):
+        return False
     return kind != "card" or luhn(d)
 
 
