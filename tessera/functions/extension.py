@@ -71,30 +71,46 @@ def ask_until_valid(df: DataFrame, prompt: str, model: Callable[[list[str]], lis
 
 class Tools:
     """A registry of declared tools: a name, a description, the parameters, and a SQL function registered under the name. What
-    is called by name is checked against the declaration: unknown tools and missing parameters are an outcome, not an error."""
+    is called by name is checked against the declaration: unknown tools, missing parameters and tools that fail are an outcome, not an error."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.declared = spark, {}
+        self.spark, self.declared, self.functions = spark, {}, {}
 
     def add(self, name: str, description: str, required: list[str], function: Callable, returns: str = "string") -> None:
         self.spark.udf.register(f"tool_{name}", function, returns)
         self.declared[name] = {"description": description, "required": required}
+        self.functions[name] = function
 
     def call(self, df: DataFrame, tool: str, arguments: str) -> DataFrame:
-        """Dispatches each row to the tool it names, with its map of arguments: adds result and outcome (ok, unknown_tool, missing_argument)."""
-        known = F.col(tool).isin(*self.declared) if self.declared else F.lit(False)
-        whole, result = F.lit(False), F.lit(None).cast("string")
+        """Dispatches each row to the tool it names, with its map of arguments (string to string): adds outcome and result (as text).
+        outcome: unknown_tool (a null or undeclared name), missing_argument (one that is absent or null, or no map), failed (the tool
+        raised; no result), or ok. A tool sees only rows that name it and hold its arguments. Columns outcome and result of df are replaced.
+        """
+        functions = dict(self.functions)
+        given = F.lit(None).cast("array<string>")
         for name, d in self.declared.items():
-            here = F.col(tool) == name
-            has = F.forall(F.array(*[F.lit(r) for r in d["required"]]), lambda r: F.map_contains_key(arguments, r)) if d["required"] else F.lit(True)
-            whole = whole | (here & has)
-            result = F.when(here & has, F.call_function(f"tool_{name}", *[F.col(arguments)[r] for r in d["required"]]).cast("string")).otherwise(result)
-        outcome = F.when(~F.coalesce(known, F.lit(False)), "unknown_tool").when(~whole, "missing_argument").otherwise("ok")
-        return df.withColumn("outcome", outcome).withColumn("result", result)
+            given = F.when(F.col(tool) == name, F.array(*[F.col(arguments)[r] for r in d["required"]]).cast("array<string>")).otherwise(given)
+        whole = F.col(arguments).isNotNull() & ~F.exists(given, lambda v: v.isNull())
+        checked = F.when(given.isNull(), "unknown_tool").when(~whole, "missing_argument").otherwise("ok")
+
+        @F.pandas_udf("outcome string, result string")
+        def dispatch(outcome: pd.Series, names: pd.Series, values: pd.Series) -> pd.DataFrame:
+            out = pd.DataFrame({"outcome": outcome, "result": pd.Series(None, index=outcome.index, dtype=object)})
+            for name, at in names[outcome == "ok"].groupby(names).groups.items():
+                for k in at:
+                    try:
+                        answer = functions[name](*values[k])
+                        out.at[k, "result"] = None if answer is None else str(answer)
+                    except Exception:  # a tool's own failure is its row's outcome
+                        out.at[k, "outcome"] = "failed"
+            return out
+
+        return df.withColumn("outcome", dispatch(checked, F.col(tool), given)).withColumn("result", F.col("outcome.result")).withColumn("outcome", F.col("outcome.outcome"))
 
 
 def minted(df: DataFrame, order: str, value: str, mint: Callable[[list[str]], list[str]], at_once: int = 8, batch: int = 100) -> DataFrame:
-    """An injected function over the rows, by at most `at_once` tasks, a batch at a time; `order` stays with each row."""
+    """An injected function over the rows, by at most `at_once` tasks, a batch at a time; `order` stays with each row.
+    What comes before keeps its own tasks: rows are dealt to these by a shuffle of the two columns."""
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -103,4 +119,4 @@ def minted(df: DataFrame, order: str, value: str, mint: Callable[[list[str]], li
                 yield pd.DataFrame({order: part[order], value: part[value], "minted": mint(part[value].tolist())})
 
     kinds = dict(df.dtypes)
-    return df.select(order, value).coalesce(at_once).mapInPandas(call, f"{order} {kinds[order]}, {value} {kinds[value]}, minted string")
+    return df.select(order, value).repartition(at_once).mapInPandas(call, f"{order} {kinds[order]}, {value} {kinds[value]}, minted string")

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.extension import classify_once
+from tessera.functions.extension import Tools, classify_once
 from tessera.operators import aggregates, gates, joins, selection, sequences, summaries, validation
 from tessera.sources import documents
 from tessera.streaming import stateful
@@ -282,3 +282,25 @@ def test_gates_on_their_edges(spark):
     e = spark.createDataFrame([(1, 1, 2, "at"), (2, 2, 1, "over"), (3, 2, 2, "at"), (4, 2, 3, "over"), (5, 3, 2, "at"), (6, 9, 1, "at")], "pos int, a int, b int, how string")
     sizes = spark.createDataFrame([(1, 5), (2, 3), (3, 2)], "k int, size int")
     assert rows(gates.settled_edges(e, "a", "b", "how", "pos", sizes, "k", "size"), "pos", "a", "b", "action") == [(1, 2, 1, "turned"), (2, 2, 1, "dropped_second"), (3, 2, 2, "dropped_self"), (4, 2, 3, "dropped_over"), (5, 3, 2, "kept")]
+
+
+def test_tools_see_only_rows_that_name_them_with_all_arguments(spark):
+    tools = Tools(spark)
+    tools.add("view", "backwards", ["name"], lambda name: name[::-1])
+    tools.add("click", "twice", ["number"], lambda n: 2 * int(n))
+    tools.add("now", "no argument", [], lambda: None)
+    given = [(1, "view", {"name": "abc"}), (2, "click", {"number": "4"}), (3, "click", {"name": "abc"}), (4, "click", {"number": None}), (5, "click", {"number": "x"}), (6, "gone", {}), (7, None, {}), (8, "view", None), (9, "now", {}), (10, "view", {"name": ""})]
+    df = spark.createDataFrame([(*r, "clash") for r in given], "i int, tool string, a map<string,string>, result string").repartition(3)
+    want = [(1, "cba", "ok"), (2, "8", "ok"), (3, None, "missing_argument"), (4, None, "missing_argument"), (5, None, "failed"), (6, None, "unknown_tool"), (7, None, "unknown_tool"), (8, None, "missing_argument"), (9, None, "ok"), (10, "", "ok")]
+    assert rows(tools.call(df, "tool", "a"), "i", "result", "outcome") == want
+    assert rows(tools.call(df.limit(0), "tool", "a"), "i") == [] and {r["outcome"] for r in Tools(spark).call(df, "tool", "a").collect()} == {"unknown_tool"}
+
+
+def test_gates_keep_columns_of_their_own_names(spark):
+    points = spark.createDataFrame([("a", 0.0, 0.0, 7, 8), ("a", 1.0, 0.0, 7, 8), ("b", 1.0, 1.0, 7, 8)], "k string, x double, y double, planes int, _planes int")
+    planes = spark.createDataFrame([("a", 1.0, 0.0, 0.0)], "k string, nx double, ny double, d double")
+    assert rows(gates.off_planes(points, planes, "k", ["x", "y"], 0.1), *points.columns) == [("a", 1.0, 0.0, 7, 8), ("b", 1.0, 1.0, 7, 8)]
+    got = gates.rule_rows(points.withColumn("rule", F.lit(1)).withColumn("_r", F.lit(2)), "k", [("a", "left", 1), ("a", "right", 2)])
+    assert got.columns == ["k", "x", "y", "planes", "_planes", "rule", "_r", "side", "depth"] and got.count() == 4
+    now, before = (spark.createDataFrame([(1, v, 5.0), (2, None, 1.0)], "i int, v double, _v double") for v in (1.0, 3.0))
+    assert rows(gates.moved(now, before, "i", ["v"], 1.0), "i", "moved_by") == [(1, 2.0)] and rows(gates.moved(now, before, "i", ["_v"], 1.0), "i") == []
