@@ -12,11 +12,11 @@ from ..streaming import timed
 CUTS, WRITTEN = 6, (1, 0, 3, 2, 5, 4)
 
 
-def _run(spark, sf_dir, key, fields, fold):
+def _run(spark, sf_dir, key, fields, fold, ts="CAST(ts AS TIMESTAMP)", also=()):
     """The events in files of neighbouring ranges of time that have changed places, then a file with one row long after the last,
     which moves the watermark past all others. The delay is what two ranges span."""
     path = scratch_path(spark, "timed-events")
-    rows = table(spark, sf_dir, "events").selectExpr(f"{key} AS key", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS event", *fields)
+    rows = table(spark, sf_dir, "events").selectExpr(f"{key} AS key", f"{ts} AS ts", "event_id AS event", *fields)
     lo, hi = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
     width = ((hi or 0) - (lo or 0)) // CUTS + 1
     for k in WRITTEN:
@@ -25,8 +25,8 @@ def _run(spark, sf_dir, key, fields, fold):
     last = rows.limit(1).withColumn("key", F.lit(None).cast(dict(rows.dtypes)["key"])).withColumn("ts", F.timestamp_micros(F.lit((hi or 0) + 400 * 86_400_000_000)))
     last.coalesce(1).write.mode("append").parquet(path)
     delay = f"{2 * width // 1_000_000 + 1} seconds"
-    out = timed.run_in_batches(spark, path, rows.schema, lambda s: timed.in_event_time(s, ["key"], "ts", "event", delay, fold), scratch_path(spark, "timed"))
-    return out.where("key IS NOT NULL").select("key", F.unix_micros("at").alias("at_us"), "event", "outcome", "about")
+    out = timed.run_in_batches(spark, path, rows.schema, lambda s: timed.in_event_time(s, ["key", *also], "ts", "event", delay, fold), scratch_path(spark, "timed"))
+    return out.where("key IS NOT NULL").select("key", *also, F.unix_micros("at").alias("at_us"), "event", "outcome", "about")
 
 
 _ORDERED = "row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events"
@@ -89,3 +89,32 @@ UNION ALL SELECT r.key, r.due, NULL, 'removed', r.patch FROM r LEFT JOIN e ON e.
 def stream_status_documents(spark, sf_dir):
     to = "element_at(array('processing','ready','failed','queued','failed_invalid'), cast(event_id % 5 + 1 as int)) AS target"
     return _run(spark, sf_dir, "user_id * 7 + event_id % 7", [to, "CASE WHEN value > 10 THEN event_type END AS patch"], timed.documents(172_800))
+
+
+#: Sightings: a capture's events of a day are a frame; boxes stand about 23 places, their labels are now and then another's.
+SIGHTINGS = [
+    *[f"CAST(event_id * 7919 % 23 {place} AS DOUBLE) * 2.5 + event_id * 31 % {jitter} / 20.0 AS {c}0" for c, place, jitter in (("x", "% 5", 17), ("y", "div 5", 13))],
+    "0D AS z0",
+    *[f"CAST(event_id * 7919 % 23 {place} AS DOUBLE) * 2.5 + event_id * 31 % {jitter} / 20.0 + 1.5 + event_id % 7 / 5.0 AS {c}1" for c, place, jitter in (("x", "% 5", 17), ("y", "div 5", 13))],
+    "1D + event_id % 3 AS z1", "concat('kind-', IF(event_id % 19 = 0, event_id % 3, event_id * 7919 % 23 % 3)) AS label", "event_id * 37 % 100 / 100D AS score", "event_id % 17 = 0 AS cut",
+    "CAST(dayofyear(ts) % 3 * 3 AS DOUBLE) AS vx0", "CAST(dayofyear(ts) % 3 * 3 + 8 AS DOUBLE) AS vx1",
+]
+
+
+@register("stream_tracks")
+def stream_tracks(spark, sf_dir):
+    """Sightings of each capture (five users) matched to tracks, a day's frame at a time; each frame's matches depend on all before."""
+    return _run(spark, sf_dir, "user_id div 5", SIGHTINGS, timed.tracks(10 * 86_400), "date_trunc('DAY', CAST(ts AS TIMESTAMP))")
+
+
+@register("stream_announcements", f"""
+WITH e AS (SELECT user_id AS key, event_id % 4 AS piece, event_type AS kind, epoch_us(ts) AS us, event_id AS event, lag(epoch_us(ts)) OVER w AS before, lead(epoch_us(ts)) OVER w AS following, (['sofa', 'bed', 'chair', 'lamp'])[event_id % 4 + 1] AS what, (['low', 'medium', 'high'])[event_id // 4 % 3 + 1] AS sure
+ FROM events WINDOW w AS (PARTITION BY user_id, event_id % 4 ORDER BY ts, event_id)), n AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v[0].upper()}{v[1:]}')" for k, v in timed.NOUNS.items())}) t(what, noun)),
+f AS (SELECT e.*, before IS NULL OR before + 259200000000 <= us AS fresh, coalesce(CASE WHEN sure <> 'low' THEN noun END, 'Something new') AS line FROM e LEFT JOIN n USING (what))
+SELECT key, piece, us AS at_us, event, CASE WHEN fresh THEN 'announced' ELSE 'seen' END AS outcome, CASE WHEN fresh THEN line END AS about FROM f
+UNION ALL SELECT key, piece, us + 259200000000, NULL, 'forgotten', NULL FROM f WHERE following IS NULL OR following >= us + 259200000000
+""")
+def stream_announcements(spark, sf_dir):
+    """What a guest is told when a piece is first seen in a capture, and not again while it keeps being seen."""
+    fields = ["event_id % 4 AS piece", "element_at(array('sofa','bed','chair','lamp'), cast(event_id % 4 + 1 as int)) AS kind", "element_at(array('low','medium','high'), cast(event_id div 4 % 3 + 1 as int)) AS confidence"]
+    return _run(spark, sf_dir, "user_id", fields, timed.announcements(259_200), also=["piece"])

@@ -10,6 +10,7 @@ or document keeps none.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -202,6 +203,196 @@ def documents(keep_s: float, to: str = "target", patch: str = "patch", start: st
     return Fold((to, patch), step, ring)
 
 
+@dataclass(frozen=True)
+class Tracking:
+    """What decides in `tracks`; see there."""
+
+    unsure: float = 0.3
+    starting: float = 0.5
+    same_iou: float = 0.1
+    same_contained: float = 0.5
+    other_contained: float = 0.6
+    merge_iou: float = 0.3
+    merge_contained: float = 0.6
+    other_merge_iou: float = 0.6
+    confirmed_hits: int = 3
+    tentative_misses: int = 3
+    confirmed_misses: int = 8
+    least_hit_ratio: float = 0.25
+    most: int = 60
+
+
+def _volume(b: list[float]) -> float:
+    return max(b[3] - b[0], 0.0) * max(b[4] - b[1], 0.0) * max(b[5] - b[2], 0.0)
+
+
+def _overlap(a: list[float], b: list[float]) -> tuple[float, float]:
+    """Intersection over union of two boxes, and over the smaller one; 0 where neither has a volume."""
+    both = _volume([max(x, y) for x, y in zip(a[:3], b[:3], strict=True)] + [min(x, y) for x, y in zip(a[3:], b[3:], strict=True)])
+    va, vb = _volume(a), _volume(b)
+    return (both / (va + vb - both), both / min(va, vb)) if both > 0 else (0.0, 0.0)
+
+
+def _match(sightings: list[dict], held: list[dict], p: Tracking) -> dict[int, int]:
+    """Sighting -> track, the best pairs first, each side once; ties go to the earlier sighting, then the older track."""
+    pairs = []
+    for i, s in enumerate(sightings):
+        for j, t in enumerate(held):
+            iou, part = _overlap(s["box"], t["box"])
+            if s["label"] == t["label"]:
+                if iou >= p.same_iou or part >= p.same_contained:
+                    pairs.append((-1 - max(iou, 0.8 * part), i, j))
+            elif part >= p.other_contained:
+                pairs.append((-part, i, j))
+    found: dict[int, int] = {}
+    for _, i, j in sorted(pairs):
+        if i not in found and j not in found.values():
+            found[i] = j
+    return found
+
+
+def _absorb(t: dict, box: list[float], hits: int) -> None:
+    """The mean of all boxes that the track has taken in."""
+    n = t["hits"] + hits
+    t["box"] = [(x * t["hits"] + y * hits) / n for x, y in zip(t["box"], box, strict=True)]
+    t["hits"] = n
+
+
+def _merge(held: list[dict], p: Tracking) -> list[tuple[int, int]]:
+    """Merges what has come to be one object into the track of more hits (the older of two equal ones): (gone, kept)."""
+    out, i = [], 0
+    while i < len(held):
+        j = i + 1
+        while j < len(held):
+            a, b = held[i], held[j]
+            iou, part = _overlap(a["box"], b["box"])
+            one = iou >= p.merge_iou or part >= p.merge_contained if a["label"] == b["label"] else iou >= p.other_merge_iou and b["id"] not in a["apart"]
+            if not one:
+                j += 1
+                continue
+            kept, gone = (a, b) if a["hits"] >= b["hits"] else (b, a)
+            _absorb(kept, gone["box"], gone["hits"])
+            kept.update(score=max(a["score"], b["score"]), seen=max(a["seen"], b["seen"]), misses=min(a["misses"], b["misses"]), apart=sorted({*a["apart"], *b["apart"]} - {a["id"], b["id"]}))
+            out.append((gone["id"], kept["id"]))
+            held[i] = kept
+            del held[j]
+            for t in held:
+                if gone["id"] in t["apart"]:
+                    t["apart"] = sorted({*t["apart"], kept["id"]} - {gone["id"], t["id"]})
+        i += 1
+    return out
+
+
+def tracks(silence_s: float, box: tuple[str, ...] = ("x0", "y0", "z0", "x1", "y1", "z1"), label: str = "label", score: str = "score", cut: str = "cut", view: tuple[str, ...] = ("vx0", "vx1"), rules: Tracking | None = None) -> Fold:
+    """Sightings of a capture, taken frame by frame (a frame: all rows of one time), become tracks of objects. box: least and greatest
+    corner; cut: the box touches the edge of the image; view: a range of x in which the frame sees.
+
+    A frame's sightings and the tracks are matched one to one, by overlap and label. A sighting is `joined` to its track; else it is
+    `unsure` (a score below `unsure`, or below `starting` where its centre lies in a track), `cut_off`, or `started` a track of its own. A
+    track whose centre the frame sees and that has no sighting there is missed. Tracks that were missed too often are `pruned`, beyond
+    `most` the least sure and stalest `dropped`, and those that have come to be one object `merged` (about: the one that is gone, then
+    the one that is kept). about: the track, numbered from 1 in its capture. After so much silence the capture ends, and each track
+    is `ended`. So state holds `most` tracks and one frame. A null label, score or corner, a corner that is not finite or a box turned inside
+    out is a sighting of nothing: the frame counts, the row gives `empty`. A frame none of whose rows has a view sees everything; a null cut is none."""
+    silence, p = round(silence_s * 1e6), rules or Tracking()
+
+    def step(state: dict, at: int, event: int, fields: tuple) -> list[Given]:
+        corners, (kind, sure, edge), seen = fields[: len(box)], fields[len(box) : len(box) + 3], fields[len(box) + 3 :]
+        state.setdefault("frame", []).append({"event": event, "box": list(corners), "label": kind, "score": sure, "cut": bool(edge), "view": list(seen)})
+        state.update(at=at, due=at + 1)
+        return []
+
+    def frame(state: dict) -> list[Given]:
+        at, rows = state["at"], state.pop("frame")
+        held, given, together = state.setdefault("tracks", []), [], []
+        sightings = []
+        for r in rows:
+            b = r["box"]
+            whole = r["label"] is not None and all(v is not None and math.isfinite(v) for v in [r["score"], *b]) and all(x <= y for x, y in zip(b[:3], b[3:], strict=True))
+            sightings.append(r) if whole else given.append((at, r["event"], "empty", None))
+        found, old = _match(sightings, held, p), len(held)
+        for i, s in enumerate(sightings):
+            if i in found:
+                t = held[found[i]]
+                _absorb(t, s["box"], 1)
+                t.update(score=max(t["score"], s["score"]), seen=at)
+                together.append(t["id"])
+                given.append((at, s["event"], "joined", str(t["id"])))
+                continue
+            centre = [(x + y) / 2 for x, y in zip(s["box"][:3], s["box"][3:], strict=True)]
+            inside = any(all(lo <= c <= hi for lo, c, hi in zip(t["box"][:3], centre, t["box"][3:], strict=True)) for t in held)
+            if s["score"] < p.unsure or (not s["cut"] and s["score"] < p.starting and inside):
+                given.append((at, s["event"], "unsure", None))
+            elif s["cut"]:
+                given.append((at, s["event"], "cut_off", None))
+            else:
+                state["last"] = state.get("last", 0) + 1
+                held.append({"id": state["last"], "box": s["box"], "label": s["label"], "score": s["score"], "hits": 1, "misses": 0, "seen": at, "apart": []})
+                together.append(state["last"])
+                given.append((at, s["event"], "started", str(state["last"])))
+        for t in held:
+            if t["id"] in together:
+                t["apart"] = sorted({*t["apart"], *together} - {t["id"]})
+        views = [r["view"] for r in rows if len(r["view"]) == 2 and all(v is not None and v == v for v in r["view"])]
+        for t in held[:old]:
+            middle = (t["box"][0] + t["box"][3]) / 2
+            if t["id"] not in together and (not views or any(lo <= middle <= hi for lo, hi in views)):
+                t["misses"] += 1
+
+        def lost(t: dict) -> bool:
+            if t["hits"] < p.confirmed_hits:
+                return t["misses"] >= p.tentative_misses
+            return t["misses"] >= p.confirmed_misses and t["hits"] < p.least_hit_ratio * (t["hits"] + t["misses"])
+
+        gone = {t["id"]: "pruned" for t in held if lost(t)}
+        rest = sorted((t for t in held if t["id"] not in gone), key=lambda t: (2 * (t["hits"] >= p.confirmed_hits) + (t["score"] >= p.starting), t["seen"], t["id"]))
+        gone |= {t["id"]: "dropped" for t in rest[: max(len(rest) - p.most, 0)]}
+        given += [(at, None, what, str(k)) for k, what in sorted(gone.items())]
+        held[:] = [t for t in held if t["id"] not in gone]
+        for t in held:
+            t["apart"] = [k for k in t["apart"] if k not in gone]
+        given += [(at, None, "merged", f"{a} {b}") for a, b in _merge(held, p)]
+        state["due"] = at + silence
+        return given
+
+    def ring(state: dict, at: int) -> list[Given]:
+        if "frame" in state:
+            return frame(state)
+        out = [(at, None, "ended", str(t["id"])) for t in state["tracks"]]
+        state.clear()
+        return out
+
+    return Fold((*box, label, score, cut, *view), step, ring)
+
+
+#: The nouns of what can be announced: fixed values.
+NOUNS = {
+    "storage": "a cabinet", "refrigerator": "a refrigerator", "stove": "a stove", "bed": "a bed", "sink": "a sink", "toilet": "a toilet", "bathtub": "a bathtub",
+    "oven": "an oven", "dishwasher": "a dishwasher", "table": "a table", "sofa": "a sofa", "chair": "a chair", "fireplace": "a fireplace",
+}
+
+
+def announcements(forget_s: float, kind: str = "kind", confidence: str = "confidence") -> Fold:
+    """The first sight of a piece is `announced` (the key: capture and piece), about the line to say: its noun if the confidence is not
+    low (null: low) and the kind is known, else that it is something new. Later sights are `seen`; after so long without one it is `forgotten`."""
+    forget = round(forget_s * 1e6)
+
+    def step(state: dict, at: int, event: int, fields: tuple) -> list[Given]:
+        what, sure = fields
+        new = not state
+        state["due"] = at + forget
+        if not new:
+            return [(at, event, "seen", None)]
+        noun = NOUNS.get(what) if sure not in (None, "low") else None
+        return [(at, event, "announced", f"{noun[0].upper()}{noun[1:]}" if noun else "Something new")]
+
+    def ring(state: dict, at: int) -> list[Given]:
+        state.clear()
+        return [(at, None, "forgotten", None)]
+
+    return Fold((kind, confidence), step, ring)
+
+
 def run_in_batches(spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], path: str, files: int = 2) -> DataFrame:
     """Streams the parquet files under `source`, so many a micro-batch and in the order in which they were written, through `work`
     into a table at `path`, and reads it. Timers and several states need the RocksDB state store, which is set for this query."""

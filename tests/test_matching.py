@@ -150,3 +150,68 @@ def test_folds_forget_what_has_ended():
     state = {}
     given = [documents.step(state, t, t, f)[0][2:] for t, f in enumerate([("failed", "x"), ("ready", "y"), ("queued", None), ("processing", "z")])]
     assert given == [("updated", "x"), ("refused", "x"), ("updated", "x"), ("updated", "z")] and "due" not in state
+
+
+def seen(box, label="chair", score=0.9, cut=False, view=(None, None)):
+    return (*box, label, score, cut, *view)
+
+
+def at(x, size=2.0):
+    return (x, 0.0, 0.0, x + size, size, size)
+
+
+def run_frames(fold, frames, end=True):
+    """Frames at 0, 1, 2, .. seconds."""
+    state, given, event = {}, [], 0
+    for t, rows in enumerate(frames):
+        us = t * 1_000_000
+        while state.get("due") is not None and state["due"] <= us:
+            given += fold.ring(state, state["due"])
+        for r in rows:
+            event += 1
+            given += fold.step(state, us, event, r)
+    while state.get("due") is not None and (end or "frame" in state):
+        given += fold.ring(state, state["due"])
+    return [(e, o, a) for _, e, o, a in given], state
+
+
+def test_tracks_match_one_to_one_start_miss_and_end():
+    fold = timed.tracks(100.0)
+    given, state = run_frames(fold, [[seen(at(0)), seen(at(10))], [seen(at(0.2)), seen(at(0.1))]])
+    # both sightings of the second frame overlap track 1: the nearer one joins it, the other one starts and is merged at once
+    assert given == [(1, "started", "1"), (2, "started", "2"), (3, "started", "3"), (4, "joined", "1"), (None, "merged", "3 1"), (None, "ended", "1"), (None, "ended", "2")]
+    assert state == {}
+    given, _ = run_frames(fold, [[seen(at(0), score=0.2), seen(at(0), cut=True), seen(at(0), score=0.4)], [seen(at(50), score=0.4), seen(at(0.0, 0.5), "lamp", 0.4)]], end=False)
+    assert [o for _, o, _ in given] == ["unsure", "cut_off", "started", "started", "joined"]  # the lamp lies in the chair: another label, wholly contained
+    given, _ = run_frames(fold, [[seen(at(0))], *[[seen(at(50))]] * 3], end=False)
+    assert (None, "pruned", "1") in given  # tentative, missed three times
+    given, _ = run_frames(fold, [[seen(at(0))], *[[seen(at(50), view=(40.0, 60.0))]] * 5], end=False)
+    assert (None, "pruned", "1") not in given  # out of view
+    given, _ = run_frames(fold, [[(*at(0), None, None, None, None, None)], [seen((0.0, 0.0, 0.0, float("nan"), 1.0, 1.0)), seen((1.0, 0.0, 0.0, 0.0, 1.0, 1.0))]])
+    assert given == [(1, "empty", None), (2, "empty", None), (3, "empty", None)]
+
+
+def test_tracks_of_other_labels_merge_only_if_never_seen_together_and_the_cap_holds():
+    a, b = seen(at(0)), seen(at(0.1), "lamp", 0.9)
+    given, _ = run_frames(timed.tracks(9.0), [[a, b]], end=False)
+    assert [o for _, o, _ in given] == ["started", "started"]
+    rules = timed.Tracking(other_contained=2.0)
+    given, _ = run_frames(timed.tracks(9.0, rules=rules), [[a], [b]], end=False)
+    assert given[-1] == (None, "merged", "2 1")
+    many = [seen(at(5.0 * k), score=0.6 if k else 0.5) for k in range(70)]
+    given, state = run_frames(timed.tracks(9.0), [many, [seen(at(0.0), score=0.5)]], end=False)
+    assert [x for x in given if x[1] == "dropped"] == [(None, "dropped", str(k)) for k in range(1, 12)] and len(state["tracks"]) == 60
+    assert given[-2][1] == "started" and given[-1] == (None, "dropped", "11")
+
+
+def test_streamed_tracks_equal_a_plain_fold_over_the_frames(spark):
+    from tessera import catalogue
+    from tessera.plans.timed import SIGHTINGS
+    from tessera.session import table
+
+    sf = "/root/testdata/sf0.001"
+    fold = timed.tracks(10 * 86_400)
+    rows = table(spark, sf, "events").selectExpr("user_id div 5 AS key", "unix_micros(date_trunc('DAY', CAST(ts AS TIMESTAMP))) AS us", "event_id", *SIGHTINGS).select("key", "us", "event_id", *fold.fields).collect()
+    got = sorted([tuple(x) for x in catalogue.queries()["stream_tracks"](spark, sf).select("key", "at_us", "event", "outcome", "about").collect()], key=str)
+    want = plain_fold([tuple(r) for r in rows], fold)
+    assert got == want and {"started", "joined", "merged", "pruned", "ended", "unsure", "cut_off"} <= {x[3] for x in got}
