@@ -229,11 +229,14 @@ class Tagger:
         return tags
 
     def reader(self) -> Reader:
-        """The same network for reading alone: the input side as a table of characters, half the arguments of the
-        sigmoids (a sigmoid is a tanh of half its argument, scaled), so that a step has one product and two tanh."""
+        """The same network for reading alone: the input side as a table of characters, all arguments turned to those of exp in
+        1 / (1 + exp(-x)), of which a tanh is the double less one, so that a step has one product and two exponentials."""
         n = len(self.p["Uf"])
-        half = np.repeat([0.5, 0.5, 0.5, 1.0], n).astype(np.float32)
-        sides = [((self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]) * half, self.p[f"U{d}"] * half, self.p["V"][k * n : (k + 1) * n]) for k, d in enumerate("fb")]
+        turn = np.repeat([-1.0, -1.0, -1.0, -2.0], n).astype(np.float32)
+        sides = []
+        for k, d in enumerate("fb"):
+            table, U = (self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]) * turn, self.p[f"U{d}"] * turn
+            sides.append((np.ascontiguousarray(table.T, dtype=np.float32), np.ascontiguousarray(U.T), self.p["V"][k * n : (k + 1) * n]))
         T = np.where(_ALLOWED, self.p["T"], -1e4)
         return Reader(sides, self.p["c"], (T.max(0) - T[0, 0])[1:], self)
 
@@ -247,26 +250,35 @@ class Reader:
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """x: codes (time, batch) -> (tags, time, batch). Gates lie beneath each other, so that each step works on whole
-        stretches of memory; a cell's output is kept doubled, which its weights have taken in."""
-        n = len(self.sides[0][1])
-        out = np.empty((len(x), 2 * n, x.shape[1]), dtype=np.float32)
-        for k, (table, U, _) in enumerate(self.sides):
-            h, c = np.zeros((n, x.shape[1]), dtype=np.float32), np.zeros((n, x.shape[1]), dtype=np.float32)
-            a, U = np.empty((4 * n, x.shape[1]), dtype=np.float32), np.ascontiguousarray(U.T / 2)
-            i, f, o, g = (a[q * n : (q + 1) * n] for q in range(4))
-            for t in range(len(x))[:: -1 if k else 1]:
-                np.matmul(U, h, out=a)
-                a += table[x[t]].T
-                np.tanh(a, out=a)
-                a[: 3 * n] += 1
-                c *= f
-                i *= g
-                c += i
-                c *= 0.5
-                np.tanh(c, out=h)
-                h *= o
-                out[t, k * n : (k + 1) * n] = h
-        V = np.concatenate([side[2] for side in self.sides]) / 2
+        stretches of memory."""
+        n, rows = self.sides[0][1].shape[1], x.shape[1]
+        x = x.astype(np.intp)
+        out = np.empty((len(x), 2 * n, rows), dtype=np.float32)
+        a, given, e = (np.empty((k * n, rows), dtype=np.float32) for k in (4, 4, 1))
+        i, f, o, g = (a[q * n : (q + 1) * n] for q in range(4))
+        with np.errstate(over="ignore"):  # exp of much is infinite, and its reciprocal 0
+            for k, (table, U, _) in enumerate(self.sides):
+                h, c = np.zeros((n, rows), dtype=np.float32), np.zeros((n, rows), dtype=np.float32)
+                for t in range(len(x))[:: -1 if k else 1]:
+                    np.take(table, x[t], axis=1, out=given, mode="clip")
+                    np.matmul(U, h, out=a)
+                    a += given
+                    np.exp(a, out=a)
+                    a += 1
+                    np.reciprocal(a, out=a)
+                    g *= 2
+                    g -= 1
+                    c *= f
+                    i *= g
+                    c += i
+                    np.multiply(c, -2, out=e)
+                    np.exp(e, out=e)
+                    e += 1
+                    np.divide(2, e, out=e)
+                    e -= 1
+                    np.multiply(e, o, out=h)
+                    out[t, k * n : (k + 1) * n] = h
+        V = np.concatenate([side[2] for side in self.sides])
         em = np.matmul(np.ascontiguousarray(V.T), out)
         return em.transpose(1, 0, 2) + self.c[:, None, None]
 
