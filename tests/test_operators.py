@@ -304,3 +304,11 @@ def test_gates_keep_columns_of_their_own_names(spark):
     assert got.columns == ["k", "x", "y", "planes", "_planes", "rule", "_r", "side", "depth"] and got.count() == 4
     now, before = (spark.createDataFrame([(1, v, 5.0), (2, None, 1.0)], "i int, v double, _v double") for v in (1.0, 3.0))
     assert rows(gates.moved(now, before, "i", ["v"], 1.0), "i", "moved_by") == [(1, 2.0)] and rows(gates.moved(now, before, "i", ["_v"], 1.0), "i") == []
+
+
+def test_distance_joins_send_no_side_through_the_driver(spark):
+    side = lambda names: spark.range(30).select(F.col("id").alias(names[0]), F.lit(0).alias("room"), (F.col("id") * 1.0).alias(names[1]), F.lit(0.0).alias(names[2]))
+    p = joins.within(side(["a", "ax", "ay"]), side(["b", "bx", "by"]), "ax", "ay", "bx", "by", 2.0, ["room"])
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert p.count() == 30 + 2 * 29 + 2 * 28
