@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..catalogue import register
@@ -10,22 +12,27 @@ from ..streaming import timed
 
 #: Ranges of time that the events are cut into, and the order in which they are written.
 CUTS, WRITTEN = 6, (1, 0, 3, 2, 5, 4)
+#: Rows of the whole table for each bucket of keys.
+BUCKET = 10_000
 
 
 def _run(spark, sf_dir, key, fields, fold, ts="CAST(ts AS TIMESTAMP)", also=()):
     """The events in files of neighbouring ranges of time that have changed places, then a file with one row long after the last,
-    which moves the watermark past all others. The delay is what two ranges span."""
+    which moves the watermark past all others: later by the delay, which is what two ranges span, and what any fold waits for. A micro-batch
+    takes a third of the files, so their number does not grow with the table; the number of buckets does."""
     path = scratch_path(spark, "timed-events")
     rows = table(spark, sf_dir, "events").selectExpr(f"{key} AS key", f"{ts} AS ts", "event_id AS event", *fields)
-    lo, hi = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    lo, hi, n = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts")), F.count("*")).first()
     width = ((hi or 0) - (lo or 0)) // CUTS + 1
     for k in WRITTEN:
         at = F.unix_micros("ts") - (lo or 0)
         rows.where((at >= k * width) & (at < (k + 1) * width)).write.mode("append").parquet(path)
-    last = rows.limit(1).withColumn("key", F.lit(None).cast(dict(rows.dtypes)["key"])).withColumn("ts", F.timestamp_micros(F.lit((hi or 0) + 400 * 86_400_000_000)))
+    files = max(math.ceil(len(spark.read.schema(rows.schema).parquet(path).inputFiles()) / 3), 1)
+    delay = 2 * width // 1_000_000 + 1
+    last = rows.limit(1).withColumn("key", F.lit(None).cast(dict(rows.dtypes)["key"])).withColumn("ts", F.timestamp_micros(F.lit((hi or 0) + delay * 1_000_000 + 400 * 86_400_000_000)))
     last.coalesce(1).write.mode("append").parquet(path)
-    delay = f"{2 * width // 1_000_000 + 1} seconds"
-    out = timed.run_in_batches(spark, path, rows.schema, lambda s: timed.in_event_time(s, ["key", *also], "ts", "event", delay, fold), scratch_path(spark, "timed"))
+    work = lambda s: timed.in_event_time(s, ["key", *also], "ts", "event", f"{delay} seconds", fold, max(64, n // BUCKET))
+    out = timed.run_in_batches(spark, path, rows.schema, work, scratch_path(spark, "timed"), files)
     return out.where("key IS NOT NULL").select("key", *also, F.unix_micros("at").alias("at_us"), "event", "outcome", "about")
 
 

@@ -1,6 +1,6 @@
 """Keyed state machines in event time, with timers: outcomes do not depend on the order in which rows arrive.
 
-A key's rows wait in a list state until the watermark has passed them; then they are folded in the order of
+Keys are dealt over buckets. A bucket's rows wait in a list state until the watermark has passed them; then each key's are folded in the order of
 event time, and timers that come due between two rows ring between them. So any order of files within the
 watermark's delay gives the same outcome. Rows later than the delay are left out by Spark, which counts them in the
 query's progress. State ends with what it stands for: a key without a holder, pending mint, open stream
@@ -36,20 +36,22 @@ class Fold:
 
 
 class _InEventTime(StatefulProcessor):
-    def __init__(self, fold: Fold, names: list[str], ts: str, event: str):
-        self.fold, self.names, self.ts, self.event = fold, names, ts, event
+    """The keys of one bucket: calls of the state store, which cost a round trip each, are a few for each bucket, not for each key."""
+
+    def __init__(self, fold: Fold, ts: str, event: str):
+        self.fold, self.ts, self.event, self.done = fold, ts, event, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event long, fields string")
-        self.held = handle.getValueState("held", "state string")
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.held = handle.getValueState("held", "states string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for f in rows:
             at = f[self.ts].astype("datetime64[us]").astype("int64").tolist()
             fields = [json.dumps(v) for v in zip(*(f[c].tolist() for c in self.fold.fields), strict=True)]
-            self.waiting.appendList(list(zip(at, f[self.event].tolist(), fields, strict=True)))
+            self.waiting.appendValue((json.dumps(list(zip(f["key_"].tolist(), at, f[self.event].tolist(), fields, strict=True))),))
             first = min(at if first is None else [first, *at])
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
@@ -57,44 +59,62 @@ class _InEventTime(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        state = json.loads(self.held.get()[0]) if self.held.exists() else {}
-        ready = [w for w in waiting if w[0] <= now]
+        if self.done == (tuple(key), now):  # an earlier timer of the bucket has brought it up to now
+            return
+        self.done = (tuple(key), now)
+        waiting = [tuple(row) for (chunk,) in self.waiting.get() for row in json.loads(chunk)] if self.waiting.exists() else []
+        states = json.loads(self.held.get()[0]) if self.held.exists() else {}
+        ready: dict[str, list] = {k: [] for k, s in states.items() if s.get("due") is not None and s["due"] <= now}
+        rest = []
+        for row in waiting:
+            ready.setdefault(row[0], []).append(row) if row[1] <= now else rest.append(row)
         given = []
+        for k, rows in ready.items():
+            state = states.get(k, {})
+            given.extend((k, *g) for g in self._folded(state, sorted(rows), now))
+            if state:
+                states[k] = state
+            else:
+                states.pop(k, None)
+        if len(rest) < len(waiting):
+            self.waiting.put([(json.dumps(rest),)]) if rest else self.waiting.clear()
+        if ready:
+            self.held.update((json.dumps(states),)) if states else self.held.clear()
+        later = [*(row[1] for row in rest), *(s["due"] for s in states.values() if s.get("due") is not None)]
+        if later:
+            self.handle.registerTimer(min(later) // 1000 + 1)
+        if given:
+            names, at, event, outcome, about = zip(*given, strict=True)
+            yield pd.DataFrame({"key_": names, "at": pd.to_datetime(list(at), unit="us"), "event": pd.array(event, dtype="Int64"), "outcome": outcome, "about": about})
+
+    def _folded(self, state: dict, rows: list[tuple], now: int) -> list[Given]:
+        given: list[Given] = []
 
         def ring(until: int) -> None:
             while state.get("due") is not None and state["due"] <= until:
                 given.extend(self.fold.ring(state, state["due"]))
 
-        for at, event, fields in ready:
+        for _, at, event, fields in rows:
             ring(at)
             given.extend(self.fold.step(state, at, event, tuple(json.loads(fields))))
         ring(now)
-        rest = waiting[len(ready) :]
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        self.held.update((json.dumps(state),)) if state else self.held.clear()
-        later = [t for t in (rest[0][0] if rest else None, state.get("due")) if t is not None]
-        if later:
-            self.handle.registerTimer(min(later) // 1000 + 1)
-        if given:
-            at, event, outcome, about = zip(*given, strict=True)
-            out = pd.DataFrame({"at": pd.to_datetime(list(at), unit="us"), "event": pd.array(event, dtype="Int64"), "outcome": outcome, "about": about})
-            for name, k in zip(self.names[::-1], key[::-1], strict=True):
-                out.insert(0, name, k)
-            yield out
+        return given
 
     def close(self) -> None:
         pass
 
 
-def in_event_time(stream: DataFrame, key: list[str], ts: str, event: str, delay: str, fold: Fold) -> DataFrame:
+def in_event_time(stream: DataFrame, key: list[str], ts: str, event: str, delay: str, fold: Fold, buckets: int = 64) -> DataFrame:
     """(key.., at, event, outcome, about): the fold over each key's rows in the order (ts, event). Rows with a null in ts
-    or event are left out; nulls in the key are a key, in the fields values."""
-    types = dict(stream.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", at timestamp, event long, outcome string, about string"
-    rows = stream.select(*key, ts, F.col(event).cast("long").alias(event), *[c for c in fold.fields if c not in key]).where(F.col(ts).isNotNull() & F.col(event).isNotNull())
-    return rows.withWatermark(ts, delay).groupBy(*key).transformWithStateInPandas(_InEventTime(fold, key, ts, event), schema, "append", "EventTime")
+    or event are left out; nulls in the key are a key, in the fields values. Keys are dealt over so many buckets by their hash; a task holds what
+    waits and the states of one bucket, so their number should grow with the keys that are open at a time."""
+    whole = stream.select(*key).schema
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    text = F.to_json(F.struct(*key), form)
+    rows = stream.select(F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket_"), text.alias("key_"), ts, F.col(event).cast("long").alias(event), *[c for c in fold.fields if c not in (ts, event)])
+    rows = rows.where(F.col(ts).isNotNull() & F.col(event).isNotNull()).withWatermark(ts, delay)
+    out = rows.groupBy("bucket_").transformWithStateInPandas(_InEventTime(fold, ts, event), "key_ string, at timestamp, event long, outcome string, about string", "append", "EventTime")
+    return out.withColumn("key_", F.from_json("key_", whole, form)).select("key_.*", "at", "event", "outcome", "about")
 
 
 def leases(ttl_s: float, holder: str = "holder", action: str = "action") -> Fold:
@@ -228,6 +248,8 @@ def _volume(b: list[float]) -> float:
 
 def _overlap(a: list[float], b: list[float]) -> tuple[float, float]:
     """Intersection over union of two boxes, and over the smaller one; 0 where neither has a volume."""
+    if a[3] <= b[0] or b[3] <= a[0] or a[4] <= b[1] or b[4] <= a[1] or a[5] <= b[2] or b[5] <= a[2]:  # most pairs
+        return 0.0, 0.0
     both = _volume([max(x, y) for x, y in zip(a[:3], b[:3], strict=True)] + [min(x, y) for x, y in zip(a[3:], b[3:], strict=True)])
     va, vb = _volume(a), _volume(b)
     return (both / (va + vb - both), both / min(va, vb)) if both > 0 else (0.0, 0.0)
@@ -245,9 +267,11 @@ def _match(sightings: list[dict], held: list[dict], p: Tracking) -> dict[int, in
             elif part >= p.other_contained:
                 pairs.append((-part, i, j))
     found: dict[int, int] = {}
+    taken: set[int] = set()
     for _, i, j in sorted(pairs):
-        if i not in found and j not in found.values():
+        if i not in found and j not in taken:
             found[i] = j
+            taken.add(j)
     return found
 
 

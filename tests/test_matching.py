@@ -215,3 +215,16 @@ def test_streamed_tracks_equal_a_plain_fold_over_the_frames(spark):
     got = sorted([tuple(x) for x in catalogue.queries()["stream_tracks"](spark, sf).select("key", "at_us", "event", "outcome", "about").collect()], key=str)
     want = plain_fold([tuple(r) for r in rows], fold)
     assert got == want and {"started", "joined", "merged", "pruned", "ended", "unsure", "cut_off"} <= {x[3] for x in got}
+
+
+def test_timed_queries_over_years_lose_no_last_rows_and_take_more_files_a_batch(spark, tmp_path, monkeypatch):
+    from tessera.plans import timed as plans
+
+    rows = [(k, datetime(2020, 1, 1) + timedelta(days=3 * k), k % 40, "view", 1.0) for k in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    asked, run = [], timed.run_in_batches
+    monkeypatch.setattr(plans.timed, "run_in_batches", lambda *a: asked.append(a[-1]) or run(*a))
+    out = plans.stream_pings(spark, str(tmp_path))
+    assert sorted(r.event for r in out.where("event is not null").collect()) == list(range(600))
+    assert out.where("outcome = 'closed'").count() == 450
+    assert asked[0] > 2
