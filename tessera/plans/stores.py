@@ -143,7 +143,8 @@ SELECT entity, event, outcome FROM s WHERE i > 0
 def stream_fenced_writes(spark, sf_dir):
     to = "CASE WHEN event_id % 9 = 0 THEN 'ready' WHEN event_id % 2 = 0 THEN 'processing' ELSE 'working' END AS target"
     path, schema = _event_files(spark, sf_dir, ["user_id * 31 + event_id div 200 AS entity", "event_type AS holder", "event_id AS event", "CAST(ts AS TIMESTAMP) AS ts", to])
-    return live.run_once(spark, path, schema, lambda s: live.fenced_writes(s, "entity", "holder", "target", "ts", "event", 100_000.0), scratch_path(spark, "stream"))
+    buckets = max(64, spark.read.parquet(path).count() // 10_000)
+    return live.run_once(spark, path, schema, lambda s: live.fenced_writes(s, "entity", "holder", "target", "ts", "event", 100_000.0, buckets=buckets), scratch_path(spark, "stream"))
 
 
 @register("stream_spend_admission", """

@@ -31,27 +31,57 @@ def once_each(stream: DataFrame, key: list[str], ts: str, delay: str) -> DataFra
 
 def lease_claims(stream: DataFrame, resource: str, holder: str, ts: str, event: str, ttl_s: float) -> DataFrame:
     """Claims of leases, in event order: `claimed`, `reclaimed` from a holder whose lease is not younger
-    than the TTL (strictly), `already_owned`; a release counts only from the holder."""
+    than the TTL (strictly), `already_owned`; a release counts only from the holder. Answers go out a part at a time: of a resource's
+    rows of one micro-batch, a task holds the columns alone."""
     out = f"{resource} long, {holder} string, {ts} timestamp, {event} long, outcome string"
 
     def claim(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         owner, since = state.get if state.exists else (None, 0.0)
-        rows = []
-        for f in sorted_frames(frames, [ts, event]):
-            for h, t, e in zip(f[holder], f[ts], f[event], strict=True):
-                now = t.timestamp()
+        f = sorted_columns(frames, [ts, event], [holder])
+        for part in parts(f):
+            outcomes = []
+            for h, now in zip(part[holder], seconds(part[ts]), strict=True):
                 if owner is not None and now - since < ttl_s and owner != h:
-                    outcome = "already_owned"
+                    outcomes.append("already_owned")
                 else:
-                    outcome = "claimed" if owner is None else "renewed" if owner == h else "reclaimed"
+                    outcomes.append("claimed" if owner is None else "renewed" if owner == h else "reclaimed")
                     owner, since = h, now
-                rows.append((key[0], h, t, e, outcome))
+            part = part.assign(outcome=outcomes)
+            part.insert(0, resource, key[0])
+            yield part[[resource, holder, ts, event, "outcome"]]
         state.update((owner, since))
-        yield pd.DataFrame(rows, columns=[resource, holder, ts, event, "outcome"])
 
     return stream.groupBy(resource).applyInPandasWithState(claim, out, "owner string, since double", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Rows of one part of a key's answers.
+PART = 50_000
+
+
+def sorted_columns(frames: Iterator[pd.DataFrame], by: list[str], names: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch in event order: these columns alone, names as categories."""
+    got = []
+    for f in frames:
+        got.append(f[[*by, *names]].astype(dict.fromkeys(names, "category")))
+    kinds = {n: pd.api.types.union_categoricals([f[n] for f in got]).categories for n in names}
+    for k, f in enumerate(got):
+        got[k] = f.assign(**{n: f[n].cat.set_categories(kinds[n]) for n in names})
+    whole = pd.concat(got, ignore_index=True)
+    got.clear()
+    return whole.sort_values(by, ignore_index=True)
+
+
+def parts(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for k in range(0, len(f), PART):
+        part = f.iloc[k : k + PART]
+        names = [c for c in part.columns if isinstance(part[c].dtype, pd.CategoricalDtype)]
+        yield part.assign(**{c: part[c].astype(object).where(part[c].notna(), None) for c in names})
+
+
+def seconds(ts: pd.Series) -> list[float]:
+    return (ts.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+
+
 def sorted_frames(frames: Iterator[pd.DataFrame], by: list[str]) -> list[pd.DataFrame]:
     """A key's rows of one micro-batch in event order."""
     got = list(frames)
@@ -111,18 +141,20 @@ def windowed_counts(stream: DataFrame, ts: str, kind: str, width: str, delay: st
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
-def fenced_writes(stream: DataFrame, entity: str, holder: str, to: str, ts: str, event: str, ttl_s: float, end: tuple[str, ...] = ("ready", "failed")) -> DataFrame:
+def fenced_writes(stream: DataFrame, entity: str, holder: str, to: str, ts: str, event: str, ttl_s: float, end: tuple[str, ...] = ("ready", "failed"), buckets: int = 64) -> DataFrame:
     """Transitions that only the holder of a lease may write: `claimed` or `reclaimed` (a lease that is not younger than the TTL
     is anyone's) at `processing`; `written` by the holder, and an end state gives the lease back; `fenced` for all others;
-    `terminal` after an end state. In event order; the state is one holder, one time and one status for each entity."""
+    `terminal` after an end state. In event order; the state is one holder, one time and one status for each entity. Entities are dealt over so
+    many buckets, whose states lie side by side, so that a call costs a bucket and not an entity: their number should grow with the entities."""
     out = f"{entity} long, {event} long, outcome string"
 
     def write(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner, since, status = state.get if state.exists else (None, 0.0, "queued")
-        rows = []
+        known = {e: (o, s, w) for e, *(o, s, w) in zip(*state.get, strict=True)} if state.exists else {}
         for f in sorted_frames(frames, [ts, event]):
-            for h, t, e, want in zip(f[holder], f[ts], f[event], f[to], strict=True):
-                now = t.timestamp()
+            outcomes = []
+            for who, h, now, want in zip(f[entity].tolist(), f[holder], seconds(f[ts]), f[to], strict=True):
+                who = None if who != who else who
+                owner, since, status = known.get(who, (None, 0.0, "queued"))
                 held = owner is not None and now - since < ttl_s
                 if status in end:
                     outcome = "terminal"
@@ -133,11 +165,15 @@ def fenced_writes(stream: DataFrame, entity: str, holder: str, to: str, ts: str,
                     owner = None if want in end else owner
                 else:
                     outcome = "fenced"
-                rows.append((key[0], e, outcome))
-        state.update((owner, since, status))
-        yield pd.DataFrame(rows, columns=[entity, event, "outcome"])
-
-    return stream.groupBy(entity).applyInPandasWithState(write, out, "owner string, since double, status string", "append", GroupStateTimeout.NoTimeout)
+                known[who] = (owner, since, status)
+                outcomes.append(outcome)
+            yield f[[entity, event]].assign(outcome=outcomes).astype({entity: "Int64"})
+        state.update(([*known], *map(list, zip(*known.values(), strict=True))))
+
+    # rows without an entity are a bucket of their own: pandas would make the others' longs doubles
+    keyed = stream.withColumn("bucket_", F.when(F.col(entity).isNotNull(), F.pmod(F.xxhash64(entity), F.lit(buckets))).otherwise(-1))
+    held = "entity array<long>, owner array<string>, since array<double>, status array<string>"
+    return keyed.groupBy("bucket_").applyInPandasWithState(write, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def spend_admission(stream: DataFrame, user: str, cost: str, ts: str, event: str, budget: float) -> DataFrame:

@@ -312,3 +312,22 @@ def test_distance_joins_send_no_side_through_the_driver(spark):
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert p.count() == 30 + 2 * 29 + 2 * 28
+
+
+def test_fenced_writes_hold_many_entities_in_few_buckets(spark, tmp_path):
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k)
+    data = []
+    for k, who in enumerate([None, 1, 2**60 + 1, 3, *range(100, 140)]):
+        data += [(who, "a", at(0), 10 * k, "processing"), (who, "b", at(1), 10 * k + 1, "working"), (who, "a", at(2), 10 * k + 2, "ready"), (who, "b", at(3), 10 * k + 3, "processing")]
+    schema = "n long, h string, ts timestamp, e long, to string"
+    want = sorted((d[3], str(d[0]), o) for d, o in zip(data, ["claimed", "fenced", "written", "terminal"] * 44, strict=True))
+    for buckets, batches in ((1, 1), (3, 4)):
+        got = streamed(spark, tmp_path / str(buckets), sorted(data, key=lambda d: d[2]), schema, lambda s, n=buckets: stateful.fenced_writes(s, "n", "h", "to", "ts", "e", 10.0, buckets=n), batches=batches)
+        assert sorted((r["e"], str(r["n"]), r["outcome"]) for r in got.collect()) == want
+
+
+def test_lease_claims_answer_in_parts(monkeypatch):
+    monkeypatch.setattr(stateful, "PART", 2)
+    frames = [pd.DataFrame({"ts": pd.to_datetime([3, 1], unit="s"), "e": [3, 1], "h": ["b", None], "other": 0}), pd.DataFrame({"ts": pd.to_datetime([2], unit="s"), "e": [2], "h": ["a"], "other": 0})]
+    got = [p.to_dict("list") for p in stateful.parts(stateful.sorted_columns(iter(frames), ["ts", "e"], ["h"]))]
+    assert [p["e"] for p in got] == [[1, 2], [3]] and [p["h"] for p in got] == [[None, "a"], ["b"]]
