@@ -16,9 +16,10 @@ def _digest(edges: DataFrame):
 
 def _linked_to_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pairs(u, v) -> (u, v, m), m the least of u and its v. The minima are written first, so
-    that both join sides are plain exchanges, which Spark can split where one u has very many v."""
+    that both join sides are plain exchanges, which Spark can split where one u has very many v, and never a broadcast: files of
+    ids are far smaller than their rows in the driver."""
     least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    return pairs.join(least, "u"), least
+    return pairs.join(least.hint("merge"), "u"), least
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
@@ -58,11 +59,12 @@ def dependency_order(nodes: DataFrame, node: str, target: str, pos: str) -> Data
     first. refusal: `missing` (the row or one below it names no row), `cycle` (it stands on itself, or on a row that
     does); level and needed are null there.
 
-    Pointers are doubled, so that rounds are the logarithm of the longest chain; each is written to the shared folder.
+    Pointers are doubled, so that rounds are the logarithm of the longest chain; each is written to the shared folder. No side
+    is broadcast, so that the driver gets no rows.
     """
     rows = nodes.select(F.col(node).alias("node"), F.col(target).alias("up"), F.col(pos).alias("needed"))
     known = rows.select(F.col("node").alias("up"), F.lit(True).alias("known"))
-    rows = rows.join(known, "up", "left").withColumn("missing", F.col("up").isNotNull() & F.col("known").isNull())
+    rows = rows.join(known.hint("merge"), "up", "left").withColumn("missing", F.col("up").isNotNull() & F.col("known").isNull())
     now = rows.select("node", F.when(~F.col("missing"), F.col("up")).alias("up"), "missing", "needed")
     now = written(now.withColumn("level", F.col("up").isNotNull().cast("long")), "pointers")
     n = now.count()
@@ -71,7 +73,7 @@ def dependency_order(nodes: DataFrame, node: str, target: str, pos: str) -> Data
             break
         below = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("missing").alias("m"), F.col("level").alias("l"))
         above = now.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.min("needed").alias("above"))
-        step = now.join(below, "up", "left").join(above, "node", "left")
+        step = now.join(below.hint("merge"), "up", "left").join(above.hint("merge"), "node", "left")
         after = step.select("node", F.col("next").alias("up"), (F.col("missing") | F.coalesce("m", F.lit(False))).alias("missing"), F.least("needed", "above").alias("needed"), (F.col("level") + F.coalesce("l", F.lit(0))).alias("level"))
         after = written(after, "pointers")
         discard(now)

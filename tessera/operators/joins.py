@@ -188,7 +188,7 @@ def nested_sets(members: DataFrame, key: str, item: str, share: int, of: int) ->
 def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str) -> DataFrame:
     """Each node with the least node that it reaches; nodes without an edge are components of their own."""
     found = connected_components(edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))).withColumnRenamed("node", node)
-    return nodes.select(node).join(found, node, "left").select(node, F.coalesce("component", node).alias("component"))
+    return nodes.select(node).join(found.hint("merge"), node, "left").select(node, F.coalesce("component", node).alias("component"))
 
 
 def chain_groups(df: DataFrame, key: list[str], value: str, ident: str, most_gap: float) -> DataFrame:

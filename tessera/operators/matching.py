@@ -56,7 +56,7 @@ def nearest(left: DataFrame, ident: str, right: DataFrame, other: str, at: list[
     Cells are as wide as a key's points lie apart on average. Who finds a row within a cell's width among the neighbouring cells
     has its nearest one; the others go on with cells twice as wide, until those of a key hold all of its points. Few rows go
     far, if most have others near; a left side that lies wholly apart from the right one meets all of it, and costs the
-    product of both within its key.
+    product of both within its key. All joins are sorted shuffles, whose memory is a task's, and spills.
     """
     finite = lambda df: df.dropna(subset=[*at, *on]).where(F.forall(F.array(*[F.col(c).cast("double") for c in at]), lambda x: F.abs(x) < float("inf")))
     points = [F.struct(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(at)]).alias("p")]
@@ -68,9 +68,9 @@ def nearest(left: DataFrame, ident: str, right: DataFrame, other: str, at: list[
     # the widest side of both, from which on neighbouring cells hold all
     whole = F.greatest(*[F.greatest(f"hi{j}", f"h{j}") - F.least(f"lo{j}", f"l{j}") for j in dims], F.lit(0.0))
     wide = F.greatest(*[F.col(f"hi{j}") - F.col(f"lo{j}") for j in dims], F.lit(0.0))
-    reach = spread.join(sides, keys).select(*keys, F.when(wide > 0, wide / F.pow(F.col("n").cast("double"), 1 / len(at))).otherwise(F.when(whole > 0, whole).otherwise(1.0)).alias("reach"), whole.alias("whole"))
-    a = written(a.join(reach, keys), "open-points")
-    b = written(b.join(reach.select(*keys, "reach"), keys), "right-cells")
+    reach = spread.join(sides.hint("merge"), keys).select(*keys, F.when(wide > 0, wide / F.pow(F.col("n").cast("double"), 1 / len(at))).otherwise(F.when(whole > 0, whole).otherwise(1.0)).alias("reach"), whole.alias("whole"))
+    a = written(a.join(reach.hint("merge"), keys), "open-points")
+    b = written(b.join(reach.select(*keys, "reach").hint("merge"), keys), "right-cells")
     found = []
     for turn in range(most_rounds):
         if a.isEmpty():
@@ -81,10 +81,10 @@ def nearest(left: DataFrame, ident: str, right: DataFrame, other: str, at: list[
         asks = a.withColumn("c", F.explode(around)).select(*keys, "a", F.col("p").alias("pa"), step.alias("step"), *[F.col(f"c.c{j}").alias(f"c{j}") for j in dims])
         has = b.select(*keys, "b", F.col("p").alias("pb"), *[cell(j).alias(f"c{j}") for j in dims])
         apart = F.sqrt(sum(((F.col(f"pa.x{j}") - F.col(f"pb.x{j}")) ** 2 for j in dims), F.lit(0.0)))
-        best = asks.join(has, [*keys, *[f"c{j}" for j in dims]]).groupBy(*keys, "a", "pa", "step").agg(F.min(F.struct(apart.alias("distance"), F.col("b"))).alias("best"))
+        best = asks.join(has.hint("merge"), [*keys, *[f"c{j}" for j in dims]]).groupBy(*keys, "a", "pa", "step").agg(F.min(F.struct(apart.alias("distance"), F.col("b"))).alias("best"))
         sure = written(best.where(F.col("best.distance") <= F.col("step")).select(*keys, "a", F.col("pa").alias("p"), "best.b", "best.distance"), "nearest")
         found.append(sure)
-        rest = written(a.join(sure.select(*keys, "a", "p").distinct(), [*keys, "a", "p"], "left_anti"), "open-points")
+        rest = written(a.join(sure.select(*keys, "a", "p").distinct().hint("merge"), [*keys, "a", "p"], "left_anti"), "open-points")
         discard(a)
         a = rest
     else:
@@ -97,5 +97,5 @@ def nearest(left: DataFrame, ident: str, right: DataFrame, other: str, at: list[
     for part in found[1:]:
         hits = hits.unionByName(part)
     hits = hits.select(*[F.col(f"k{j}").alias(k) for j, k in enumerate(on)], F.col("a").alias(ident), F.col("b").alias(other), "distance", "p")
-    return out.withColumn("p", points[0]).join(hits, [*on, ident, "p"], "left").select(*on, ident, other, "distance")
+    return out.withColumn("p", points[0]).join(hits.hint("merge"), [*on, ident, "p"], "left").select(*on, ident, other, "distance")
 
