@@ -50,13 +50,17 @@ SELECT event_id, p_partkey, round(overlap, 6) AS overlap FROM c WHERE overlap >=
 """)
 def greedy_best_match(spark, sf_dir):
     """Each event's part of its slot with the most overlap, 0.98 or more, that is within 8 units: parts of one place are one
-    row, and both sides are binned by that reach."""
+    entry, both sides are binned by that reach, and a bin's places are one list, so that an event's candidates are never rows."""
     o = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", (F.floor("value") % 50).alias("slot"), "value")
     b = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 50).cast("long").alias("slot"), (F.col("p_retailprice") % 100).alias("want"))
     b = b.groupBy("slot", "want").agg(F.min("p_partkey").alias("p_partkey")).withColumn("cell", F.floor(F.col("want") / 8))
     o = o.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("value") / 8) + k)))
-    c = o.join(b, ["slot", "cell"]).withColumn("overlap", 1 - F.abs(F.col("value") - F.col("want")) / 400).where("overlap >= 0.98")
-    return joins.greedy_claims(c, ["event_id"], [F.desc(F.round("overlap", 9)), F.asc("p_partkey")]).select("event_id", "p_partkey", F.round("overlap", 6).alias("overlap"))
+    b = b.groupBy("slot", "cell").agg(F.collect_list(F.struct("want", "p_partkey")).alias("near"))
+    overlap = lambda p: 1 - F.abs(F.col("value") - p["want"]) / 400
+    good = F.filter("near", lambda p: overlap(p) >= 0.98)
+    best = F.array_min(F.transform(good, lambda p: F.struct((-F.round(overlap(p), 9)).alias("o"), p["p_partkey"].alias("p_partkey"), overlap(p).alias("overlap"))))
+    c = o.join(b, ["slot", "cell"]).select("event_id", best.alias("best")).where("best IS NOT NULL").groupBy("event_id").agg(F.min("best").alias("best"))
+    return c.select("event_id", "best.p_partkey", F.round("best.overlap", 6).alias("overlap"))
 
 
 @register("interval_handoffs", """
