@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import cumulated
+
 
 def wrapped(angle: Column) -> Column:
     """An angle in [-pi, pi], as the remainder to the nearest whole turn (halves to even)."""
@@ -52,11 +54,9 @@ def gap_groups(df: DataFrame, key: list[str], value: str, least: float, share: f
 
 def trimmed_range(df: DataFrame, key: list[str], value: str, weight: str, trim: float) -> DataFrame:
     """The first value from either end whose cumulative weight is strictly over trim * total."""
-    s = df.groupBy(*key, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*key)
-    up, down = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_u", F.sum("_w").over(up)).withColumn("_d", F.sum("_w").over(down)).withColumn("_t", F.sum("_w").over(w))
-    return s.groupBy(*key).agg(F.min(F.when(F.col("_u") > trim * F.col("_t"), F.col(value))).alias("low"), F.max(F.when(F.col("_d") > trim * F.col("_t"), F.col(value))).alias("high"))
+    down = F.col("_all") - F.col("_cum") + F.col("_w")
+    s = cumulated(df, key, value, weight)
+    return s.groupBy(*key).agg(F.min(F.when(F.col("_cum") > trim * F.col("_all"), F.col(value))).alias("low"), F.max(F.when(down > trim * F.col("_all"), F.col(value))).alias("high"))
 
 
 def grid_heading(df: DataFrame, key: list[str], angle: str, length: str) -> DataFrame:

@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .sequences import top_one
 
 
+def cumulated(df: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
+    """(key.., value, _w, _cum, _all): the weight of each distinct value of a key, of all up to it, and of the key. Values are dealt
+    over tasks by ranges; the sums of ranges, few for each key, are cumulated by themselves, so a hot key is no single task."""
+    s = df.groupBy(*key, value).agg(F.sum(weight).alias("_w"))
+    s = written(s.repartitionByRange(*key, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranges = s.groupBy(*[F.col(k).alias(f"_{k}") for k in key], F.col("_part").alias("_at")).agg(F.sum("_w").alias("_sum"))
+    w = Window.partitionBy(*[f"_{k}" for k in key])
+    before = F.coalesce(F.sum("_sum").over(w.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("_before", before).withColumn("_all", F.sum("_sum").over(w))
+    own = F.sum("_w").over(Window.partitionBy(*key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_part") == F.col("_at")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return s.withColumn("_own", own).join(ranges, same).select(*key, value, "_w", (F.col("_own") + F.col("_before")).alias("_cum"), "_all")
+
+
 def weighted_quantile(df: DataFrame, key: list[str], value: str, weight: str, q: float) -> DataFrame:
     """The first value whose cumulative weight reaches q of the total; no interpolation. Equal values
     are summed first, which a key of very many rows needs. Null without weight."""
-    s = df.groupBy(*key, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*key)
-    s = s.withColumn("_cum", F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(w))
     reached = (F.col("_cum") >= q * F.col("_all")) & (F.col("_all") > 0)
-    return s.groupBy(*key).agg(F.min(F.when(reached, F.col(value))).alias("quantile"))
+    return cumulated(df, key, value, weight).groupBy(*key).agg(F.min(F.when(reached, F.col(value))).alias("quantile"))
 
 
 def clipped_range(df: DataFrame, key: list[str], axes: dict[str, Column], low: float, high: float) -> DataFrame:
@@ -86,11 +100,15 @@ def shoelace(df: DataFrame, key: list[str], order: str, x: str, y: str) -> DataF
 
 
 def dominant_band(df: DataFrame, key: list[str], luma: str, channels: list[str], weight: str, q: float, width: float) -> DataFrame:
-    """The rows within `width` of the luma's weighted q-quantile, and the weighted median of each channel among them."""
-    band = df.join(weighted_quantile(df, key, luma, weight, q).withColumnRenamed("quantile", "_ref"), key).where(F.abs(F.col(luma) - F.col("_ref")) <= width)
-    out = band.groupBy(*key).agg(F.count("*").alias("n"))
+    """The rows within `width` of the luma's weighted q-quantile, and the weighted median of each channel among them. Rows are
+    counted by luma and channel before they meet the quantile, so that a key of very many rows is no single task."""
+    ref = weighted_quantile(df, key, luma, weight, q).withColumnRenamed("quantile", "_ref")
+    out = None
     for c in channels:
-        out = out.join(weighted_quantile(band, key, c, weight, 0.5).withColumnRenamed("quantile", c), key)
+        seen = df.groupBy(*key, luma, F.col(c).alias("_v")).agg(F.sum(weight).alias("_s"), F.count("*").alias("_c"))
+        band = written(seen.join(ref, key).where(F.abs(F.col(luma) - F.col("_ref")) <= width), "band")
+        middle = weighted_quantile(band, key, "_v", "_s", 0.5).withColumnRenamed("quantile", c)
+        out = (band.groupBy(*key).agg(F.sum("_c").alias("n")) if out is None else out).join(middle, key)
     return out
 
 

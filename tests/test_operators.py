@@ -331,3 +331,38 @@ def test_lease_claims_answer_in_parts(monkeypatch):
     frames = [pd.DataFrame({"ts": pd.to_datetime([3, 1], unit="s"), "e": [3, 1], "h": ["b", None], "other": 0}), pd.DataFrame({"ts": pd.to_datetime([2], unit="s"), "e": [2], "h": ["a"], "other": 0})]
     got = [p.to_dict("list") for p in stateful.parts(stateful.sorted_columns(iter(frames), ["ts", "e"], ["h"]))]
     assert [p["e"] for p in got] == [[1, 2], [3]] and [p["h"] for p in got] == [[None, "a"], ["b"]]
+
+
+def test_cumulated_weights_of_a_hot_key_over_many_ranges(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, "hot").alias("k"), (F.col("id") % 500).alias("v"), F.lit(2).alias("w"))
+    out = aggregates.cumulated(df, ["k"], "v", "w")
+    got = {(r["k"], r["v"]): (r["_w"], r["_cum"], r["_all"]) for r in out.collect()}
+    assert got[("hot", 1)] == (4, 4, 1800) and got[("hot", 499)] == (4, 1800, 1800) and got[(None, 490)] == (4, 200, 200) and len(got) == 500
+
+
+def test_a_band_counts_before_it_meets_the_quantile(spark):
+    df = spark.range(2000).select(F.lit("k").alias("k"), (F.col("id") % 4).alias("luma"), (F.col("id") % 2).alias("r"), F.lit(1).alias("w"))
+    out = aggregates.dominant_band(df, ["k"], "luma", ["r"], "w", 0.5, 0)
+    assert [tuple(r) for r in out.collect()] == [("k", 500, 1)]
+    assert not any("luma" in line and "Join" in line and "id#" in line for line in out._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+def test_best_match_makes_no_row_of_a_candidate(spark):
+    from tessera.plans import relations
+
+    plan = relations.greedy_best_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_orders_and_neighbours_broadcast_nothing(spark, monkeypatch):
+    from tessera.operators import graphs, matching
+    from tessera.session import written
+
+    seen = []
+    for module in (graphs, matching):
+        monkeypatch.setattr(module, "written", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rows = spark.createDataFrame([(1, None, 1), (2, 1, 2), (3, 2, 3)], "n long, t long, p long")
+    assert graphs.dependency_order(rows, "n", "t", "p").count() == 3
+    points = spark.range(20).select(F.col("id").alias("a"), (F.col("id") % 2).alias("room"), F.col("id").cast("double").alias("x"))
+    matching.nearest(points, "a", points.withColumnRenamed("a", "b"), "b", ["x"], ["room"]).count()
+    assert any("SortMergeJoin" in p for p in seen) and [p for p in seen if "BroadcastExchange" in p] == []
