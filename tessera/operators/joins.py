@@ -6,6 +6,10 @@ neighbouring cells only; none is a cross join of its tables.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,23 +170,49 @@ def exact_or_unique_prefix(asked: DataFrame, ask: str, names: DataFrame, name: s
     return exact.join(only, ask, "left").select(ask, F.coalesce("_name", "_only").alias("found"))
 
 
-def nested_sets(members: DataFrame, key: str, item: str, share: int, of: int) -> DataFrame:
+def nested_sets(members: DataFrame, key: str, item: str, share: int, of: int, block: int = 1024) -> DataFrame:
     """Edges (a, b) that join all keys of which one holds at least share/of of the other's items; members:
     distinct (key, item). Keys of equal sets are joined to their least key, which alone meets the others.
     A set that shares enough with a larger one has one of its own n - need + 1 rarest items in common with
-    it: only these meet the lists of items, and the pairs found are counted in full."""
-    often = members.groupBy(item).agg(F.count("*").alias("_n"))
-    ranked = F.struct(F.col("_n").alias("n"), F.col(item).alias("item"))
-    sets = members.join(often, item).groupBy(key).agg(F.sort_array(F.collect_list(ranked)).alias("_s"))
-    least = sets.groupBy("_s").agg(F.min(key).alias("u"))
+    it: only blocks of about `block` sets that do share such an item meet, a pair of blocks a task, and count in full. So no pair of
+    sets is a row until it is an edge; what is sent is each block for each that it meets, the square of the sets where all meet."""
+    often = written(members.groupBy(item).agg(F.count("*").alias("_n")).withColumn("_id", F.monotonically_increasing_id()), "items")
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct("_n", "_id"))), lambda x: x["_id"])
+    sets = written(members.join(often, item).groupBy(key).agg(ranked.alias("_s")), "sets")
+    least = written(sets.groupBy("_s").agg(F.min(key).alias("u")), "distinct-sets")
     equal = sets.join(least, "_s").select(F.col(key).alias("a"), F.col("u").alias("b")).where("a != b")
-    size = F.size("_s")
-    need = F.ceil(size * share / of).cast("int")
-    short = least.select(F.col("u").alias("a"), size.alias("na"), need.alias("need"), F.explode(F.slice("_s", F.lit(1), size - need + 1)).alias("_i"))
-    long = least.select(F.col("u").alias("b"), size.alias("nb"), F.explode("_s").alias("_i"))
-    meet = short.join(long, "_i").where("nb > na or (nb = na and b > a)").select("a", "b", "need").distinct()
-    full = meet.join(least.select(F.col("u").alias("a"), F.col("_s").alias("_a")), "a").join(least.select(F.col("u").alias("b"), F.col("_s").alias("_b")), "b")
-    return full.where(F.size(F.array_intersect("_a.item", "_b.item")) >= F.col("need")).select("a", "b").unionByName(equal)
+    need = F.ceil(F.size("_s") * share / of).cast("int")
+    blocks = max(math.ceil(least.count() / block), 1)
+    least = least.select("u", "_s", need.alias("need"), F.pmod(F.xxhash64("u"), F.lit(blocks)).alias("at"))
+    rare = least.select(F.col("at").alias("p"), F.explode(F.slice("_s", F.lit(1), F.size("_s") - F.col("need") + 1)).alias("_i")).distinct()
+    held = least.select(F.col("at").alias("q"), F.explode("_s").alias("_i")).distinct()
+    meet = written(rare.join(held, "_i").select("p", "q").distinct(), "blocks")
+    side = lambda at: meet.join(least.withColumnRenamed("at", at), at).select(*[F.col(c).alias(c) for c in ("p", "q", "u", "_s", "need")]).groupBy("p", "q")
+    kind = dict(members.dtypes)[key]
+    found = side("p").cogroup(side("q")).applyInPandas(_nested_pairs, f"a {kind}, b {kind}")
+    return found.unionByName(equal)
+
+
+def _nested_pairs(small: pd.DataFrame, large: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of one block's sets with another's, b larger (ties: the later key), that share what a needs; so many items at a time."""
+    na, nb = small["_s"].map(len).to_numpy(), large["_s"].map(len).to_numpy()
+    ia, ib = np.concatenate(small["_s"].to_numpy()), np.concatenate(large["_s"].to_numpy())
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    both = np.intersect1d(ia, ib)
+    ca, cb = (np.where(np.isin(i, both), np.searchsorted(both, i), -1) for i in (ia, ib))
+    shared = np.zeros((len(na), len(nb)), dtype=np.float32)  # whole numbers below 2^24
+    for lo in range(0, len(both), 4096):
+        bits = []
+        for c, r, n in ((ca, ra, len(na)), (cb, rb, len(nb))):
+            here = (c >= lo) & (c < lo + 4096)
+            m = np.zeros((n, min(4096, len(both) - lo)), dtype=np.float32)
+            m[r[here], c[here] - lo] = 1
+            bits.append(m)
+        shared += bits[0] @ bits[1].T
+    a, b = small["u"].to_numpy(), large["u"].to_numpy()
+    later = (nb[None, :] > na[:, None]) | ((nb[None, :] == na[:, None]) & (b[None, :] > a[:, None]))
+    i, j = np.nonzero(later & (shared >= small["need"].to_numpy()[:, None]))
+    return pd.DataFrame({"a": a[i], "b": b[j]})
 
 
 def components(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str) -> DataFrame:

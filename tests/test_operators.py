@@ -366,3 +366,18 @@ def test_orders_and_neighbours_broadcast_nothing(spark, monkeypatch):
     points = spark.range(20).select(F.col("id").alias("a"), (F.col("id") % 2).alias("room"), F.col("id").cast("double").alias("x"))
     matching.nearest(points, "a", points.withColumnRenamed("a", "b"), "b", ["x"], ["room"]).count()
     assert any("SortMergeJoin" in p for p in seen) and [p for p in seen if "BroadcastExchange" in p] == []
+
+
+def test_nested_sets_meet_by_blocks(spark):
+    r = random.Random(5)
+    sets = {k: set(r.sample(range(30), r.randint(1, 12))) for k in range(60)} | {100: set(range(20)), 101: set(range(19)), 102: set(range(20))}
+    members = spark.createDataFrame([(k, f"i{i}") for k, s in sets.items() for i in s], "k long, i string")
+    edges = {tuple(e) for e in joins.nested_sets(members, "k", "i", 9, 10, block=7).collect()}
+    assert {frozenset(joins_ for joins_ in e) for e in edges} >= {frozenset((100, 101)), frozenset((100, 102))}
+    linked = lambda a, b: 10 * len(sets[a] & sets[b]) >= 9 * min(len(sets[a]), len(sets[b]))
+    assert all(linked(a, b) for a, b in edges)
+    want = {(min(a, b), max(a, b)) for a in sets for b in sets if a != b and linked(a, b)}
+    component = lambda pairs: sorted((x["node"], x["component"]) for x in joins.connected_components(spark.createDataFrame(list(pairs), "src long, dst long")).collect())
+    assert component(edges) == component(want)
+    plan = joins.nested_sets(members, "k", "i", 9, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
