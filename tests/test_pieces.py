@@ -66,3 +66,19 @@ def test_no_points_have_no_object(spark):
     assert [tuple(x) for x in pieces.connected_object(df, ["k"], "n", ("x", "y", "z"), "depth", "sheet", 1.0).collect()] == [("a", 1)]
     twice = df.unionByName(df).withColumn("sheet", F.lit(True))
     assert pieces.connected_object(twice, ["k"], "n", ("x", "y", "z"), "depth", "sheet", 1.0).count() == 2
+
+
+def test_loose_cells_are_sent_once_and_nothing_is_broadcast(spark, monkeypatch):
+    seen, plain = [], pieces.written
+    monkeypatch.setattr(pieces, "written", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    df = spark.createDataFrame([("a", n, float(n % 9), float(n % 5), float(n % 7), 1.0, False) for n in range(200)], "k string, n int, x double, y double, z double, depth double, sheet boolean")
+    assert pieces.connected_object(df, ["k"], "n", ("x", "y", "z"), "depth", "sheet", 1.0).count() > 0
+    assert any("SortMergeJoin" in p for p in seen) and [p for p in seen if "BroadcastExchange" in p or "turn, 25" in p] == []
+
+
+def test_cells_too_far_apart_for_one_number(spark):
+    r, far = random.Random(5), 3.0e6
+    rows = [(n, s * far + r.uniform(0, 6), -s * far + r.uniform(0, 3), s * far + r.uniform(0, 6), r.random(), n % 6 == 0) for n in range(240) for s in [r.choice([-1, 1])]]
+    df = spark.createDataFrame([("a", *x) for x in rows], "k string, n int, x double, y double, z double, depth double, sheet boolean")
+    got = pieces.connected_object(df, ["k"], "n", ("x", "y", "z"), "depth", "sheet", 1.0)
+    assert sorted(x[1] for x in got.collect()) == plain_object(rows, 1.0, 0.5, 2)
