@@ -14,12 +14,14 @@ from ..streaming import timed
 CUTS, WRITTEN = 6, (1, 0, 3, 2, 5, 4)
 #: Rows of the whole table for each bucket of keys.
 BUCKET = 10_000
+#: Rows of the whole table for each task and its state store, beyond a task for each core.
+TASK = 250_000
 
 
 def _run(spark, sf_dir, key, fields, fold, ts="CAST(ts AS TIMESTAMP)", also=()):
     """The events in files of neighbouring ranges of time that have changed places, then a file with one row long after the last,
     which moves the watermark past all others: later by the delay, which is what two ranges span, and what any fold waits for. A micro-batch
-    takes a third of the files, so their number does not grow with the table; the number of buckets does."""
+    takes a third of the files, so their number does not grow with the table; the numbers of buckets and tasks do."""
     path = scratch_path(spark, "timed-events")
     rows = table(spark, sf_dir, "events").selectExpr(f"{key} AS key", f"{ts} AS ts", "event_id AS event", *fields)
     lo, hi, n = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts")), F.count("*")).first()
@@ -32,7 +34,7 @@ def _run(spark, sf_dir, key, fields, fold, ts="CAST(ts AS TIMESTAMP)", also=()):
     last = rows.limit(1).withColumn("key", F.lit(None).cast(dict(rows.dtypes)["key"])).withColumn("ts", F.timestamp_micros(F.lit((hi or 0) + delay * 1_000_000 + 400 * 86_400_000_000)))
     last.coalesce(1).write.mode("append").parquet(path)
     work = lambda s: timed.in_event_time(s, ["key", *also], "ts", "event", f"{delay} seconds", fold, max(64, n // BUCKET))
-    out = timed.run_in_batches(spark, path, rows.schema, work, scratch_path(spark, "timed"), files)
+    out = timed.run_in_batches(spark, path, rows.schema, work, scratch_path(spark, "timed"), files, max(spark.sparkContext.defaultParallelism, math.ceil(n / TASK)))
     return out.where("key IS NOT NULL").select("key", *also, F.unix_micros("at").alias("at_us"), "event", "outcome", "about")
 
 

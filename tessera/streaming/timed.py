@@ -417,16 +417,21 @@ def announcements(forget_s: float, kind: str = "kind", confidence: str = "confid
     return Fold((kind, confidence), step, ring)
 
 
-def run_in_batches(spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], path: str, files: int = 2) -> DataFrame:
+def run_in_batches(spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], path: str, files: int = 2, tasks: int | None = None) -> DataFrame:
     """Streams the parquet files under `source`, so many a micro-batch and in the order in which they were written, through `work`
-    into a table at `path`, and reads it. Timers and several states need the RocksDB state store, which is set for this query."""
-    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name)
-    spark.conf.set(name, store)
+    into a table at `path`, and reads it. Timers and several states need the RocksDB state store, which is set for this query. Each task of a micro-batch
+    opens and saves a state store of its own, however few keys it has: tasks bounds their number (none: as the session deals)."""
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if tasks is not None:
+        own["spark.sql.shuffle.partitions"] = str(min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         stream = work(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source))
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}/_checkpoint").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(stream.schema).parquet(path)

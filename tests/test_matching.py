@@ -228,3 +228,19 @@ def test_timed_queries_over_years_lose_no_last_rows_and_take_more_files_a_batch(
     assert sorted(r.event for r in out.where("event is not null").collect()) == list(range(600))
     assert out.where("outcome = 'closed'").count() == 450
     assert asked[0] > 2
+
+
+@pytest.mark.parametrize("name", ["stream_status_documents"])
+def test_timed_queries_open_no_more_state_stores_than_cores_where_rows_are_few(spark, tmp_path, monkeypatch, name):
+    from tessera.plans import timed as plans
+
+    monkeypatch.setattr(plans, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        assert getattr(plans, name)(spark, "/root/testdata/sf0.001").count() > 1000
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [p.name for p in (tmp_path / "timed" / "_checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == spark.sparkContext.defaultParallelism
