@@ -230,7 +230,7 @@ def test_timed_queries_over_years_lose_no_last_rows_and_take_more_files_a_batch(
     assert asked[0] > 2
 
 
-@pytest.mark.parametrize("name", ["stream_status_documents"])
+@pytest.mark.parametrize("name", ["stream_status_documents", "stream_upload_claims"])
 def test_timed_queries_open_no_more_state_stores_than_cores_where_rows_are_few(spark, tmp_path, monkeypatch, name):
     from tessera.plans import timed as plans
 
