@@ -381,3 +381,16 @@ def test_nested_sets_meet_by_blocks(spark):
     assert component(edges) == component(want)
     plan = joins.nested_sets(members, "k", "i", 9, 10)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("name", ["merged_tracks"])
+def test_queries_of_boxes_broadcast_nothing(spark, monkeypatch, name):
+    from tessera import catalogue
+    from tessera.operators import graphs
+    from tessera.session import written
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    monkeypatch.setattr(graphs, "written", lambda df, name: seen.append(plan(df)) or written(df, name))
+    seen.append(plan(catalogue.queries()[name](spark, "/root/testdata/sf0.001")))
+    assert any("SortMergeJoin" in p for p in seen) and [p for p in seen if "BroadcastExchange" in p] == []
