@@ -134,7 +134,7 @@ def suppressing_boxes(spark, sf_dir):
     dx, dy = F.col("px") - F.col("b_x"), F.col("py") - F.col("b_y")
     inside = (F.abs(dx * F.cos("b_t") + dy * F.sin("b_t")) <= F.col("b_w") / 2 + 0.1) & (F.abs(dy * F.cos("b_t") - dx * F.sin("b_t")) <= F.col("b_d") / 2 + 0.1)
     hit = p.where(inside & (F.col("id") != F.col("b_id"))).groupBy("id").agg(F.min("b_id").alias("suppressed_by"))
-    return o.select("id").join(hit, "id", "left")
+    return o.select("id").join(hit.hint("merge"), "id", "left")
 
 
 @register("wall_seams", """
