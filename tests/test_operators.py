@@ -383,7 +383,7 @@ def test_nested_sets_meet_by_blocks(spark):
     assert "FlatMapCoGroupsInPandas" in plan
 
 
-@pytest.mark.parametrize("name", ["merged_tracks", "placement_problems", "suppressing_boxes"])
+@pytest.mark.parametrize("name", ["merged_tracks", "placement_problems", "suppressing_boxes", "turned_overlap_pairs"])
 def test_queries_of_boxes_broadcast_nothing(spark, monkeypatch, name):
     from tessera import catalogue
     from tessera.operators import graphs
