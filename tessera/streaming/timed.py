@@ -1,6 +1,6 @@
 """Keyed state machines in event time, with timers: outcomes do not depend on the order in which rows arrive.
 
-Keys are dealt over buckets. A bucket's rows wait in a list state until the watermark has passed them; then each key's are folded in the order of
+Keys are dealt over buckets. A bucket's rows wait in its state until the watermark has passed them; then each key's are folded in the order of
 event time, and timers that come due between two rows ring between them. So any order of files within the
 watermark's delay gives the same outcome. Rows later than the delay are left out by Spark, which counts them in the
 query's progress. State ends with what it stands for: a key without a holder, pending mint, open stream
@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.validation import STATE_EDGES
 
@@ -35,73 +37,73 @@ class Fold:
     ring: Callable[[dict, int], list[Given]]
 
 
-class _InEventTime(StatefulProcessor):
-    """The keys of one bucket: calls of the state store, which cost a round trip each, are a few for each bucket, not for each key."""
-
-    def __init__(self, fold: Fold, ts: str, event: str):
-        self.fold, self.ts, self.event, self.done = fold, ts, event, None
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "rows string")
-        self.held = handle.getValueState("held", "states string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for f in rows:
-            at = f[self.ts].astype("datetime64[us]").astype("int64").tolist()
-            fields = [json.dumps(v) for v in zip(*(f[c].tolist() for c in self.fold.fields), strict=True)]
-            self.waiting.appendValue((json.dumps(list(zip(f["key_"].tolist(), at, f[self.event].tolist(), fields, strict=True))),))
-            first = min(at if first is None else [first, *at])
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        if self.done == (tuple(key), now):  # an earlier timer of the bucket has brought it up to now
-            return
-        self.done = (tuple(key), now)
-        waiting = [tuple(row) for (chunk,) in self.waiting.get() for row in json.loads(chunk)] if self.waiting.exists() else []
-        states = json.loads(self.held.get()[0]) if self.held.exists() else {}
-        ready: dict[str, list] = {k: [] for k, s in states.items() if s.get("due") is not None and s["due"] <= now}
-        rest = []
-        for row in waiting:
-            ready.setdefault(row[0], []).append(row) if row[1] <= now else rest.append(row)
-        given = []
-        for k, rows in ready.items():
-            state = states.get(k, {})
-            given.extend((k, *g) for g in self._folded(state, sorted(rows), now))
-            if state:
-                states[k] = state
-            else:
-                states.pop(k, None)
-        if len(rest) < len(waiting):
-            self.waiting.put([(json.dumps(rest),)]) if rest else self.waiting.clear()
-        if ready:
-            self.held.update((json.dumps(states),)) if states else self.held.clear()
-        later = [*(row[1] for row in rest), *(s["due"] for s in states.values() if s.get("due") is not None)]
-        if later:
-            self.handle.registerTimer(min(later) // 1000 + 1)
+def _bucket(fold: Fold, event: str) -> Callable:
+    """The keys of one bucket in a micro-batch. Rows come by columns and wait as they came: a chunk is opened when the watermark has passed its first row."""
+
+    def folded(state: dict, rows: list[tuple], now: int, given: list[Given]) -> None:
+        for at, row, fields in rows:
+            while (due := state.get("due")) is not None and due <= at:
+                given += fold.ring(state, due)
+            given += fold.step(state, at, row, fields)
+        while (due := state.get("due")) is not None and due <= now:
+            given += fold.ring(state, due)
+
+    def chunk(names: list, at: np.ndarray, events: np.ndarray, fields: list[list]) -> tuple[int, bytes]:
+        return int(at.min()), pickle.dumps((names, at.tobytes(), events.tobytes(), fields), 5)
+
+    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        waiting, held, due = state.get if state.exists else (None, None, None)
+        chunks = pickle.loads(waiting) if waiting else []
+        chunks += [chunk(f["key_"].tolist(), f["us_"].to_numpy("int64"), f[event].to_numpy("int64"), [f[c].tolist() for c in fold.fields]) for f in frames if len(f)]
+        keys, given, rest = [], [], [c for c in chunks if c[0] > now]
+        if len(rest) < len(chunks) or (due is not None and due <= now):
+            names, at, events, fields = [], [], [], [[] for _ in fold.fields]
+            for _, packed in (c for c in chunks if c[0] <= now):
+                own, us, ids, values = pickle.loads(packed)
+                names += own
+                at.append(np.frombuffer(us, "int64"))
+                events.append(np.frombuffer(ids, "int64"))
+                for whole, part in zip(fields, values, strict=True):
+                    whole += part
+            states = json.loads(held) if held else {}
+            ready: dict[str, list] = {k: [] for k, s in states.items() if s.get("due") is not None and s["due"] <= now}
+            if names:
+                us, ids = np.concatenate(at), np.concatenate(events)
+                order = np.lexsort((ids, us))
+                passed = int(np.searchsorted(us, now, "right", sorter=order))
+                left, order = order[passed:].tolist(), order[:passed]
+                if left:
+                    rest.append(chunk([names[i] for i in left], us[left], ids[left], [[f[i] for i in left] for f in fields]))
+                us, ids, values = us[order], ids[order], list(zip(*fields, strict=True)) if fields else [()] * len(names)
+                for i, t, e in zip(order.tolist(), us.tolist(), ids.tolist(), strict=True):
+                    ready.setdefault(names[i], []).append((t, e, values[i]))
+                if ((us[1:] == us[:-1]) & (ids[1:] == ids[:-1])).any():  # the order of arrival must not decide
+                    for rows in ready.values():
+                        rows.sort(key=lambda r: (*r[:2], json.dumps(r[2])))
+            for k, rows in ready.items():
+                own = states.get(k, {})
+                folded(own, rows, now, given)
+                keys += [k] * (len(given) - len(keys))
+                if own:
+                    states[k] = own
+                else:
+                    states.pop(k, None)
+            held = json.dumps(states) if states else None
+            due = min((s["due"] for s in states.values() if s.get("due") is not None), default=None)
+        if rest or held:
+            state.update((pickle.dumps(rest, 5) if rest else None, held, due))
+            later = [first for first, _ in rest] + ([] if due is None else [due])
+            if later:
+                state.setTimeoutTimestamp(max((min(later) - 1) // 1000, now // 1000 + 1))
+        elif state.exists:
+            state.remove()
         if given:
-            names, at, event, outcome, about = zip(*given, strict=True)
-            yield pd.DataFrame({"key_": names, "at": pd.to_datetime(list(at), unit="us"), "event": pd.array(event, dtype="Int64"), "outcome": outcome, "about": about})
-
-    def _folded(self, state: dict, rows: list[tuple], now: int) -> list[Given]:
-        given: list[Given] = []
-
-        def ring(until: int) -> None:
-            while state.get("due") is not None and state["due"] <= until:
-                given.extend(self.fold.ring(state, state["due"]))
-
-        for _, at, event, fields in rows:
-            ring(at)
-            given.extend(self.fold.step(state, at, event, tuple(json.loads(fields))))
-        ring(now)
-        return given
+            at, events, outcome, about = zip(*given, strict=True)
+            # whole numbers with a null of their own: Spark puts a batch's frames and its states side by side and fills up with nulls
+            yield pd.DataFrame({"key_": pd.Series(keys, dtype=object), "us_": pd.array(at, dtype="Int64"), "event": pd.array(events, dtype="Int64"), "outcome": pd.Series(outcome, dtype=object), "about": pd.Series(about, dtype=object)})
 
-    def close(self) -> None:
-        pass
+    return work
 
 
 def in_event_time(stream: DataFrame, key: list[str], ts: str, event: str, delay: str, fold: Fold, buckets: int = 64) -> DataFrame:
@@ -111,10 +113,10 @@ def in_event_time(stream: DataFrame, key: list[str], ts: str, event: str, delay:
     whole = stream.select(*key).schema
     form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     text = F.to_json(F.struct(*key), form)
-    rows = stream.select(F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket_"), text.alias("key_"), ts, F.col(event).cast("long").alias(event), *[c for c in fold.fields if c not in (ts, event)])
+    rows = stream.select(F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket_"), text.alias("key_"), ts, F.unix_micros(ts).alias("us_"), F.col(event).cast("long").alias(event), *[c for c in fold.fields if c not in (ts, event)])
     rows = rows.where(F.col(ts).isNotNull() & F.col(event).isNotNull()).withWatermark(ts, delay)
-    out = rows.groupBy("bucket_").transformWithStateInPandas(_InEventTime(fold, ts, event), "key_ string, at timestamp, event long, outcome string, about string", "append", "EventTime")
-    return out.withColumn("key_", F.from_json("key_", whole, form)).select("key_.*", "at", "event", "outcome", "about")
+    out = rows.groupBy("bucket_").applyInPandasWithState(_bucket(fold, event), "key_ string, us_ long, event long, outcome string, about string", "waiting binary, held string, due long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("key_", F.from_json("key_", whole, form)).select("key_.*", F.timestamp_micros("us_").alias("at"), "event", "outcome", "about")
 
 
 def leases(ttl_s: float, holder: str = "holder", action: str = "action") -> Fold:
@@ -419,7 +421,7 @@ def announcements(forget_s: float, kind: str = "kind", confidence: str = "confid
 
 def run_in_batches(spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], path: str, files: int = 2, tasks: int | None = None) -> DataFrame:
     """Streams the parquet files under `source`, so many a micro-batch and in the order in which they were written, through `work`
-    into a table at `path`, and reads it. Timers and several states need the RocksDB state store, which is set for this query. Each task of a micro-batch
+    into a table at `path`, and reads it. The RocksDB state store, which keeps what waits out of the executors' heaps, is set for this query. Each task of a micro-batch
     opens and saves a state store of its own, however few keys it has: tasks bounds their number (none: as the session deals)."""
     own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     if tasks is not None:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +246,61 @@ def test_timed_queries_open_no_more_state_stores_than_cores_where_rows_are_few(s
         spark.conf.set("spark.sql.shuffle.partitions", before)
     stores = [p.name for p in (tmp_path / "timed" / "_checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
     assert len(stores) == spark.sparkContext.defaultParallelism
+
+
+class HeldState:
+    """What a bucket needs of Spark's group state."""
+
+    def __init__(self):
+        self.get, self.exists, self.wm, self.due = None, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.wm
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.wm
+        self.due = ms
+
+
+def test_a_bucket_takes_its_rows_by_columns_and_folds_each_key_as_a_plain_fold_does():
+    r, fold = random.Random(3), timed.upload_claims(0.002)
+    big = 2**53  # neighbours that no float tells apart
+    rows = [(f"k{r.randrange(5)}", r.randrange(1, 40_000), big + k, r.choice(["a", "b", None]), r.choice(["request", "minted"]), r.choice(["0", "1", None]), r.random() < 0.3) for k in range(400)]
+    rows += [(*rows[0][:3], "z", "request", "1", False), (*rows[0][:3], "a", "request", "0", True)]  # one event three times, its fields differ
+    want = None
+    for _ in range(3):
+        r.shuffle(rows)
+        state, given, work = HeldState(), [], timed._bucket(fold, "event")
+        frames = [pd.DataFrame(rows[k : k + 67], columns=["key_", "us_", "event", *fold.fields]) for k in range(0, len(rows), 67)]
+        assert list(work((0,), iter(frames), state)) == [] and len(pickle.loads(state.get[0])) == len(frames)
+        for state.wm in (7, 7, 20, 39, 60):
+            given += list(work((0,), iter([frames[0].iloc[:0]]), state))
+        got = sorted(pd.concat(given).astype(object).where(lambda d: d.notna(), None).itertuples(index=False, name=None), key=str)
+        assert {x[2] for x in got} - {None} == {x[2] for x in rows} and {"lapsed", "stored", "replay"} <= {x[3] for x in got}
+        want = want or got
+        assert got == want and state.exists and state.get[0] is None
+    repeated = next(x[0] for x in rows if x[3] == "z")
+    assert [x for x in want if x[0] != repeated] == plain_fold([x for x in rows if x[0] != repeated], fold)
+
+
+def test_timed_streams_keep_large_ids_and_times_outside_utc(spark, tmp_path):
+    big, start = 2**53, datetime(2024, 10, 27, 0, 30)  # an hour that comes twice in Berlin
+    rows = [(k % 3, start + timedelta(minutes=15 * k, microseconds=k), big + k, "a", "claim") for k in range(12)] + [(9, start + timedelta(days=9), 0, "z", "claim")]
+    df = spark.createDataFrame(rows, "key long, ts timestamp, event long, holder string, action string")
+    us = {x.event: x.us for x in df.select("event", F.unix_micros("ts").alias("us")).collect()}
+    df.where("event > 0").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.where("event = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        out = timed.run_in_batches(spark, str(tmp_path / "in"), df.schema, lambda s: timed.in_event_time(s, ["key"], "ts", "event", "1 day", timed.leases(1e6)), str(tmp_path / "out"), 1)
+        got = {x.event: x.us for x in out.where("event > 0").select("event", F.unix_micros("at").alias("us")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == {e: t for e, t in us.items() if e}
